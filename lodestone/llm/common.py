@@ -122,15 +122,14 @@ _GAP = np.zeros(256, bool)
 _GAP[list(WHITE)] = True
 
 
-def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprints of all words in order, number of words of each text). Words are cut at white space; A-Z lower-cased."""
+def scan_words(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(the texts laid end to end with A-Z lower-cased, start, end and fingerprint of each word, number of words of each text). Words are cut at white space."""
     joined = b"\n".join(texts).translate(LOWER)
     buf = np.frombuffer(joined, np.uint8)
     starts, ends = word_spans(buf, _GAP)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    edges = np.cumsum(sizes + 1)
-    counts = np.diff(np.searchsorted(starts, edges), prepend=0) if len(texts) else np.zeros(0, np.int64)
-    return span_hashes(_BYTE_KEY[buf], starts, ends), counts
+    edges = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    counts = np.diff(np.searchsorted(starts, edges), prepend=0)
+    return joined, starts, ends, span_hashes(_BYTE_KEY[buf], starts, ends), counts
 
 
 def slices(sizes: list[int], most: int):
@@ -150,3 +149,33 @@ def utf8(column) -> list[bytes]:
     import pyarrow as pa
 
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+class Ragged:
+    """Growing lists of numbers, one after the other."""
+
+    def __init__(self, dtype):
+        self.flat, self.used = np.zeros(1 << 16, dtype), 0
+        self.at, self.length, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    @staticmethod
+    def _room(a: np.ndarray, n: int) -> np.ndarray:
+        return a if n <= len(a) else np.concatenate([a, np.zeros(max(n - len(a), len(a)), a.dtype)])
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Append lists; their numbers."""
+        self.flat = self._room(self.flat, self.used + len(flat))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.at, self.length = self._room(self.at, self.n + len(sizes)), self._room(self.length, self.n + len(sizes))
+        self.at[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.length[self.n : self.n + len(sizes)] = sizes
+        names = np.arange(self.n, self.n + len(sizes))
+        self.used, self.n = self.used + len(flat), self.n + len(sizes)
+        return names
+
+
+def ragged_take(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The ranges of ``flat`` that begin at ``at``, one after the other."""
+    out = np.repeat(at - (np.cumsum(size) - size), size)
+    out += np.arange(len(out))
+    return flat[out]

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lodestone.llm.common import ship, slices
+from lodestone.llm.common import Ragged, ragged_take, ship, slices
 from lodestone.llm.fst_tokens import CACHE_WORDS, SCAN_CHARS, WordTable, distinct_spans, resolve, vocabulary
 
 WIDTH = 1024
@@ -52,12 +52,7 @@ class IdStore:
 
     def clear(self) -> None:
         self.table = WordTable()
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.at, self.length, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
-
-    @staticmethod
-    def _room(a: np.ndarray, n: int) -> np.ndarray:
-        return a if n <= len(a) else np.concatenate([a, np.zeros(max(n - len(a), len(a)), a.dtype)])
+        self.lists = Ragged(np.uint32)
 
     def add(self, keys: np.ndarray, words: list[str]) -> np.ndarray:
         if self.piece:
@@ -66,13 +61,7 @@ class IdStore:
             lists = [e.ids for e in self.v.library.encode_batch_fast(words, add_special_tokens=False)]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))
-        self.ids = self._room(self.ids, self.used + len(flat))
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.at, self.length = self._room(self.at, self.n + len(sizes)), self._room(self.length, self.n + len(sizes))
-        self.at[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
-        self.length[self.n : self.n + len(sizes)] = sizes
-        names = np.arange(self.n, self.n + len(sizes))
-        self.used, self.n = self.used + len(flat), self.n + len(sizes)
+        names = self.lists.add(flat, sizes)
         self.table.add(keys, names)
         return names
 
@@ -81,7 +70,7 @@ class IdStore:
         pieces, owner, special = self.v.parts(texts)
         ordinary = np.flatnonzero(special < 0)
         joined, starts, ends, piece, points = self.v.scan([pieces[i] for i in ordinary])
-        if self.n > CACHE_WORDS:
+        if self.lists.n > CACHE_WORDS:
             self.clear()
         keys, at, which = distinct_spans(points, starts, ends)
         names = self.table.find(keys)
@@ -89,8 +78,8 @@ class IdStore:
             names[new] = self.add(keys[new], [joined[a:b] for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist())])
         # One run of ids per pre-token, special string and end of text, in the order of the texts.
         runs = names[which]
-        place, frm, size = owner[ordinary[piece]], self.at[runs], self.length[runs]
-        fixed, k = self.ids, self.used
+        place, frm, size = owner[ordinary[piece]], self.lists.at[runs], self.lists.length[runs]
+        fixed, k = self.lists.flat, self.lists.used
         odd = np.flatnonzero(special >= 0)
         fixed = np.concatenate([fixed[:k], np.append(special[odd], last).astype(np.uint32)])
         step = np.concatenate([2 * ordinary[piece], 2 * odd, 2 * np.searchsorted(owner, np.arange(len(texts)), side="right") - 1])
@@ -98,9 +87,7 @@ class IdStore:
         place = np.concatenate([place, owner[odd], np.arange(len(texts))])[order]
         frm = np.concatenate([frm, k + np.arange(len(odd)), np.full(len(texts), k + len(odd))])[order]
         size = np.concatenate([size, np.ones(len(odd) + len(texts), np.int64)])[order]
-        out = np.repeat(frm - (np.cumsum(size) - size), size)
-        out += np.arange(len(out))
-        return fixed[out], np.bincount(place, weights=size, minlength=len(texts)).astype(np.int64)
+        return ragged_take(fixed, frm, size), np.bincount(place, weights=size, minlength=len(texts)).astype(np.int64)
 
 
 @lru_cache(maxsize=2)
