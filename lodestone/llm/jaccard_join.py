@@ -33,13 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import mix64, partitions, ragged_take, scan_words, ship, slices, stored, utf8
+from lodestone.llm.common import mix64, partitions, ragged_take, scan_words, ship, slices, squeeze, stored, unsqueeze, utf8
 from lodestone.llm.components import components
 
 SCAN_BYTES = 1 << 20
 #: Shingles of a chunk that a task sends at once, and of a block of a family.
 CHUNK, MOST = 2_000_000, 500_000
-_ZSTD = pa.Codec("zstd", compression_level=1)
 
 
 def need(n, percent: int):
@@ -80,20 +79,6 @@ def set_names(keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         return mix64(run[ends] - run[ends - sizes] + sizes.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)).view(np.int64)
 
 
-def squeeze(a: np.ndarray) -> bytes:
-    """Compressed byte planes of an array."""
-    raw = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
-    return len(a).to_bytes(8, "little") + (_ZSTD.compress(raw, asbytes=True) if raw else b"")
-
-
-def unsqueeze(b: bytes, dtype) -> np.ndarray:
-    n, size = int.from_bytes(b[:8], "little"), np.dtype(dtype).itemsize
-    if not n:
-        return np.zeros(0, dtype)
-    raw = np.frombuffer(_ZSTD.decompress(b[8:], n * size, asbytes=True), np.uint8)
-    return np.ascontiguousarray(raw.reshape(size, n).T).reshape(-1).view(dtype)
-
-
 def _rises(a: np.ndarray) -> np.ndarray:
     return np.diff(a, prepend=np.zeros(1, a.dtype))
 

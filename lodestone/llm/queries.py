@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontam, fst_tokens, jaccard_join, langid, packing, toxicity
+from lodestone.llm import decontam, eflm, fst_tokens, jaccard_join, langid, packing, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eflm.score(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.train(docs))
@@ -47,6 +51,7 @@ def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_elias_fano_lm,
         op2_byte_cnn_language,
         op3_ngram_toxicity,
         op4_fst_token_counts,
