@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontam, eflm, fst_tokens, jaccard_join, langid, packing, toxicity
+from lodestone.llm import ann_forest, decontam, eflm, fst_tokens, jaccard_join, langid, packing, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -43,6 +43,10 @@ def op6_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_prefix_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_forest.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_fst_token_counts,
         op5_prefix_tree_jaccard,
         op6_cost_balanced_packing,
+        op7_prefix_forest_search,
         op10_positional_decontamination,
     )
 }
