@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import ann_forest, decontam, eflm, fst_tokens, jaccard_join, langid, packing, toxicity
+from lodestone.llm import ann_forest, decontam, eflm, fst_tokens, jaccard_join, langid, packing, toxicity, url_templates
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -47,6 +47,13 @@ def op7_prefix_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_forest.search(table(spark, sf_dir, "embeddings"))
 
 
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op8_path_template_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
 def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -62,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_prefix_tree_jaccard,
         op6_cost_balanced_packing,
         op7_prefix_forest_search,
+        op8_path_template_filter,
         op10_positional_decontamination,
     )
 }
