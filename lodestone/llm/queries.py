@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import ann_forest, decontam, eflm, fst_tokens, jaccard_join, langid, packing, toxicity, url_templates
+from lodestone.llm import ann_forest, decontam, eflm, fst_tokens, html_extract, jaccard_join, langid, packing, toxicity, url_templates
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -54,6 +54,10 @@ def op8_path_template_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
 
+def op9_dom_content_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_cost_balanced_packing,
         op7_prefix_forest_search,
         op8_path_template_filter,
+        op9_dom_content_model,
         op10_positional_decontamination,
     )
 }
