@@ -156,7 +156,7 @@ def _sets(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, sha
                 names = set_names(keys, sizes)
                 none, m = pa.nulls(b - a, pa.binary()), b - a
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((names % shards).astype(np.int32)), pa.array(names), pa.array(np.full(m, 2, np.int32)), none, none, batch.column(0).slice(a, m), pa.array(names), pa.array(sizes)], names=schema.names
+                    [pa.array(((np.arange(m) + len(keys)) % shards).astype(np.int32)), pa.array(names), pa.array(np.full(m, 2, np.int32)), none, none, batch.column(0).slice(a, m), pa.array(names), pa.array(sizes)], names=schema.names
                 )
                 some = sizes > 0
                 for h, x in zip(held, (names[some], keys, sizes[some])):
