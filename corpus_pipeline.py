@@ -35,7 +35,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One row, that of the smallest id, of each component of near copies; rows without a word stay."""
     found = jaccard_join.join(docs, k=SHINGLE, percent=SIMILAR).where("n_shingles > 0 and component_id <> doc_id")
     rest = docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
-    return rest.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():  # rows that share an id share a component, too
+        rest = rest.dropDuplicates(["doc_id", "text"])
+    return rest.select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
