@@ -20,15 +20,15 @@ SHINGLE, SIMILAR = 5, 80
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the toxicity classifier, learnt from the labelled ones, doesn't predict to be toxic."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs.withColumn("_copy", F.col("text")), model, keep=[*docs.columns], text_col="_copy")
-    return scored.where("predicted = 0").select(*docs.columns)
+    scored = toxicity.score(docs, model, keep=docs.columns, prefix="_tox_")
+    return scored.where("_tox_predicted = 0").select(*docs.columns)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text has a language: not ``und``, and not less certain than chance."""
     model = langid.train(docs)
-    known = langid.predict(docs.withColumn("_copy", F.col("text")), model, keep=[*docs.columns], text_col="_copy")
-    return known.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    known = langid.predict(docs, model, keep=docs.columns, prefix="_id_")
+    return known.where((F.col("_id_lang_pred") != langid.UNKNOWN) & (F.col("_id_score") >= LEAST_LANGUAGE)).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

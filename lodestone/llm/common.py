@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,6 +151,13 @@ def utf8(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def text_slices(column, most: int):
+    """(first row, end, slice of the column) of consecutive rows with about ``most`` bytes: Python objects are made for few texts at a time."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for a, b in slices(sizes, most):
+        yield a, b, column.slice(a, b - a)
+
+
 class Ragged:
     """Growing lists of numbers, one after the other."""
 

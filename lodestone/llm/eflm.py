@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import held, mix64, partitions, scan_words, ship, slices, squeeze, stored, unsqueeze, utf8
+from lodestone.llm.common import held, mix64, partitions, scan_words, ship, squeeze, stored, text_slices, unsqueeze, utf8
 
 #: Tokens of a chunk; weight of the unigrams in the interpolation.
 CHUNK, KAPPA = 2_000_000, 8.0
@@ -323,9 +323,9 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2, kappa: float = KAPPA, id
         chunk_rows.n = 0
         parts, size = ([], [], [], []), 0
         for batch in batches:
-            texts, flags = utf8(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
-            for a, b in slices([len(t) for t in texts], SCAN_BYTES):
-                prints, sizes = _stream(texts[a:b])
+            flags = batch.column(2).to_numpy(zero_copy_only=False)
+            for a, b, column in text_slices(batch.column(1), SCAN_BYTES):
+                prints, sizes = _stream(utf8(column))
                 for p, x in zip(parts, (batch.column(0).slice(a, b - a), flags[a:b], prints, sizes)):
                     p.append(x)
                 size += len(prints)

@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lodestone.llm.common import mix64, ship, slices, span_hashes
+from lodestone.llm.common import mix64, ship, span_hashes, text_slices
 
 #: Texts of so many characters are scanned at a time.
-SCAN_CHARS = 1 << 20
+SCAN_CHARS = 1 << 19
 CHUNK = 256
 #: Remembered pre-tokens and compiled transitions of a worker; beyond, they are forgotten and built again.
-CACHE_WORDS, CACHE_STATES = 1_500_000, 400_000
+CACHE_WORDS, CACHE_STATES = 1_000_000, 400_000
 
 # States: 0 nothing open, 1 letters, 2 numbers, 3 other signs, 4 a space that joins what follows, 5 white space,
 # 6 and 7 one and two letters of a contraction to come.
@@ -337,10 +337,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
 
     def run(batches):
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for a, b in slices([len(t) for t in texts], SCAN_CHARS):
-                n = counts(texts[a:b], resolve(path))
-                size = np.array([len(t.encode()) for t in texts[a:b]], np.int64)
+            for a, b, column in text_slices(batch.column(1), SCAN_CHARS):
+                texts = [x or "" for x in column.to_pylist()]
+                n = counts(texts, resolve(path))
+                size = np.array([len(t.encode()) for t in texts], np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size), pa.array(n), pa.array(n > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
     schema = T.StructType([docs.schema[id_col], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])

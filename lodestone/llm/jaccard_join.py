@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import mix64, partitions, ragged_take, scan_words, ship, slices, squeeze, stored, unsqueeze, utf8
+from lodestone.llm.common import mix64, partitions, ragged_take, scan_words, ship, squeeze, stored, text_slices, unsqueeze, utf8
 from lodestone.llm.components import components
 
-SCAN_BYTES = 1 << 20
+SCAN_BYTES = 1 << 19
 #: Shingles of a chunk that a task sends at once, and of a block of a family.
-CHUNK, MOST = 2_000_000, 500_000
+CHUNK, MOST = 1_000_000, 500_000
 
 
 def need(n, percent: int):
@@ -150,9 +150,8 @@ def _sets(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, sha
     def read(batches):
         held, size = ([], [], []), 0
         for batch in batches:
-            texts = utf8(batch.column(1))
-            for a, b in slices([len(t) for t in texts], SCAN_BYTES):
-                keys, sizes = shingles(texts[a:b], k)
+            for a, b, column in text_slices(batch.column(1), SCAN_BYTES):
+                keys, sizes = shingles(utf8(column), k)
                 names = set_names(keys, sizes)
                 none, m = pa.nulls(b - a, pa.binary()), b - a
                 yield pa.RecordBatch.from_arrays(
@@ -211,9 +210,8 @@ def _candidates(texts: DataFrame, k: int, percent: int, shards: int) -> DataFram
     def read(batches):
         held, size = ([], [], []), 0
         for batch in batches:
-            raw = utf8(batch.column(1))
-            for a, b in slices([len(t) for t in raw], SCAN_BYTES):
-                keys, sizes = shingles(raw[a:b], k)
+            for _, _, column in text_slices(batch.column(1), SCAN_BYTES):
+                keys, sizes = shingles(utf8(column), k)
                 for h, x in zip(held, (set_names(keys, sizes), keys, sizes)):
                     h.append(x)
                 size += len(keys)
@@ -432,9 +430,8 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
 
     def right(batches):  # ids may repeat: only the row whose set was chosen counts
         for batch in batches:
-            raw = utf8(batch.column(1))
-            for a, b in slices([len(t) for t in raw], SCAN_BYTES):
-                same = set_names(*shingles(raw[a:b], k)) == batch.column(0).slice(a, b - a).to_numpy()
+            for a, b, column in text_slices(batch.column(1), SCAN_BYTES):
+                same = set_names(*shingles(utf8(column), k)) == batch.column(0).slice(a, b - a).to_numpy()
                 yield batch.slice(a, b - a).filter(pa.array(same))
 
     texts = stored(own.mapInArrow(right, "set_id long, text string"), "texts")

@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import LOWER, held, ragged_take, ship, slices, utf8
+from lodestone.llm.common import LOWER, held, ragged_take, ship, text_slices, utf8
 
 WINDOW = 256
 WIDTHS, FILTERS = (2, 3, 4), 10
 #: Bounds of the sample for training, for each language: documents, bytes, windows.
 MOST_DOCS, MOST_BYTES, MOST_WINDOWS = 600, 2_000_000, 1500
 #: Windows that are scored at a time, and bytes of texts.
-BATCH, SCAN_BYTES = 512, 1 << 20
+BATCH, SCAN_BYTES = 512, 1 << 19
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -157,28 +157,27 @@ def train(docs: DataFrame, mod: int = 4, rest: int = 2, most_docs: int = MOST_DO
     return {"langs": langs} | (fit(x, y, len(langs)) if len(x) else {})
 
 
-def predict(docs: DataFrame, model: dict, mod: int = 4, rest: int = 2, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """id (and the columns in ``keep``), held_out, lang_pred, score of every row, where it is read."""
+def predict(docs: DataFrame, model: dict, mod: int = 4, rest: int = 2, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """id (and the columns in ``keep``), held_out, lang_pred, score of every row, where it is read. ``prefix`` keeps the new names apart from kept ones."""
     ship(docs.sparkSession)
     kept, langs = keep or [id_col], model["langs"]
 
     def run(batches):
         net = Network(model) if "dense" in model else None
         for batch in batches:
-            whole = batch.column(0).to_pylist()
-            raw = utf8(batch.column(0))
-            for a, b in slices([len(t) for t in raw], SCAN_BYTES):
-                some = np.array([t is not None and _LETTER.search(t) is not None for t in whole[a:b]], bool)
+            for a, b, column in text_slices(batch.column(text_col), SCAN_BYTES):
+                raw = utf8(column)
+                some = np.array([t is not None and _LETTER.search(t) is not None for t in column.to_pylist()], bool)
                 if net:
-                    p = net.texts(raw[a:b])
+                    p = net.texts(raw)
                     best = p.argmax(axis=1)
                     score = np.clip(p[np.arange(len(p)), best], 0, 1)
                 else:
                     best, score = np.zeros(b - a, int), np.full(b - a, float(len(langs) == 1))
                     some &= len(langs) == 1
                 said = [langs[k] if s else UNKNOWN for k, s in zip(best.tolist(), some.tolist())]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i + 1).slice(a, b - a) for i in range(len(kept) + 1)), pa.array(said, pa.string()), pa.array(np.where(some, score, 0.0))], names=[f.name for f in schema])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in [*kept, f"{prefix}held_out"]), pa.array(said, pa.string()), pa.array(np.where(some, score, 0.0))], names=[f.name for f in schema])
 
-    own = docs.select(F.col(text_col).alias("_t"), *(F.col(c) for c in kept), held(id_col, mod, rest).alias("held_out"))
-    schema = T.StructType([*own.schema.fields[1:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    own = docs.select(*kept, *([] if text_col in kept else [text_col]), held(id_col, mod, rest).alias(f"{prefix}held_out"))
+    schema = T.StructType([*(own.schema[c] for c in [*kept, f"{prefix}held_out"]), T.StructField(f"{prefix}lang_pred", T.StringType()), T.StructField(f"{prefix}score", T.DoubleType())])
     return own.mapInArrow(run, schema)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lodestone.llm.common import Ragged, ragged_take, ship, slices
+from lodestone.llm.common import Ragged, ragged_take, ship, text_slices
 from lodestone.llm.fst_tokens import CACHE_WORDS, SCAN_CHARS, WordTable, distinct_spans, resolve, vocabulary
 
 WIDTH = 1024
@@ -151,9 +151,8 @@ def pack(docs: DataFrame, tokenizer: str, width: int = WIDTH, last: int = 0, blo
             return pa.RecordBatch.from_arrays(out, names=[f.name for f in schema])
 
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for a, b in slices([len(t) for t in texts], SCAN_CHARS):
-                ids, lengths = store(resolve(tokenizer)).encode(texts[a:b], last)
+            for a, b, column in text_slices(batch.column(1), SCAN_CHARS):
+                ids, lengths = store(resolve(tokenizer)).encode([x or "" for x in column.to_pylist()], last)
                 held.append((batch.column(0).slice(a, b - a), ids, lengths))
                 size += len(ids)
                 if size >= block_tokens:

@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import LOWER, Ragged, held, mix64, ragged_take, scan_words, ship, slices, utf8
+from lodestone.llm.common import LOWER, Ragged, held, mix64, ragged_take, scan_words, ship, text_slices, utf8
 from lodestone.llm.fst_tokens import CACHE_WORDS, WordTable
 
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 20
 #: Bounds of the sample for training: documents and bytes of each class.
-MOST_DOCS, MOST_BYTES = 2500, 10_000_000
-SCAN_BYTES = 1 << 20
+MOST_DOCS, MOST_BYTES = 1500, 6_000_000
+SCAN_BYTES = 1 << 19
 _MULT = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 3) % 2**64) for k in range(max(SIZES))]
 
 
@@ -92,7 +92,7 @@ class Scorer:
 
 def fit(texts: list[bytes], toxic: np.ndarray, prior: float, least_z: float = 4.0, rounds: int = 300, decay: float = 1e-3) -> dict:
     """{features, weights, bias}: weights hold the naive Bayes scale; the bias is moved to the prior of label 1."""
-    grams = [np.unique(word_features(list(set(t.translate(LOWER).split())))[0]) for t in texts]
+    grams = [np.unique(word_features(list(set(t.translate(LOWER).split())))[0].astype(np.int32)) for t in texts]
     doc, gram = np.repeat(np.arange(len(texts)), list(map(len, grams))), np.concatenate(grams)
     y = toxic.astype(np.float64)
     n1, n0 = y.sum(), (1 - y).sum()
@@ -145,24 +145,24 @@ def _scorer(features: bytes) -> Scorer:
     return Scorer(np.frombuffer(features, np.int32))
 
 
-def score(docs: DataFrame, model: dict, mod: int = 5, rest: int = 0, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """id (and the columns in ``keep``), held_out, score, predicted of every row, where it is read."""
+def score(docs: DataFrame, model: dict, mod: int = 5, rest: int = 0, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """id (and the columns in ``keep``), held_out, score, predicted of every row, where it is read. ``prefix`` keeps the new names apart from kept ones."""
     ship(docs.sparkSession)
     features, weights, bias, share = model["features"].astype(np.int32).tobytes(), model["weights"], model["bias"], model.get("share")
     kept = keep or [id_col]
 
     def run(batches):
         for batch in batches:
-            texts = utf8(batch.column(0))
-            for a, b in slices([len(t) for t in texts], SCAN_BYTES):
+            for a, b, column in text_slices(batch.column(text_col), SCAN_BYTES):
+                texts = utf8(column)
                 if bias is None:
                     out = np.full(b - a, share)
                 else:
-                    d, f = _scorer(features).documents(texts[a:b])
+                    d, f = _scorer(features).documents(texts)
                     s = np.bincount(d, weights=weights[f], minlength=b - a) + bias
                     out = 1 / (1 + np.exp(-np.clip(s, -40, 40)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i + 1).slice(a, b - a) for i in range(len(kept) + 1)), pa.array(out), pa.array((out >= 0.5).astype(np.int32))], names=[f.name for f in schema])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in [*kept, f"{prefix}held_out"]), pa.array(out), pa.array((out >= 0.5).astype(np.int32))], names=[f.name for f in schema])
 
-    own = docs.select(F.col(text_col).alias("_t"), *(F.col(c) for c in kept), held(id_col, mod, rest).alias("held_out"))
-    schema = T.StructType([*own.schema.fields[1:], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    own = docs.select(*kept, *([] if text_col in kept else [text_col]), held(id_col, mod, rest).alias(f"{prefix}held_out"))
+    schema = T.StructType([*(own.schema[c] for c in [*kept, f"{prefix}held_out"]), T.StructField(f"{prefix}score", T.DoubleType()), T.StructField(f"{prefix}predicted", T.IntegerType())])
     return own.mapInArrow(run, schema)
