@@ -243,7 +243,8 @@ def query_overlap(spark, sf_dir):
 def _candidates(spark, sf_dir, k: int) -> DataFrame:
     p, weights, stats = _library(spark, sf_dir)
     q = asked(spark, sf_dir).withColumn("query", X.rewrite(F.col("query"), F.lit("paper")))
-    best = R.search(q, p, weights, stats, "bm25", 3 * k).join(q, "query_id").join(R.annotate(p).drop("short_tokens"), ["doc_id", "chunk_id"])
+    # Only the candidates are annotated: their texts are joined back after the ranking.
+    best = R.annotate(R.search(q, p, weights, stats, "bm25", 3 * k).join(q, "query_id").join(p, ["doc_id", "chunk_id"]))
     target = F.array(F.col("query_id") % 7)
     return best.select(
         "query_id", F.col("rank").alias("pos"), "score", X.tokenize(F.col("query")).alias("terms"), target.alias("targets"), "doc_id", "chunk_id", "text", "summary", "chunk_type",
