@@ -12,8 +12,6 @@ from lodestone.llm import decontam, fst_tokens, jaccard_join, langid, packing, t
 from lodestone.llm.common import shared_dir
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Texts whose language is this uncertain are rejected: no language reaches the share that chance would give it.
-LEAST_LANGUAGE = 0.3
 SHINGLE, SIMILAR = 5, 80
 
 
@@ -25,10 +23,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text has a language: not ``und``, and not less certain than chance."""
+    """Rows whose text has a language: not ``und``."""
     model = langid.train(docs)
     known = langid.predict(docs, model, keep=docs.columns, prefix="_id_")
-    return known.where((F.col("_id_lang_pred") != langid.UNKNOWN) & (F.col("_id_score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    return known.where(F.col("_id_lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

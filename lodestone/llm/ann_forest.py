@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ship
+from lodestone.llm.common import ship, tidied
 
 TREES, SYMBOLS = 56, 6
 #: Least candidates as a share of a shard's distinct vectors; rows of a shard; queries of a block.
@@ -172,6 +172,6 @@ def search(vectors: DataFrame, mod: int = 20, k: int = 20, trees: int = TREES, s
         if now is not None:
             yield from flush()
 
-    found = laid.mapInArrow(run, "query_id long, vec_id long, score double")
+    found = laid.mapInArrow(tidied(run), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -60,6 +63,19 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def tidied(f):
+    """A function over Arrow batches that gives freed memory back to the system when its task ends: workers live on."""
+
+    def run(batches):
+        yield from f(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # not every C library can
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import mix64, partitions, ragged_take, scan_words, ship, squeeze, stored, text_slices, unsqueeze, utf8
+from lodestone.llm.common import mix64, partitions, ragged_take, scan_words, ship, squeeze, stored, text_slices, tidied, unsqueeze, utf8
 from lodestone.llm.components import components
 
 SCAN_BYTES = 1 << 19
@@ -176,8 +176,8 @@ def _sets(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, sha
                 out = [(s, c, 0, squeeze(np.bincount(o[n > 1], minlength=int(o.max()) + 1).astype(np.uint32)), None, None, None, None) for c, _, o, n in _counted(blobs)]
                 yield _batch(out, schema)
 
-    sent = docs.select(id_col, text_col).mapInArrow(read, schema)
-    back = stored(sent.repartition(shards, "shard").mapInArrow(shared, schema), "shared")
+    sent = docs.select(id_col, text_col).mapInArrow(tidied(read), schema)
+    back = stored(sent.repartition(shards, "shard").mapInArrow(tidied(shared), schema), "shared")
 
     def active(batches):
         sums: dict[int, np.ndarray] = {}
@@ -200,7 +200,7 @@ def _sets(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, sha
             yield pa.RecordBatch.from_arrays([pa.array(names[total >= need(sizes, percent)])], names=["set_id"])
 
     chunks = back.where("kind < 2").select("chunk", "kind", "b1", "b2")
-    return back.where("kind = 2").select("id", "set_id", "n"), chunks.repartition(shards, "chunk").mapInArrow(active, "set_id long").distinct()
+    return back.where("kind = 2").select("id", "set_id", "n"), chunks.repartition(shards, "chunk").mapInArrow(tidied(active), "set_id long").distinct()
 
 
 def _candidates(texts: DataFrame, k: int, percent: int, shards: int) -> DataFrame:
@@ -249,8 +249,8 @@ def _candidates(texts: DataFrame, k: int, percent: int, shards: int) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(keys[take].view(np.int64)), pa.array(names[owner[take]])], names=["key", "set_id"])
 
     counted = T.StructType([*_CHUNKED, T.StructField("b3", T.BinaryType())])
-    back = texts.select("set_id", "text").mapInArrow(read, schema).repartition(shards, "shard").mapInArrow(count, counted)
-    first = stored(back.select("chunk", "kind", "b1", "b2", "b3").repartition(shards, "chunk").mapInArrow(prefixes, "key long, set_id long"), "prefixes")
+    back = texts.select("set_id", "text").mapInArrow(tidied(read), schema).repartition(shards, "shard").mapInArrow(tidied(count), counted)
+    first = stored(back.select("chunk", "kind", "b1", "b2", "b3").repartition(shards, "chunk").mapInArrow(tidied(prefixes), "key long, set_id long"), "prefixes")
     least = first.groupBy("key").agg(F.min("set_id").alias("b"), F.max("set_id").alias("top")).where("b < top").drop("top")
     return first.join(least, "key").select(F.col("set_id").alias("a"), "b").where("a <> b").distinct()
 
@@ -423,7 +423,8 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     shards = partitions(spark)
     rows, active = _sets(docs, k, percent, id_col, text_col, shards)
     # One row of the input stands for each set that may have a partner; its text is read again.
-    chosen = rows.join(active, "set_id").groupBy("set_id").agg(F.min("id").alias("id"))
+    firsts = stored(rows.groupBy("set_id").agg(F.min("id").alias("id"), F.max("n").alias("n")), "sets")
+    chosen = firsts.join(active, "set_id").select("set_id", "id")
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     wanted = chosen.withColumnRenamed("id", "wanted").hint("shuffle_hash")
     own = own.join(wanted, own["id"].eqNullSafe(wanted["wanted"])).select("set_id", "text")
@@ -434,9 +435,9 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
                 same = set_names(*shingles(utf8(column), k)) == batch.column(0).slice(a, b - a).to_numpy()
                 yield batch.slice(a, b - a).filter(pa.array(same))
 
-    texts = stored(own.mapInArrow(right, "set_id long, text string"), "texts")
+    texts = stored(own.mapInArrow(tidied(right), "set_id long, text string"), "texts")
     families = components(_candidates(texts, k, percent, shards))
-    sizes = rows.select("set_id", "n").distinct()
+    sizes = firsts.select("set_id", "n")
     member = families.select(F.col("u").alias("set_id"), F.col("v").alias("family")).union(families.select("v", "v").distinct()).join(sizes, "set_id")
     blocks = member.groupBy("family").agg(F.ceil(F.sum("n") / most).alias("blocks"))
     dealt = F.pmod(F.xxhash64("set_id"), F.col("blocks"))
@@ -451,7 +452,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
 
     with_text = member.join(texts, "set_id")
     laid = with_text.select("family", "block", "blocks", "set_id", "text").repartition(shards, "family", "block").sortWithinPartitions("family", "block")
-    label = stored(laid.mapInArrow(within, "set_id long, family long, block long, blocks long, label long"), "labels")
+    label = stored(laid.mapInArrow(tidied(within), "set_id long, family long, block long, blocks long, label long"), "labels")
     edges = label.select(F.col("set_id").alias("a"), F.col("label").alias("b"))
     large = label.where("blocks > 1")
     if large.limit(1).count():
@@ -459,7 +460,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
         roots = components(edges).select(F.col("u").alias("set_id"), F.col("v").alias("label"))
     else:  # every family was joined whole
         roots = label.where("label <> set_id").select("set_id", "label")
-    classes = rows.where("n > 0").groupBy("set_id").agg(F.min("id").alias("least")).join(roots, "set_id", "left").select("set_id", "least", F.coalesce("label", "set_id").alias("label"))
+    classes = firsts.where("n > 0").join(roots, "set_id", "left").select("set_id", F.col("id").alias("least"), F.coalesce("label", "set_id").alias("label"))
     lowest = classes.groupBy("label").agg(F.min("least").alias("component_id"))
     named = classes.join(lowest, "label").select("set_id", "component_id")
     return rows.join(named, "set_id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
@@ -488,4 +489,4 @@ def _across(label: DataFrame, texts: DataFrame, k: int, percent: int, shards: in
                 yield pa.RecordBatch.from_arrays([pa.array(others[who]), pa.array(names[found])], names=["a", "b"])
 
     laid = probes.unionByName(kept).join(texts, "set_id").select("family", "block", "part", "probe", "set_id", "text")
-    return laid.repartition(shards, "family", "block", "part").sortWithinPartitions("family", "block", "part").mapInArrow(cross, "a long, b long")
+    return laid.repartition(shards, "family", "block", "part").sortWithinPartitions("family", "block", "part").mapInArrow(tidied(cross), "a long, b long")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import LOWER, held, ragged_take, ship, text_slices, utf8
+from lodestone.llm.common import LOWER, held, ragged_take, ship, text_slices, tidied, utf8
 
 WINDOW = 256
 WIDTHS, FILTERS = (2, 3, 4), 10
@@ -180,4 +180,4 @@ def predict(docs: DataFrame, model: dict, mod: int = 4, rest: int = 2, id_col: s
 
     own = docs.select(*kept, *([] if text_col in kept else [text_col]), held(id_col, mod, rest).alias(f"{prefix}held_out"))
     schema = T.StructType([*(own.schema[c] for c in [*kept, f"{prefix}held_out"]), T.StructField(f"{prefix}lang_pred", T.StringType()), T.StructField(f"{prefix}score", T.DoubleType())])
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(tidied(run), schema)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lodestone.llm.common import Ragged, ragged_take, ship, text_slices
+from lodestone.llm.common import Ragged, ragged_take, ship, text_slices, tidied
 from lodestone.llm.fst_tokens import CACHE_WORDS, SCAN_CHARS, WordTable, distinct_spans, resolve, vocabulary
 
 WIDTH = 1024
@@ -162,4 +162,4 @@ def pack(docs: DataFrame, tokenizer: str, width: int = WIDTH, last: int = 0, blo
 
     long = T.LongType()
     schema = T.StructType([docs.schema[id_col], *(T.StructField(c, long) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")), T.StructField("ids", T.BinaryType())])
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidied(run), schema)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import LOWER, Ragged, held, mix64, ragged_take, scan_words, ship, text_slices, utf8
+from lodestone.llm.common import LOWER, Ragged, held, mix64, ragged_take, scan_words, ship, text_slices, tidied, utf8
 from lodestone.llm.fst_tokens import CACHE_WORDS, WordTable
 
 SIZES = (3, 4, 5, 6)
@@ -165,4 +165,4 @@ def score(docs: DataFrame, model: dict, mod: int = 5, rest: int = 0, id_col: str
 
     own = docs.select(*kept, *([] if text_col in kept else [text_col]), held(id_col, mod, rest).alias(f"{prefix}held_out"))
     schema = T.StructType([*(own.schema[c] for c in [*kept, f"{prefix}held_out"]), T.StructField(f"{prefix}score", T.DoubleType()), T.StructField(f"{prefix}predicted", T.IntegerType())])
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(tidied(run), schema)
