@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import classify as C
+from lodestone.functions import dialogue as D
 from lodestone.functions import metrics as M
 from lodestone.functions import text as X
 from lodestone.functions import values as V
 from lodestone.operators import evaluation as E
 from lodestone.operators import evidence as S
 from lodestone.operators import quality as Q
+from lodestone.operators import reports as P
 from lodestone.operators import retrieval as R
 from lodestone.sources import library as L
 
@@ -473,3 +475,77 @@ def draft_items(spark, sf_dir):
 @query("""SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ALL""")
 def library_listing(spark, sf_dir):
     return read(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+# ---------------------------------------------------------------- commands, seeds, claims, probes
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'search' WHEN turn % 3 = 1 THEN 'cite' ELSE 'chat' END AS command, CASE WHEN turn % 3 = 0 THEN role WHEN turn % 3 = 1 THEN CAST(turn AS VARCHAR) ELSE 'so ' || role END AS args FROM conversations""")
+def command_parse(spark, sf_dir):
+    line = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Look for "), "role")).when(F.col("turn") % 3 == 1, F.concat(F.lit(" cite result "), F.col("turn").cast("string"))).otherwise(F.concat(F.lit("so "), "role"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", D.command(line).alias("c")).select("conv_id", "turn", "c.command", "c.args")
+
+
+@query()
+def previews(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", D.preview(F.col("text")).alias("preview"), F.array_join(D.metric_sentences(F.col("text")), " | ").alias("metrics"))
+
+
+_OVER = lambda terms, low: f"(len(list_filter({terms}, lambda z: contains({low}, z))) / len({terms}))"
+
+
+@query(f"""WITH q AS (SELECT item_id AS query_id, list_distinct({_TOKENS("text")}) AS t FROM benchmark),
+i AS (SELECT *, list_filter(t, lambda z: NOT list_contains({_LIST(V.QUERY_STOPWORDS)}, z) AND (length(z) >= 5 OR list_contains({_LIST(V.SHORT_TOKENS)}, z))) AS info FROM q),
+s AS (SELECT query_id, doc_id, {_OVER("t", "lower(text)")} AS o, CASE WHEN len(info) > 0 THEN {_OVER("info", "lower(text)")} END AS f FROM i JOIN documents ON doc_id % 40 = query_id % 40)
+SELECT query_id, doc_id, round(0.7 * o + 0.3 * coalesce(f, o), 6) AS score FROM s WHERE o >= 0.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(0.7 * o + 0.3 * coalesce(f, o), 6) DESC, doc_id) <= 2""")
+def target_seed(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("slot"))
+    q = asked(spark, sf_dir).select("query_id", F.array_distinct(X.tokenize(F.col("query"))).alias("terms"), (F.col("query_id") % 40).alias("slot"))
+    c = docs.join(q, "slot").select("query_id", "terms", F.lit(False).alias("found_target"), "doc_id", F.lit(0).alias("chunk_id"), "text", F.lit(None).cast("string").alias("summary"), F.lit("body").alias("chunk_type"), F.lit("paper").alias("doc_type"), F.lit(False).alias("is_table_or_figure"), F.lit(0.0).alias("noise_level"), F.lit(False).alias("has_metrics"))
+    return P.target_seeds(c).select("query_id", "doc_id", "score")
+
+
+@query()
+def structured_claims(spark, sf_dir):
+    p, weights, stats = _library(spark, sf_dir)
+    best = R.search(asked(spark, sf_dir), p, weights, stats, "bm25", 6).join(p, ["doc_id", "chunk_id"])
+    kept = best.select("query_id", "rank", "doc_id", "chunk_id", "text", X.summary(F.col("text"), F.lit(False)).alias("summary"), F.lit("body").alias("chunk_type"), F.lit(0).alias("n_metrics"))
+    claims = P.claims(kept)
+    cover = S.coverage(kept, asked(spark, sf_dir))
+    status = cover.select("query_id", F.when(F.col("total_passages") == 0, "insufficient_evidence").when(F.size(F.split("missing_terms", ",")) >= 3, "partially_supported").otherwise("supported").alias("status"))
+    return P.render(claims, cover, status)
+
+
+@query()
+def variant_coverage(spark, sf_dir):
+    v = S.variant_fields(spark.createDataFrame(_VARIANTS, "doc_id int, text string, n_metrics int, doc_type string"))
+    return P.variant_coverage(v.withColumn("query_id", F.col("doc_id") % 2))
+
+
+_PROBES = "SELECT source AS slug, text AS query, quality = 1 AS inferred, toxic = 0 AS overlapping, doc_id % 50 = 0 AS blocked, CASE WHEN doc_id % 50 = 0 THEN ['expected_doc_type_mismatch:' || lang] ELSE [] END AS reasons, CASE WHEN doc_id % 3 = 0 THEN 'insufficient_evidence' ELSE 'supported' END AS status FROM labels JOIN documents USING (doc_id)"
+
+
+def _probes(spark, sf_dir) -> DataFrame:
+    both = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents"), "doc_id")
+    bad = F.col("doc_id") % 50 == 0
+    return both.select(
+        F.col("source").alias("slug"), F.col("text").alias("query"), (F.col("quality") == 1).alias("inferred"), (F.col("toxic") == 0).alias("overlapping"), bad.alias("blocked"),
+        F.when(bad, F.array(F.concat(F.lit("expected_doc_type_mismatch:"), "lang"))).otherwise(F.array().cast("array<string>")).alias("reasons"), F.when(F.col("doc_id") % 3 == 0, "insufficient_evidence").otherwise("supported").alias("status"),
+    )
+
+
+@query(f"""WITH r AS ({_PROBES}), x AS (SELECT slug, string_agg(DISTINCT z, ';' ORDER BY z) AS reasons FROM (SELECT slug, unnest(reasons) AS z FROM r) GROUP BY slug)
+SELECT r.slug, count(*) AS queries, count(*) FILTER (inferred) AS inferred, count(*) FILTER (overlapping) AS overlapping, bool_or(blocked) AS blocked, coalesce(any_value(x.reasons), '') AS reasons FROM r LEFT JOIN x USING (slug) GROUP BY r.slug""")
+def probe_integrity(spark, sf_dir):
+    return P.probe_integrity(_probes(spark, sf_dir))
+
+
+@query(f"""WITH r AS ({_PROBES}) SELECT 'target_inference_failure' AS failure, count(*) FILTER (NOT inferred) AS n FROM r UNION ALL SELECT 'doc_type_mode_mismatch', count(*) FILTER (len(reasons) > 0) FROM r UNION ALL SELECT 'retrieval_filtering_failure', count(*) FILTER (inferred AND NOT overlapping) FROM r
+UNION ALL SELECT 'query_phrasing_issue', count(*) FILTER (contains(lower(query), 'this ') AND NOT inferred) FROM r UNION ALL SELECT 'genuine_evidence_absence', count(*) FILTER (status = 'insufficient_evidence' AND overlapping) FROM r""")
+def probe_failures(spark, sf_dir):
+    return P.probe_failures(_probes(spark, sf_dir))
+
+
+@query(f"""WITH r AS ({_VALIDATION}) SELECT status, count(*) AS n, round(count(*) / (SELECT count(*) FROM r), 6) AS share FROM r GROUP BY status""")
+def report_summary(spark, sf_dir):
+    return P.report_summary(_validation(spark, sf_dir))
