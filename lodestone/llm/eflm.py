@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import held, mix64, partitions, scan_words, ship, squeeze, stored, text_slices, tidied, unsqueeze, utf8
+from lodestone.llm.common import dealt, held, mix64, partitions, scan_words, ship, squeeze, stored, text_slices, tidied, unsqueeze, utf8
 
 #: Tokens of a chunk; weight of the unigrams in the interpolation.
 CHUNK, KAPPA = 2_000_000, 8.0
@@ -349,8 +349,8 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2, kappa: float = KAPPA, id
                 yield rows([(s, chunk, None, None, *b, None, None, *(sums if i == 0 else (0, 0, 0)))], answered)
 
     own = docs.select(id_col, text_col, held(id_col, mod, rest).alias("held"))
-    home = F.when(F.col("shard") >= 0, F.col("shard").cast("long")).otherwise(F.col("chunk"))
-    sent = own.mapInArrow(tidied(read), base).repartition(shards, home)
+    home = F.when(F.col("shard") >= 0, F.col("shard")).otherwise(F.pmod("chunk", F.lit(shards)))
+    sent = dealt(own.mapInArrow(tidied(read), base), shards, home)
     back = stored(sent.mapInArrow(tidied(serve), answered), "answers")
     sums = back.agg(F.sum("tokens"), F.sum("words"), F.sum("once")).first()
     n, v, once = (int(x or 0) for x in sums)

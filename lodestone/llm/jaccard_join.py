@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import mix64, partitions, ragged_take, scan_words, ship, squeeze, stored, text_slices, tidied, unsqueeze, utf8
+from lodestone.llm.common import dealt, mix64, partitions, ragged_take, scan_words, ship, squeeze, stored, text_slices, tidied, unsqueeze, utf8
 from lodestone.llm.components import components
 
 SCAN_BYTES = 1 << 19
@@ -177,7 +177,7 @@ def _sets(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, sha
                 yield _batch(out, schema)
 
     sent = docs.select(id_col, text_col).mapInArrow(tidied(read), schema)
-    back = stored(sent.repartition(shards, "shard").mapInArrow(tidied(shared), schema), "shared")
+    back = stored(dealt(sent, shards, F.col("shard")).mapInArrow(tidied(shared), schema), "shared")
 
     def active(batches):
         sums: dict[int, np.ndarray] = {}
@@ -249,7 +249,7 @@ def _candidates(texts: DataFrame, k: int, percent: int, shards: int) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(keys[take].view(np.int64)), pa.array(names[owner[take]])], names=["key", "set_id"])
 
     counted = T.StructType([*_CHUNKED, T.StructField("b3", T.BinaryType())])
-    back = texts.select("set_id", "text").mapInArrow(tidied(read), schema).repartition(shards, "shard").mapInArrow(tidied(count), counted)
+    back = dealt(texts.select("set_id", "text").mapInArrow(tidied(read), schema), shards, F.col("shard")).mapInArrow(tidied(count), counted)
     first = stored(back.select("chunk", "kind", "b1", "b2", "b3").repartition(shards, "chunk").mapInArrow(tidied(prefixes), "key long, set_id long"), "prefixes")
     least = first.groupBy("key").agg(F.min("set_id").alias("b"), F.max("set_id").alias("top")).where("b < top").drop("top")
     return first.join(least, "key").select(F.col("set_id").alias("a"), "b").where("a <> b").distinct()
