@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import classify as C
@@ -52,6 +54,83 @@ def target_seeds(c: DataFrame, mode: str = "paper", most: int = 2) -> DataFrame:
     return E.recent(best, "query_id", [F.col("score").desc(), F.col("doc_id")], most)
 
 
+def seed_candidates(docs: DataFrame, queries: DataFrame, mode: str = "paper", most: int = 2) -> DataFrame:
+    """(query_id, terms, doc_id, text) of each pair that ``target_seeds`` could keep, from all documents and all queries.
+
+    A term lies in a text if it lies in one of the text's tokens, so each task looks its distinct tokens up once and
+    scores every query of each document by a matrix product. It gives its best documents of a query and those within
+    the rounding of them. The queries are held by the driver.
+    """
+    asked = queries.select("query_id", F.array_distinct("terms").alias("terms"), F.array_distinct(X.informative(F.col("terms"), mode)).alias("info")).collect()
+    names = {t: i for i, t in enumerate(sorted({t for r in asked for t in r.terms}))}
+    lengths = sorted({len(t) for t in names})
+    table = {k: np.zeros((len(names), len(asked)), np.float32) for k in ("terms", "info")}
+    for j, r in enumerate(asked):
+        for k, x in table.items():
+            x[[names[t] for t in r[k]], j] = 1
+    sizes = {k: np.array([len(r[k]) for r in asked], np.float64) for k in table}
+    slack = 2e-6
+
+    def held(word: str) -> tuple:
+        return tuple({names[t] for n in lengths for i in range(len(word) - n + 1) if (t := word[i : i + n]) in names})
+
+    def share(hits, k: str, none):
+        return np.where(sizes[k] > 0, hits / np.maximum(sizes[k], 1), none)
+
+    def leading(rows: dict) -> dict:
+        """The rows that can be among the best: of equal scores, those of the smallest ids."""
+        best = sorted(rows.items(), key=lambda x: (-x[1][0], x[0] is not None, x[0]))
+        least, times, out = best[min(most, len(best)) - 1][1][0] - slack, {}, {}
+        for doc, (score, text) in best:
+            times[score] = times.get(score, 0) + 1
+            if score >= least and times[score] <= most:
+                out[doc] = (score, text)
+        return out
+
+    def score(batches):
+        known: dict[str, tuple] = {}
+        kept: list[dict] = [{} for _ in asked]
+        least = np.full(len(asked), -np.inf)
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                batch = whole.slice(at, 1000)
+                ids, found = batch.column(0).to_pylist(), np.zeros((len(batch), len(names)), np.float32)
+                for i, words in enumerate(batch.column(2).to_pylist()):
+                    own: set = set()
+                    for w in words or ():
+                        if (x := known.get(w)) is None:
+                            if len(known) > 500_000:
+                                known.clear()
+                            x = known[w] = held(w)
+                        own.update(x)
+                    found[i, list(own)] = 1
+                over = share(found @ table["terms"], "terms", 1.0)
+                total = np.where(over < 0.2, -np.inf, 0.7 * over + 0.3 * share(found @ table["info"], "info", over))
+                good = (total > -np.inf) & (total >= least - slack)
+                for j in np.flatnonzero(good.any(0)).tolist():
+                    for i in np.flatnonzero(good[:, j]).tolist():
+                        if ids[i] not in kept[j] or kept[j][ids[i]][0] < total[i, j]:
+                            kept[j][ids[i]] = (float(total[i, j]), batch.column(1)[i].as_py())
+                    kept[j] = leading(kept[j])
+                    if len(kept[j]) >= most:
+                        least[j] = sorted((x[0] for x in kept[j].values()), reverse=True)[most - 1]
+        for j, rows in enumerate(kept):
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([j] * len(rows), pa.int32()), pa.array(list(rows), kind), pa.array([x[1] for x in rows.values()], pa.string()), pa.array([x[0] for x in rows.values()])], names=["slot", "doc_id", "text", "near"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(docs.schema["doc_id"].dataType)
+    words = F.array_distinct(X.tokenize(F.col("text")))
+    pairs = docs.select("doc_id", "text", words.alias("words")).mapInArrow(score, f"slot int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, near double")
+    # Scores are taken again by the operator, which is slow on texts: only the leading pairs of all tasks go there.
+    pairs = pairs.groupBy("slot", "doc_id").agg(F.max_by("text", "near").alias("text"), F.max("near").alias("near"))
+    order = Window.partitionBy("slot").orderBy(F.col("near").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    pairs = pairs.withColumn("least", F.nth_value("near", most).over(order)).where(F.col("least").isNull() | (F.col("near") >= F.col("least") - slack))
+    slots = docs.sparkSession.createDataFrame([(j, r.query_id, r.terms) for j, r in enumerate(asked)], f"slot int, query_id {queries.schema['query_id'].dataType.simpleString()}, terms array<string>")
+    return pairs.join(slots, "slot").select("query_id", "terms", "doc_id", "text")
+
+
 def claims(kept: DataFrame, most: int = 3) -> DataFrame:
     """(query_id, pos, statement, strength, quality, doc_id, chunk_id): the first passages as claims, those of targets first."""
     own = kept.withColumn("statement", X.strip(F.coalesce(F.nullif("summary", F.lit("")), F.left("text", F.lit(280))))).where(F.col("statement") != "")

@@ -505,6 +505,15 @@ def target_seed(spark, sf_dir):
     return P.target_seeds(c).select("query_id", "doc_id", "score")
 
 
+@query()
+def target_seed_whole(spark, sf_dir):
+    """Every query against every document; ``target_seed`` and its SQL hold one fortieth of these pairs."""
+    q = asked(spark, sf_dir).select("query_id", F.array_distinct(X.tokenize(F.col("query"))).alias("terms"))
+    c = P.seed_candidates(read(spark, sf_dir, "documents").select("doc_id", "text"), q)
+    c = c.select("*", F.lit(False).alias("found_target"), F.lit(0).alias("chunk_id"), F.lit(None).cast("string").alias("summary"), F.lit("body").alias("chunk_type"), F.lit("paper").alias("doc_type"), F.lit(False).alias("is_table_or_figure"), F.lit(0.0).alias("noise_level"), F.lit(False).alias("has_metrics"))
+    return P.target_seeds(c).select("query_id", "doc_id", "score")
+
+
 @query()
 def structured_claims(spark, sf_dir):
     p, weights, stats = _library(spark, sf_dir)
