@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,6 +132,43 @@ def dense(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     return both.select("query_id", "vec_id", F.round(inner_product(F.col("embedding"), F.col("asked")), 6).alias("score"))
 
 
+def dense_top(queries: DataFrame, vectors: DataFrame, k: int, rows: int = 8192, block: int = 1024) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k best exact inner products of any number of query vectors with all rows.
+
+    Each shard of the rows meets all queries, a block at a time, and gives its k best and those within the rounding of
+    them. Products of the ones given are summed in the order of the components, as ``inner_product`` does.
+    """
+    shards = max(1, -(-vectors.count() // rows))
+    own = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.col("vec_id").alias("vec_id"), F.col("embedding").alias("row"))
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.col("query_id").alias("query_id"), F.col("embedding").alias("asked"))
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        column = column.combine_chunks()
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        qs, vs, out = [], [], []
+        if len(left) and len(right):
+            a, b = matrix(left.column("asked")), matrix(right.column("row"))
+            ids = right.column("vec_id").to_numpy()
+            b, ids = b[order := np.argsort(ids, kind="stable")], ids[order]
+            for at in range(0, len(a), block):
+                near = a[at : at + block] @ b.T
+                least = np.partition(near, max(0, len(b) - k), axis=1)[:, max(0, len(b) - k)]
+                q, v = np.nonzero(near >= least[:, None] - 2e-6)
+                exact = np.zeros(len(q))
+                for i in range(a.shape[1]):
+                    exact += a[at + q, i] * b[v, i]
+                qs.append(at + q)
+                vs.append(v)
+                out.append(exact)
+        q, v, s = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (qs, vs, out))
+        return pa.table([left.column("query_id").take(pa.array(q)), pa.array(ids[v], pa.int64()) if len(q) else pa.array([], pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "raw"])
+
+    pairs = asked.groupBy("shard").cogroup(own.groupBy("shard")).applyInArrow(best, f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id long, raw double")
+    return top(pairs.select("query_id", "vec_id", F.round("raw", 6).alias("score")), k, ["vec_id"])
+
+
 def top(scored: DataFrame, k: int, ties: list[str], by: str = "score") -> DataFrame:
     """The k best of each query with their rank; ties by the given columns. Ranks are limited before the shuffle."""
     order = Window.partitionBy("query_id").orderBy(F.col(by).desc(), *ties)

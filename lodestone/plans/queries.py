@@ -218,6 +218,14 @@ def dense_batch(spark, sf_dir):
     return R.top(R.dense(asked_, e.select("vec_id", "embedding")), 10, ["vec_id"]).select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query()
+def dense_batch_whole(spark, sf_dir):
+    """Every row whose id is divisible by 50 against all rows; ``dense_batch`` and its SQL ask five."""
+    e = read(spark, sf_dir, "embeddings")
+    asked_ = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return R.dense_top(asked_, e.select("vec_id", "embedding"), 10).select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 _LEX = r"""CASE WHEN len(qa) > 0 THEN len(list_intersect(qa, regexp_split_to_array(lower(d.text), '\s+'))) / len(qa) ELSE 0 END"""
 
 

@@ -3,8 +3,10 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.functions import values as V
+from lodestone.operators import retrieval as R
 from lodestone.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +35,21 @@ def test_seeds_come_from_all_documents(spark, table):
             residues.add(doc % 40 == b.item_id % 40)
     got = {(r.query_id, r.doc_id, r.score) for r in plans.QUERIES["target_seed_whole"](spark, SF).collect()}
     assert got == want and False in residues  # the best documents are not those of the query's own residue
+
+
+def test_every_fiftieth_vector_is_searched(spark, table):
+    rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in table("embeddings")]
+    want = set()
+    for query, a in rows:
+        if query % 50 == 0:
+            scored = []
+            for i, b in rows:
+                total = 0.0
+                for x, y in zip(a, b):
+                    total += x * y
+                scored.append((-round(total, 6), i))
+            want |= {(query, i, -s, n) for n, (s, i) in enumerate(sorted(scored)[:10], 1)}
+    assert {tuple(r) for r in plans.QUERIES["dense_batch_whole"](spark, SF).collect()} == want
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    blocks = R.dense_top(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e, 10, rows=70, block=3)
+    assert {(r.query_id, r.vec_id, r.score, r["rank"]) for r in blocks.collect()} == want
