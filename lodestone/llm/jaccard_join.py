@@ -15,7 +15,8 @@
    it within their block are then probed against the other blocks.
 
 Components come from alternating stars over tables in the shared folder. No pairs within a group are emitted
-beyond spanning links, and no fingerprints reach the driver.
+beyond spanning links, and no fingerprints reach the driver. With ``links``, all sets of a family are probed, and
+across its blocks too, and only their numbers of links are kept.
 
 Edge cases: null or empty texts, and texts without a word, have 0 shingles and are a component of their own (their
 id; null for a null id); shorter texts than a shingle are one shingle; equal rows are linked; a null id doesn't
@@ -366,8 +367,8 @@ def ordered(keys: np.ndarray, sizes: np.ndarray) -> tuple[list[np.ndarray], int]
     return np.split(token, np.cumsum(sizes)[:-1]), len(count)
 
 
-def join_family(names: np.ndarray, keys: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
-    """The smallest name of each set's component within the family."""
+def join_family(names: np.ndarray, keys: np.ndarray, sizes: np.ndarray, percent: int, copies: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(the smallest name of each set's component within the family, how many rows of other sets each set is linked to: 0 without ``copies``, the rows of each set)."""
     sets, vocabulary = ordered(keys, sizes)
     tree = PrefixTree(sets)
     root = list(range(len(sets)))
@@ -389,7 +390,11 @@ def join_family(names: np.ndarray, keys: np.ndarray, sizes: np.ndarray, percent:
     link(hubs)
     main = np.bincount([find(i) for i in range(len(sets))]).argmax()
     link([i for i in range(len(sets)) if i not in hubs and find(i) != main])
-    return names[[find(i) for i in range(len(sets))]]
+    n_links = np.zeros(len(sets), np.int64)
+    if copies is not None:
+        for who, others in tree.probes(sets, vocabulary, percent):
+            np.add.at(n_links, who, np.where(who == others, 0, copies[others]))
+    return names[[find(i) for i in range(len(sets))]], n_links
 
 
 def _grouped(batches, keys: int):
@@ -407,23 +412,27 @@ def _grouped(batches, keys: int):
         yield now, held
 
 
-def _read_sets(rows, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names, fingerprints and sizes of the distinct sets of (wanted name, text) rows."""
+def _read_sets(rows, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Names, fingerprints, sizes and numbers of rows of the distinct sets of (wanted name, rows, text) rows."""
     seen = {}
-    for name, text in rows:
-        seen.setdefault(name, text)
-    keys, sizes = shingles([(t or "").encode() for t in seen.values()], k)
-    return np.array(list(seen), np.int64), keys, sizes
+    for name, copies, text in rows:
+        seen.setdefault(name, (copies, text))
+    keys, sizes = shingles([(t or "").encode() for _, t in seen.values()], k)
+    return np.array(list(seen), np.int64), keys, sizes, np.array([c for c, _ in seen.values()], np.int64)
 
 
-def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
-    """(id, n_shingles, component_id): components of links between rows whose sets of k-word shingles have a Jaccard similarity of at least ``percent``."""
+def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, links: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id): components of links between rows whose sets of k-word shingles have a Jaccard similarity of at least ``percent``.
+
+    With ``links`` also n_links: the number of other rows that each row is linked to. Every set that may have a partner
+    is then probed against all sets of its family; no pairs are emitted.
+    """
     spark = docs.sparkSession
     ship(spark)
     shards = partitions(spark)
     rows, active = _sets(docs, k, percent, id_col, text_col, shards)
     # One row of the input stands for each set that may have a partner; its text is read again.
-    firsts = stored(rows.groupBy("set_id").agg(F.min("id").alias("id"), F.max("n").alias("n")), "sets")
+    firsts = stored(rows.groupBy("set_id").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.count("*").alias("copies")), "sets")
     chosen = firsts.join(active, "set_id").select("set_id", "id")
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     wanted = chosen.withColumnRenamed("id", "wanted").hint("shuffle_hash")
@@ -437,25 +446,26 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
 
     texts = stored(own.mapInArrow(tidied(right), "set_id long, text string"), "texts")
     families = components(_candidates(texts, k, percent, shards))
-    sizes = firsts.select("set_id", "n")
+    sizes = firsts.select("set_id", "n", "copies")
     member = families.select(F.col("u").alias("set_id"), F.col("v").alias("family")).union(families.select("v", "v").distinct()).join(sizes, "set_id")
     blocks = member.groupBy("family").agg(F.ceil(F.sum("n") / most).alias("blocks"))
     dealt = F.pmod(F.xxhash64("set_id"), F.col("blocks"))
     spread = F.when(F.col("set_id") == F.col("family"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(dealt))
-    member = stored(member.join(blocks, "family").select("set_id", "family", "blocks", F.explode(spread).alias("block")), "members")
+    member = stored(member.join(blocks, "family").select("set_id", "copies", "family", "blocks", F.explode(spread).alias("block")), "members")
 
     def within(batches):
         for (family, block, blocks_), held in _grouped(batches, 3):
-            names, keys, n = _read_sets(held, k)
-            out = join_family(names, keys, n, percent)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.full(len(names), family)), pa.array(np.full(len(names), block)), pa.array(np.full(len(names), blocks_)), pa.array(out)], names=["set_id", "family", "block", "blocks", "label"])
+            names, keys, n, copies = _read_sets(held, k)
+            out, n_links = join_family(names, keys, n, percent, copies if links else None)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.full(len(names), family)), pa.array(np.full(len(names), block)), pa.array(np.full(len(names), blocks_)), pa.array(out), pa.array(copies), pa.array(n_links)], names=["set_id", "family", "block", "blocks", "label", "copies", "n_links"])
 
     with_text = member.join(texts, "set_id")
-    laid = with_text.select("family", "block", "blocks", "set_id", "text").repartition(shards, "family", "block").sortWithinPartitions("family", "block")
-    label = stored(laid.mapInArrow(tidied(within), "set_id long, family long, block long, blocks long, label long"), "labels")
+    laid = with_text.select("family", "block", "blocks", "set_id", "copies", "text").repartition(shards, "family", "block").sortWithinPartitions("family", "block")
+    label = stored(laid.mapInArrow(tidied(within), "set_id long, family long, block long, blocks long, label long, copies long, n_links long"), "labels")
     edges = label.select(F.col("set_id").alias("a"), F.col("label").alias("b"))
     large = label.where("blocks > 1")
-    if large.limit(1).count():
+    split = bool(large.limit(1).count())
+    if split:
         edges = edges.union(_across(large, texts, k, percent, shards, most))
         roots = components(edges).select(F.col("u").alias("set_id"), F.col("v").alias("label"))
     else:  # every family was joined whole
@@ -463,7 +473,16 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     classes = firsts.where("n > 0").join(roots, "set_id", "left").select("set_id", F.col("id").alias("least"), F.coalesce("label", "set_id").alias("label"))
     lowest = classes.groupBy("label").agg(F.min("least").alias("component_id"))
     named = classes.join(lowest, "label").select("set_id", "component_id")
-    return rows.join(named, "set_id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    out = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")]
+    if not links:
+        return rows.join(named, "set_id", "left").select(*out)
+    others = label.select("set_id", "n_links")
+    if split:
+        others = others.union(_links_across(large, texts, k, percent, shards))
+    others = others.groupBy("set_id").agg(F.sum("n_links").alias("others"))
+    named = classes.join(lowest, "label").join(firsts.select("set_id", "copies"), "set_id").join(others, "set_id", "left")
+    named = named.select("set_id", "component_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return rows.join(named, "set_id", "left").select(*out, F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
 
 
 def _across(label: DataFrame, texts: DataFrame, k: int, percent: int, shards: int, most: int) -> DataFrame:
@@ -472,9 +491,9 @@ def _across(label: DataFrame, texts: DataFrame, k: int, percent: int, shards: in
     groups = rest.groupBy("family").agg(F.ceil(F.count("*") / 2000).alias("parts"))
     probes = rest.join(groups, "family").withColumn("part", F.pmod(F.xxhash64("set_id", F.lit(3)), F.col("parts")))
     probes = probes.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to <> block")
-    probes = probes.select("family", F.col("to").alias("block"), "part", F.lit(1).alias("probe"), "set_id")
+    probes = probes.select("family", F.col("to").alias("block"), "part", F.lit(1).alias("probe"), "set_id", "copies")
     kept = label.join(groups, "family").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    kept = kept.select("family", "block", "part", F.lit(0).alias("probe"), "set_id")
+    kept = kept.select("family", "block", "part", F.lit(0).alias("probe"), "set_id", "copies")
 
     def cross(batches):
         for _, held in _grouped(batches, 3):
@@ -482,11 +501,36 @@ def _across(label: DataFrame, texts: DataFrame, k: int, percent: int, shards: in
             probe_rows = [r[1:] for r in held if r[0]]
             if not stored_rows or not probe_rows:
                 continue
-            names, keys, n = _read_sets(stored_rows, k)
-            others, more, m = _read_sets(probe_rows, k)
+            names, keys, n, _ = _read_sets(stored_rows, k)
+            others, more, m, _ = _read_sets(probe_rows, k)
             sets, vocabulary = ordered(np.concatenate([keys, more]), np.concatenate([n, m]))
             for who, found in PrefixTree(sets[: len(n)]).probes(sets[len(n) :], vocabulary, percent):
                 yield pa.RecordBatch.from_arrays([pa.array(others[who]), pa.array(names[found])], names=["a", "b"])
 
-    laid = probes.unionByName(kept).join(texts, "set_id").select("family", "block", "part", "probe", "set_id", "text")
+    laid = probes.unionByName(kept).join(texts, "set_id").select("family", "block", "part", "probe", "set_id", "copies", "text")
     return laid.repartition(shards, "family", "block", "part").sortWithinPartitions("family", "block", "part").mapInArrow(tidied(cross), "a long, b long")
+
+
+def _links_across(label: DataFrame, texts: DataFrame, k: int, percent: int, shards: int) -> DataFrame:
+    """(set_id, n_links) between blocks of large families: each set but the first, which all blocks hold, against the sets of the later blocks; a link counts for both its ends."""
+    own = label.where("set_id <> family").select("family", "block", "blocks", "set_id", "copies")
+    probes = own.select("family", "set_id", "copies", F.lit(1).alias("probe"), F.col("block").alias("from"), F.explode(F.expr("filter(sequence(0, blocks - 1), b -> b > block)")).alias("to"))
+    kept = own.select("family", "set_id", "copies", F.lit(0).alias("probe"), F.explode(F.expr("filter(sequence(0, blocks - 1), b -> b < block)")).alias("from"), F.col("block").alias("to"))
+
+    def cross(batches):
+        for _, held in _grouped(batches, 3):
+            stored_rows = [r[1:] for r in held if not r[0]]
+            probe_rows = [r[1:] for r in held if r[0]]
+            if not stored_rows or not probe_rows:
+                continue
+            names, keys, n, copies = _read_sets(stored_rows, k)
+            others, more, m, rows = _read_sets(probe_rows, k)
+            sets, vocabulary = ordered(np.concatenate([keys, more]), np.concatenate([n, m]))
+            left, right = np.zeros(len(others), np.int64), np.zeros(len(names), np.int64)
+            for who, found in PrefixTree(sets[: len(n)]).probes(sets[len(n) :], vocabulary, percent):
+                np.add.at(left, who, copies[found])
+                np.add.at(right, found, rows[who])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([others, names])), pa.array(np.concatenate([left, right]))], names=["set_id", "n_links"])
+
+    laid = probes.unionByName(kept).join(texts, "set_id").select("family", "from", "to", "probe", "set_id", "copies", "text")
+    return laid.repartition(shards, "family", "from", "to").sortWithinPartitions("family", "from", "to").mapInArrow(tidied(cross), "set_id long, n_links long")

@@ -38,6 +38,11 @@ def op5_prefix_tree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op5_prefix_tree_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same join with the number of links of each row; the SQL of the query above has no such column."""
+    return jaccard_join.join(table(spark, sf_dir, "documents"), k=3, percent=90, links=True)
+
+
 def op6_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), fst_tokens.resolve(TOKENIZER))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_ngram_toxicity,
         op4_fst_token_counts,
         op5_prefix_tree_jaccard,
+        op5_prefix_tree_jaccard_links,
         op6_cost_balanced_packing,
         op7_prefix_forest_search,
         op8_path_template_filter,
