@@ -101,20 +101,30 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col:
     )
 
 
-def proximity(docs: DataFrame, items: DataFrame, slop: int, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(row, id, item, distance): rows in which the two rarest terms of an item stand at their distance in the item, give or take ``slop`` words; the least difference found.
+def proximity(docs: DataFrame, items: DataFrame, slop: int, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", share: float = 0.8) -> DataFrame:
+    """(row, id, item, matched, distance): rows in which at least ``share`` of an item's words, and two of them at least, stand at their offsets in the item, give or take ``slop`` words; of the starts with most words the least difference.
 
-    The posting lists of both terms are joined on the row after adjusting the second's positions by the terms'
-    offsets, in bands of the slop's width, so that no pair further apart than two bands is made.
+    A start is a place from which one word of the item at least stands at its very offset. A word's difference is that
+    from the place which the start gives it, and the distance is the largest of a match. Words that the corpus lacks
+    count as not found. Of n words that it has, a match holds one of the n - need + 1 rarest: the starts within
+    ``slop`` of where their postings put it are tried, and no match has another.
     """
     whole = stored(windows(items, 1 << 30, item_col, item_text), "items")
     counts = stored(term_counts(docs, whole.select(F.explode("win").alias("term")).distinct(), text_col), "terms")
-    two = ranked_terms(whole, counts).where(F.size("by") > 1)
-    wanted = stored(two.select("win", "items", F.col("by")[0].alias("p"), F.col("by")[1].alias("q")), "pairs")
-    rows = lambda c: postings(docs, small(wanted.select(F.col(f"{c}.term").alias("term"), F.col(f"{c}.offset").alias("offset"), "items")), id_col, text_col).select("row", "id", "items", (F.col("pos") - F.col("offset")).alias(c))
-    band = lambda c: F.floor(F.col(c) / (slop + 1))
-    left = rows("p").withColumn("band", F.explode(F.array(band("p") - 1, band("p"), band("p") + 1)))
-    both = left.join(rows("q").withColumn("band", band("q")).drop("id"), ["row", "items", "band"])
-    gap = F.abs(F.col("p") - F.col("q"))
-    near = both.where(gap <= slop).select("row", "id", F.explode("items").alias("item"), gap.alias("distance"))
-    return near.groupBy("row", F.col("id").alias(id_col), "item").agg(F.min("distance").alias("distance"))
+    each = whole.select("win", "items", F.posexplode("win").alias("offset", "term")).join(counts, "term")
+    need = F.greatest(F.lit(2), F.ceil(F.size("win") * share).cast("int"))
+    ranked = each.groupBy("win", "items").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("by")).withColumn("need", need).where(F.size("by") >= F.col("need"))
+    # Words that the corpus lacks can't be found: the other words are fewer, and so are the starts.
+    starts = stored(ranked.select("win", "items", "need", F.explode(F.slice("by", F.lit(1), F.size("by") - F.col("need") + 1)).alias("b")).select("win", "items", "need", "b.term", "b.offset"), "starts")
+    found = postings(docs, small(starts), id_col, text_col).withColumn("start", F.explode(F.sequence(F.col("pos") - F.col("offset") - slop, F.col("pos") - F.col("offset") + slop)))
+
+    def difference(term: Column, at: Column) -> Column:
+        low = F.greatest(at - slop, F.lit(0))
+        near = F.slice("w", low + 1, F.greatest(at + slop - low + 1, F.lit(0)))
+        return F.array_min(F.transform(near, lambda x, i: F.when(x == term, F.abs(low + i - at))))
+
+    gaps = F.filter(F.transform("win", lambda t, o: difference(t, F.col("start") + o)), lambda d: d.isNotNull())
+    near = found.select("row", "id", "items", "need", gaps.alias("gaps")).where((F.size("gaps") >= F.col("need")) & (F.array_min("gaps") == 0))
+    best = near.select("row", "id", F.explode("items").alias("item"), F.size("gaps").alias("matched"), F.array_max("gaps").alias("distance"))
+    most = best.groupBy("row", F.col("id").alias(id_col), "item").agg(F.min(F.struct((-F.col("matched")).alias("m"), F.col("distance"))).alias("x"))
+    return most.select("row", id_col, "item", (-F.col("x.m")).alias("matched"), F.col("x.distance").alias("distance"))
