@@ -365,9 +365,16 @@ _VARIANTS = [
 ]
 
 
+def _variant_text(spark, sf_dir) -> DataFrame:
+    """One text of each part: brands stand in for genes, sizes for positions and counts, types for classes."""
+    kind = F.element_at(F.array(*map(F.lit, V.CLINVAR)), (F.crc32("p_type") % len(V.CLINVAR) + 1).cast("int"))
+    text = F.format_string("GENE%s c.%dA>T variant in ClinVar: %s. %d cases of European ancestry, gnomAD 0.%d", F.regexp_extract("p_brand", r"(\d+)", 1), F.col("p_size"), kind, F.col("p_size") + 1, F.col("p_partkey") % 90 + 10)
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text"), (F.col("p_partkey") % 2).cast("int").alias("n_metrics"), F.lit("variant").alias("doc_type"))
+
+
 @query()
 def variant_fields(spark, sf_dir):
-    v = S.variant_fields(spark.createDataFrame(_VARIANTS, "doc_id int, text string, n_metrics int, doc_type string"))
+    v = S.variant_fields(_variant_text(spark, sf_dir))
     return v.withColumn("confidence", F.round(S.variant_confidence(v), 6)).drop("text")
 
 
@@ -376,6 +383,12 @@ def variant_conflicts(spark, sf_dir):
     return S.variant_conflicts(S.variant_fields(spark.createDataFrame(_VARIANTS, "doc_id int, text string, n_metrics int, doc_type string")))
 
 
+@query()
+def variant_conflicts_whole(spark, sf_dir):
+    """All texts; ``variant_conflicts`` and its SQL, a constant, hold four."""
+    return S.variant_conflicts(S.variant_fields(_variant_text(spark, sf_dir)))
+
+
 @query(rf"""WITH l AS (SELECT page_id, unnest(string_split(replace(url, '/', chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(url, '/', chr(10)), chr(10)), 1) - 1 AS pos FROM pages)
 SELECT page_id, CAST(pos AS INT) AS pos, {_STRIP("substring(line, 1, instr(line, ':') - 1)")} AS name, {_STRIP("substring(line, instr(line, ':') + 1)")} AS value FROM l WHERE contains(line, ':') AND length(line) < 120""")
 def assembly_lines(spark, sf_dir):
@@ -535,7 +548,7 @@ def structured_claims(spark, sf_dir):
 
 @query()
 def variant_coverage(spark, sf_dir):
-    v = S.variant_fields(spark.createDataFrame(_VARIANTS, "doc_id int, text string, n_metrics int, doc_type string"))
+    v = S.variant_fields(_variant_text(spark, sf_dir))
     return P.variant_coverage(v.withColumn("query_id", F.col("doc_id") % 2))
 
 

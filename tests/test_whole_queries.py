@@ -1,6 +1,7 @@
 """Queries over all pairs of a table, against plain loops on the smallest tables."""
 
 import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,3 +54,20 @@ def test_every_fiftieth_vector_is_searched(spark, table):
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
     blocks = R.dense_top(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e, 10, rows=70, block=3)
     assert {(r.query_id, r.vec_id, r.score, r["rank"]) for r in blocks.collect()} == want
+
+
+def test_variants_are_read_from_every_part(spark, table):
+    parts, kinds = table("part"), list(V.CLINVAR)
+    said = {}
+    for r in parts:
+        kind = kinds[zlib.crc32(r.p_type.encode()) % len(kinds)]
+        said.setdefault(f"c.{r.p_size}a>t", set()).add(V.CLINVAR[kind])
+    fields = {r.doc_id: r for r in plans.QUERIES["variant_fields"](spark, SF).collect()}
+    assert len(fields) == len(parts)
+    for r in parts:
+        f = fields[r.p_partkey]
+        assert (f.variant_id, f.gene, f.case_count, f.ancestry) == (f"c.{r.p_size}A>T", "GENE" + re.search(r"\d+", r.p_brand)[0], r.p_size + 1, "European ancestry")
+        assert f.clinvar == V.CLINVAR[kinds[zlib.crc32(r.p_type.encode()) % len(kinds)]] and f.gnomad == f"0.{r.p_partkey % 90 + 10}"
+    got = {(r.variant, r.labels) for r in plans.QUERIES["variant_conflicts_whole"](spark, SF).collect()}
+    assert got == {(v, ", ".join(sorted(x))) for v, x in said.items() if len(x) > 1} and got
+    assert sum(r.total_passages for r in plans.QUERIES["variant_coverage"](spark, SF).collect()) == len(parts)
