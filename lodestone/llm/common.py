@@ -14,7 +14,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _ROOT = Path(__file__).resolve().parents[2]
@@ -40,18 +40,37 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see, from ``spark.checkpoint.dir``; a local one where it is unset (tests)."""
+    """The folder that all executors see, from ``spark.checkpoint.dir``; where it is unset, a local one, on a local master only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         base = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
     return base.rstrip("/")
 
 
+_SCRATCH: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that ``stored`` writes within are deleted at the end: what is lazily read from them must be written by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write a table to the shared folder and read it back: a cut in the lineage that outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -106,6 +125,25 @@ def held(column: str, mod: int, rest: int):
     return F.crc32(text.cast("binary")) % mod == rest
 
 
+def drawn(rows: DataFrame, group: str, key: str, size: str, most: int, most_bytes: int, sums: list | None = None) -> DataFrame:
+    """At most ``most`` rows of each value of ``group``, and about ``most_bytes`` of ``size``: those of the smallest hashes of ``key``.
+
+    Hashes are first cut at a bound that leaves a few rows more than that, however many rows there are; only these are ranked.
+    ``sums`` are (``group``, n, bytes) rows, where they are known.
+    """
+    sums = sums or rows.groupBy(group).agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).collect()
+    bound = F.lit(None).cast("long")
+    for r in sums:
+        wanted = min(most, most_bytes * r["n"] / max(1, r["bytes"] or 0))
+        share = min(1.0, (wanted + 4 * wanted**0.5 + 10) / r["n"])
+        bound = F.when(F.col(group).eqNullSafe(F.lit(r[group])), F.lit(min(2**63 - 1, int(share * 2**64) - 2**63))).otherwise(bound)
+    mark = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(2))
+    order = Window.partitionBy(group).orderBy("_mark", key, size)
+    near = rows.withColumn("_mark", mark).where(F.col("_mark") <= bound)
+    ranked = near.withColumn("_rank", F.row_number().over(order)).withColumn("_sum", F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return ranked.where((F.col("_rank") <= most) & (F.col("_sum") < most_bytes)).drop("_mark", "_rank", "_sum")
+
+
 # ---------------------------------------------------------------- hashed words
 
 _rng = np.random.Generator(np.random.PCG64(20240607))

@@ -12,19 +12,17 @@ def _mark(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(u, v) for edges (a, b): every node that isn't the smallest of its component, with that smallest one.
 
-    Each round links a node's larger neighbours, then its smaller ones, to the smallest; labels move by joins on
+    Rounds go on until one changes nothing. Each links a node's larger neighbours, then its smaller ones, to the smallest; labels move by joins on
     combinable minima, so a node with very many neighbours is no single task's work. Rounds are tables in the
     shared folder; only a count and a checksum reach the driver.
     """
     spark = edges.sparkSession
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = _mark(e)
-    for _ in range(most_rounds):
-        if not mark[0]:
-            break
+    while mark[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

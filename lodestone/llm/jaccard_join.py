@@ -30,6 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,7 +104,9 @@ def _chunk_rows(names: list[np.ndarray], keys: list[np.ndarray], sizes: list[np.
     sizes = sizes[first]
     keys = ragged_take(keys, at, sizes) >> np.uint64(64 - bits)
     owner = np.repeat(np.arange(len(names), dtype=np.uint32), sizes)
-    chunk = int.from_bytes(hashlib.blake2b(names.tobytes(), digest_size=8).digest(), "little", signed=True)
+    # Equal chunks of different tasks are told apart, and a task that runs again gives its chunks the same names.
+    place = (TaskContext.get().partitionId() if TaskContext.get() else 0).to_bytes(8, "little")
+    chunk = int.from_bytes(hashlib.blake2b(names.tobytes() + place, digest_size=8).digest(), "little", signed=True)
     yield chunk % shards, chunk, 1, squeeze(names), squeeze(sizes)
     for s, k, o in _routed(keys, owner, bits, shards):
         yield s, chunk, 0, squeeze(_rises(k)), squeeze(o)

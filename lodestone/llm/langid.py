@@ -7,6 +7,10 @@ weighted by their bytes. Training (Adam on cross-entropy, gradients through the
 numpy on a bounded sample of labelled rows. For inference each filter bank is folded into tables over byte
 pairs, so a window costs a few table rows per byte.
 
+One more class than languages is learnt: bytes in no order. Windows of labelled text with their bytes shuffled stand
+for it, so the network also says how much of a text is language of any kind (``language_share``). Windows of all
+lengths are trained on, and short ones are rarely shuffled, as few bytes tell little.
+
 Edge cases: a null text or one without a letter is ``und`` with score 0; so is every text when nothing is
 labelled; with one language it is that language with score 1. Rows without a language teach nothing; repeated
 rows each get their row; other columns are ignored.
@@ -22,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import LOWER, held, ragged_take, ship, text_slices, tidied, utf8
+from lodestone.llm.common import LOWER, drawn, held, ragged_take, ship, text_slices, tidied, utf8
 
 WINDOW = 256
-WIDTHS, FILTERS = (2, 3, 4), 10
+WIDTHS, FILTERS = (2, 3, 4), 16
 #: Bounds of the sample for training, for each language: documents, bytes, windows.
 MOST_DOCS, MOST_BYTES, MOST_WINDOWS = 600, 2_000_000, 1500
 #: Windows that are scored at a time, and bytes of texts.
@@ -137,13 +141,12 @@ class Network:
 def train(docs: DataFrame, mod: int = 4, rest: int = 2, most_docs: int = MOST_DOCS, most_bytes: int = MOST_BYTES, most_windows: int = MOST_WINDOWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
     """Fit on a hashed sample, within the bounds for each language, of the labelled rows that aren't held out."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held(id_col, mod, rest)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t"), F.col(id_col).cast("string").alias("id"))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("bytes")).collect()
-    langs = sorted(r["lang"] for r in sizes)
+    known = known.withColumn("n", F.octet_length("t").cast("long"))
+    sums = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum("n").alias("bytes")).collect()
+    langs = sorted(r["lang"] for r in sums)
     if len(langs) < 2:
         return {"langs": langs}
-    rate = {r["lang"]: int(1_000_000 * min(1.0, most_docs / r["n"], most_bytes / max(1, r["bytes"]))) + 1 for r in sizes}
-    most = F.element_at(F.create_map(*(x for k, v in rate.items() for x in (F.lit(k), F.lit(v)))), F.col("lang"))
-    rows = known.where(F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit(2)), F.lit(1_000_000)) < most).select("lang", "t", "id").collect()
+    rows = drawn(known, "lang", "id", "n", most_docs, most_bytes, sums).select("lang", "t", "id").collect()
     rows.sort(key=lambda r: (r["lang"], r["id"] or "", r["t"]))
     rng = np.random.default_rng(11)
     xs, ys = [], []
@@ -151,14 +154,25 @@ def train(docs: DataFrame, mod: int = 4, rest: int = 2, most_docs: int = MOST_DO
         x, _, filled = windows([r["t"].encode() for r in rows if r["lang"] == lang])
         x = x[filled >= min(WINDOW, 16)]
         x = x[rng.permutation(len(x))[:most_windows]]
-        xs.append(x)
-        ys.append(np.full(len(x), c))
+        short = x[: len(x) // 6].copy()  # the same windows, cut off early
+        upto = rng.integers(8, 96, len(short))
+        short[np.arange(WINDOW) >= upto[:, None]] = 0
+        noise = x[len(x) // 6 : len(x) // 6 + len(x) // (len(langs) + 1)].copy()
+        for row in noise:
+            n = np.count_nonzero(row)
+            row[:n] = row[:n][rng.permutation(n)]
+        xs += [x, short, noise]
+        ys += [np.full(len(x) + len(short), c), np.full(len(noise), len(langs))]
     x, y = np.concatenate(xs), np.concatenate(ys)
-    return {"langs": langs} | (fit(x, y, len(langs)) if len(x) else {})
+    return {"langs": langs} | (fit(x, y, len(langs) + 1) if len(x) else {})
 
 
 def predict(docs: DataFrame, model: dict, mod: int = 4, rest: int = 2, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
-    """id (and the columns in ``keep``), held_out, lang_pred, score of every row, where it is read. ``prefix`` keeps the new names apart from kept ones."""
+    """id (and the columns in ``keep``), held_out, lang_pred, score, language_share of every row, where it is read.
+
+    ``score`` is the predicted language's share of what the network takes for language, and ``language_share`` how much
+    of the text that is. ``prefix`` keeps the new names apart from kept ones.
+    """
     ship(docs.sparkSession)
     kept, langs = keep or [id_col], model["langs"]
 
@@ -170,14 +184,16 @@ def predict(docs: DataFrame, model: dict, mod: int = 4, rest: int = 2, id_col: s
                 some = np.array([t is not None and _LETTER.search(t) is not None for t in column.to_pylist()], bool)
                 if net:
                     p = net.texts(raw)
+                    share = 1 - p[:, -1]
+                    p = p[:, :-1] / np.maximum(share, 1e-12)[:, None]
                     best = p.argmax(axis=1)
                     score = np.clip(p[np.arange(len(p)), best], 0, 1)
                 else:
-                    best, score = np.zeros(b - a, int), np.full(b - a, float(len(langs) == 1))
+                    best, score, share = np.zeros(b - a, int), np.full(b - a, float(len(langs) == 1)), np.ones(b - a)
                     some &= len(langs) == 1
                 said = [langs[k] if s else UNKNOWN for k, s in zip(best.tolist(), some.tolist())]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in [*kept, f"{prefix}held_out"]), pa.array(said, pa.string()), pa.array(np.where(some, score, 0.0))], names=[f.name for f in schema])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in [*kept, f"{prefix}held_out"]), pa.array(said, pa.string()), pa.array(np.where(some, score, 0.0)), pa.array(np.where(some, np.clip(share, 0, 1), 0.0))], names=[f.name for f in schema])
 
     own = docs.select(*kept, *([] if text_col in kept else [text_col]), held(id_col, mod, rest).alias(f"{prefix}held_out"))
-    schema = T.StructType([*(own.schema[c] for c in [*kept, f"{prefix}held_out"]), T.StructField(f"{prefix}lang_pred", T.StringType()), T.StructField(f"{prefix}score", T.DoubleType())])
+    schema = T.StructType([*(own.schema[c] for c in [*kept, f"{prefix}held_out"]), T.StructField(f"{prefix}lang_pred", T.StringType()), T.StructField(f"{prefix}score", T.DoubleType()), T.StructField(f"{prefix}language_share", T.DoubleType())])
     return own.mapInArrow(tidied(run), schema)

@@ -18,11 +18,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import LOWER, Ragged, held, mix64, ragged_take, scan_words, ship, text_slices, tidied, utf8
+from lodestone.llm.common import LOWER, Ragged, drawn, held, mix64, ragged_take, scan_words, ship, text_slices, tidied, utf8
 from lodestone.llm.fst_tokens import CACHE_WORDS, WordTable
 
 SIZES = (3, 4, 5, 6)
@@ -123,21 +123,20 @@ def fit(texts: list[bytes], toxic: np.ndarray, prior: float, least_z: float = 4.
 def train(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0, most_docs: int = MOST_DOCS, most_bytes: int = MOST_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
     """Fit on a hashed sample of the labelled rows that aren't held out (crc32 of the id modulo ``mod`` is ``rest``)."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held(id_col, mod, rest)).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col)).cast("int").alias("y"))
-    sizes = docs.select(F.col(id_col).alias("id"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).alias("n")).join(known, "id").groupBy("y").agg(F.count("*").alias("docs"), F.sum("n").alias("bytes")).collect()
-    have = {r["y"]: r for r in sizes if r["y"] in (0, 1)}
-    total = sum(r["docs"] for r in have.values())
+    matched = docs.select(F.col(id_col).alias("id"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n")).join(known, "id").where("y in (0, 1)")
+    sums = matched.groupBy("y").agg(F.count("*").alias("n"), F.sum("n").alias("bytes")).collect()
+    have = {r["y"]: r["n"] for r in sums}
+    total = sum(have.values())
     if len(have) < 2:
-        return {"features": np.zeros(0, np.int32), "weights": np.zeros(0), "bias": None, "share": have[1]["docs"] / total if 1 in have else 0.0}
-    rate = {y: min(1.0, most_docs / r["docs"], most_bytes / max(1, r["bytes"])) for y, r in have.items()}
-    draw = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_000))
-    chosen = known.where(draw < F.when(F.col("y") == 1, int(rate[1] * 1_000_000)).otherwise(int(rate[0] * 1_000_000)))
-    # At most about twice most_docs rows, by the rates above.
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "id").select("id", "y", "t").collect()
+        return {"features": np.zeros(0, np.int32), "weights": np.zeros(0), "bias": None, "share": have[1] / total if 1 in have else 0.0}
+    # At most most_docs rows a class: their ids are sent to the texts, never the texts to each other.
+    chosen = drawn(matched, "y", "id", "n", most_docs, most_bytes, sums).select("id", "y").distinct()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "id")
+    nth = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("id", "t")))  # ids may repeat
+    rows = texts.withColumn("nth", nth).where(F.col("nth") <= most_docs).select("id", "y", "t").collect()
     rows.sort(key=lambda r: (str(r["id"]), r["t"] or ""))
     y = np.array([r["y"] for r in rows])
-    if len(set(y.tolist())) < 2:
-        return {"features": np.zeros(0, np.int32), "weights": np.zeros(0), "bias": None, "share": have[1]["docs"] / total}
-    return fit([(r["t"] or "").encode() for r in rows], y, have[1]["docs"] / total)
+    return fit([(r["t"] or "").encode() for r in rows], y, have[1] / total)
 
 
 @lru_cache(maxsize=2)

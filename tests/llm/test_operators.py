@@ -440,5 +440,34 @@ def test_pipeline_stages(spark):
     sets = [shingle_set(rows[i], 5) for i in sorted(kept)]
     assert not any(100 * len(a & b) >= 80 * len(a | b) for i, a in enumerate(sets) for b in sets[:i] if a and b)
     assert packed.agg({"length": "sum"}).first()[0] == sum(len(library_ids(rows[i])) + 1 for i in kept)
-    for _, stage in pipeline.STAGES[:4]:
+    for _, stage in pipeline.STAGES[:4]:  # empty tables, other columns
+        assert stage(spark, docs.limit(0).selectExpr("*", "1 as _key", "2 as _tox_score"), sf_dir).columns == [*docs.columns, "_key", "_tox_score"]
         assert stage(spark, docs.limit(0), sf_dir).columns == docs.columns
+
+
+def test_pipeline_judges_rows_that_share_an_id_one_by_one(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    long = " ".join(f"w{i}" for i in range(40))
+    leak = " ".join(f"item{i}" for i in range(12))
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"x {leak}"), (1, f"{leak} y"), (2, f"z {leak}"), (2, "a clean row of the same id"), (None, "another clean row"), (3, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()), key=str) == sorted([rows[3], rows[4], rows[5], rows[6]], key=str)
+    rows = [(5, long), (6, long), (6, "a different text of the same id"), (5, long), (None, long), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()), key=str) == sorted([rows[0], rows[2], rows[5], rows[6]], key=str)
+
+
+def test_language_stage_goes_by_the_network(spark):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(16)
+    syllables = {"aa": "ba be bi do du".split(), "zz": "ver zor wim tux yor".split()}
+    rows = [(i, " ".join("".join(rng.choice(syllables[k]) for _ in range(rng.randint(2, 5))) for _ in range(60)), k) for i in range(160) for k in [["aa", "zz"][i % 2]]]
+    junk = [(500, "".join(rng.choice("abdeiouvrzwmtxy ") for _ in range(2000)), None), (501, "12 34", "aa"), (502, None, "aa")]
+    docs = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in pipeline.keep_languages(spark, docs, "").collect()}
+    assert kept == set(range(160))
+    kept = {r.doc_id for r in pipeline.keep_languages(spark, docs, "", languages=("zz",)).collect()}
+    assert kept == {i for i in range(160) if i % 2}
