@@ -99,65 +99,60 @@ def test_packing_balances_cost():
 def test_elias_fano_round_trip_and_successor():
     rng = np.random.default_rng(0)
     for n in (0, 1, 5, 3000):
-        a = np.sort(rng.integers(0, 1 << 40, n)).astype(np.uint64)
-        e = eflm.EliasFano(*eflm.ef_pack(a, 1 << 40))
-        assert (e.decode() == a).all()
-        for x in rng.integers(0, 1 << 40, 20):
-            assert e.successor(0, n, int(x)) == np.searchsorted(a, np.uint64(x))
-
-
-def test_trie_single_and_bulk_lookups_agree():
-    rng = random.Random(4)
-    words = np.sort(np.array([rng.getrandbits(64) for _ in range(80)], np.uint64))
-    bigrams = sorted({(rng.randrange(0, 80, 3), rng.getrandbits(40)) for _ in range(300)})
-    of, succ = np.array([b[0] for b in bigrams]), np.array([b[1] for b in bigrams], np.uint64)
-    trie = eflm.Trie(eflm.Trie.build(words, np.arange(80), np.full(len(of), 2), of, succ, 8.0))
-    trie.open()
-    counts, _, codes = trie.ask(words, of, succ)
-    assert (counts == np.arange(80)).all() and (codes < 255).all()
-    for i in range(0, len(of), 7):
-        c, a = trie.find(int(words[of[i]]), int(succ[i]))
-        assert c == of[i] and math.isclose(a, 10 ** (-int(codes[i]) * eflm.STEP))
-
-
-def slow_lm(rows, kappa=eflm.KAPPA):
-    count, pairs, context, kids, tokens = collections.Counter(), collections.Counter(), collections.Counter(), collections.Counter(), []
+        for universe in (1 << 40, 1 << 64, 2000):
+            a = np.sort(rng.integers(0, universe - 1, n, dtype=np.uint64, endpoint=True))
+            e = eflm.EliasFano(*eflm.ef_pack(a, universe))
+            assert (e.get(np.arange(n)) == a).all()
+            x = rng.integers(0, universe - 1, 50, dtype=np.uint64, endpoint=True)
+            low, high = rng.integers(0, n + 1, 50), rng.integers(0, n + 1, 50)
+            got = e.successor(low, high, x)
+            assert got.tolist() == [max(l, min(h, int(np.searchsorted(a, y)))) if l < h else l for l, h, y in zip(low.tolist(), high.tolist(), x)]
+
+
+def slow_lm(rows, discount=eflm.DISCOUNT):
+    count, grams, tokens = collections.Counter(), {2: collections.defaultdict(collections.Counter), 3: collections.defaultdict(collections.Counter)}, []
     for i, text in rows:
         w = [x.lower() if x.isascii() else x for x in re.findall(r"[^\x20\x09-\x0D]+", text or "")] + [None]
         held = zlib.crc32(str(i if i is not None else "").encode()) % 7 == 2
         tokens.append((i, held, w))
         if not held:
             count.update(w)
-            for p, q in zip(["<s>", *w], w):
-                pairs[p, q] += 1
-                context[p] += 1
-    for p, _ in pairs:
-        kids[p] += 1
+            path = ["<s>", *w]
+            for at, q in enumerate(w):
+                grams[2][path[at]][q] += 1
+                if at:
+                    grams[3][path[at - 1], path[at]][q] += 1
     n, v, once = sum(count.values()), len(count), sum(c == 1 for c in count.values())
     unseen = (once or 1) / (n + 1) if n else 1.0
-    a, spent = {}, collections.Counter()
-    for (p, q), c in pairs.items():
-        code = min(255, math.ceil(-math.log10(c / (context[p] + kappa * kids[p])) / eflm.STEP - 1e-9))
-        a[p, q] = 0 if code == 255 else 10 ** (-code * eflm.STEP)
-        spent[p] += a[p, q]
-    b = {p: 10 ** (-math.ceil(-math.log10(max(1 - s, 1e-6)) / eflm.FINE - 1e-9) * eflm.FINE) for p, s in spent.items()}
+    alpha, left = {}, {}
+    for order, step, most in ((2, eflm.FINE, 65535), (3, eflm.FINE3, 255)):
+        for context, own in grams[order].items():
+            for q, c in own.items():
+                code = min(255, math.ceil(-math.log10((c - discount) / sum(own.values())) / eflm.STEP - 1e-9))
+                alpha[context, q] = 0 if code == 255 else 10 ** (-code * eflm.STEP)
+            spent = sum(alpha[context, q] for q in own)
+            left[context] = 10 ** (-min(most, math.ceil(-math.log10(max(1 - spent, 1e-6)) / step - 1e-9)) * step)
     for i, held, w in tokens:
-        uni = [(1 - unseen) * count[q] / n if count[q] else unseen for q in w]
-        score = sum(math.log10(a.get((p, q), 0) + b.get(p, 1.0) * u) for p, q, u in zip(["<s>", *w], w, uni))
+        path, score = ["<s>", *w], 0.0
+        for at, q in enumerate(w):
+            p = (1 - unseen) * count[q] / n if count[q] else unseen
+            p = alpha.get((path[at], q), 0) + left.get(path[at], 1.0) * p
+            if at:
+                context = (path[at - 1], path[at])
+                p = alpha.get((context, q), 0) + left.get(context, 1.0) * p
+            score += math.log10(p)
         yield i, held, len(w), sum(count[q] > 0 for q in w), n, sum(math.log10((count[q] + 1) / (n + v + 1)) for q in w), score
 
 
-@pytest.mark.parametrize("chunk", [50, 2_000_000])
-def test_language_model_matches_brute_force(spark, chunk):
+@pytest.mark.parametrize("chunk,shard_bytes", [(50, 100_000), (2_000_000, 12_000_000)])
+def test_language_model_matches_brute_force(spark, monkeypatch, chunk, shard_bytes):
     rng = random.Random(5)
     texts = HARD[:5] + HARD[9:] + [" ".join(rng.choice("the a cat dog sat mat on it ran Far".split()) for _ in range(rng.randint(1, 40))) for _ in range(60)]
     docs = documents(spark, texts)
+    docs = docs.union(docs)  # equal partitions
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    eflm.CHUNK, before = chunk, eflm.CHUNK
-    try:
-        out = sorted((tuple(r) for r in eflm.score(docs).collect()), key=str)
-    finally:
-        eflm.CHUNK = before
+    monkeypatch.setattr(eflm, "COMMON", 6)
+    out = sorted((tuple(r) for r in eflm.score(docs, shard_bytes=shard_bytes, chunk_tokens=chunk).collect()), key=str)
     want = sorted(slow_lm(rows), key=str)
     key = lambda r: (str(r[0]), *r[1:5], round(r[5], 6), round(r[6], 6))
     assert sorted(map(key, out)) == sorted(map(key, want))
