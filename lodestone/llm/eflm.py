@@ -50,7 +50,7 @@ from pyspark.sql import types as T
 from lodestone.llm.common import dealt, held, mix64, partitions, scan_words, ship, squeeze, stored, text_slices, tidied, unsqueeze, utf8
 
 #: Tokens of a chunk; bytes of text for each shard; the discount of a count.
-CHUNK, SHARD_BYTES, DISCOUNT = 1_500_000, 12_000_000, 0.75
+CHUNK, SHARD_BYTES, DISCOUNT = 1_500_000, 6_000_000, 0.75
 SCAN_BYTES = 1 << 20
 #: The sample, words of two bytes, share of the sample's tokens from which a word's contexts are split, and into how many.
 SAMPLE_BYTES, COMMON, SPLIT, GROUPS = 48_000_000, 60_000, 1 / 512, 64
@@ -75,6 +75,10 @@ def ef_pack(values: np.ndarray, universe: int) -> list[np.ndarray]:
     return [np.array([n, low], np.int64), np.append(lows, np.zeros(8, np.uint8)), np.packbits(bits, bitorder="little").view(np.uint64)]
 
 
+#: Place of the n-th one of each byte, at 8 * byte + n.
+_NTH_ONE = np.array([([k for k in range(8) if b >> k & 1] + [0] * 8)[:8] for b in range(256)], np.uint8).reshape(-1)
+
+
 class EliasFano:
     """A packed sequence over buffers: vectorised reads of single places and successor searches."""
 
@@ -83,27 +87,47 @@ class EliasFano:
         # Eight bytes from any byte on; and how many ones stand before each word: the directory for select.
         self.lows = np.ndarray((len(lows) - 7,), "<u8", lows.data if len(lows) else b"", strides=(1,))
         self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(highs), dtype=np.int64)])
+        self.zeros = 64 * np.arange(len(self.before)) - self.before
+
+    @staticmethod
+    def _select(bits: np.ndarray, word: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """Place of the ``rest``-th one of ``bits``, the contents of words number ``word``."""
+        place = word << 6
+        for width in (32, 16, 8):  # halve the word that holds the one looked for, down to its byte
+            ones = np.bitwise_count(bits & np.uint64((1 << width) - 1))
+            up = rest >= ones
+            rest = rest - ones * up
+            step = up * np.uint8(width)
+            place += step
+            bits = bits >> step
+        return place + _NTH_ONE[(bits & np.uint64(255)).astype(np.int64) << 3 | rest]
 
     def get(self, at: np.ndarray) -> np.ndarray:
         """Values at the places ``at``: select in the high part, a shift in the low part."""
         word = np.searchsorted(self.before, at, side="right") - 1
-        rest = at - self.before[word]
-        bits, place = self.highs[word], word << 6
-        for width in (32, 16, 8, 4, 2, 1):  # halve the word that holds the one looked for
-            ones = np.bitwise_count(bits & np.uint64((1 << width) - 1)).astype(np.int64)
-            up = rest >= ones
-            rest -= np.where(up, ones, 0)
-            place += np.where(up, width, 0)
-            bits = np.where(up, bits >> np.uint64(width), bits)
+        place = self._select(self.highs[word], word, at - self.before[word])
         out = (place - at).astype(np.uint64) << np.uint64(self.low)
         if self.low:
             first = at * self.low
             out |= (self.lows[first >> 3] >> (first & 7).astype(np.uint64)) & np.uint64((1 << self.low) - 1)
         return out
 
+    def _below(self, high: np.ndarray) -> np.ndarray:
+        """How many values have a high part below ``high``: the ones before the zero that ends it."""
+        nth = high - 1
+        word = np.searchsorted(self.zeros, nth, side="right") - 1
+        some = (nth >= 0) & (nth < self.zeros[-1])
+        out = np.where(nth < 0, 0, self.n)
+        word, nth = word[some], nth[some]
+        out[some] = self._select(~self.highs[word], word, nth - self.zeros[word]) - nth
+        return out
+
     def successor(self, a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
         """First place from each a to before its b whose value is at least x (b if none)."""
         a, b = a.copy(), b.copy()
+        if len(wide := np.flatnonzero(b - a > 4)):  # values of the same high part only
+            high = (x[wide] >> np.uint64(self.low)).astype(np.int64)
+            a[wide], b[wide] = (np.clip(self._below(h), a[wide], b[wide]) for h in (high, high + 1))
         live = np.flatnonzero(a < b)
         while len(live):
             m = (a[live] + b[live]) >> 1
@@ -137,7 +161,7 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
 def _smoothed(n: np.ndarray, of: np.ndarray, contexts: int, step: float, most: int, kind) -> list[np.ndarray]:
     """Codes of the discounted shares of counts within their contexts, and of what is left to each context."""
     total = np.bincount(of, weights=n, minlength=contexts)
-    codes = quantise(np.maximum(n - DISCOUNT, 0) / total[of], STEP, 255) if len(of) else np.zeros(0, np.int64)
+    codes = quantise(np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1)[of], STEP, 255) if len(of) else np.zeros(0, np.int64)
     left = 1 - np.bincount(of, weights=restore(codes, STEP, 255), minlength=contexts)
     return [codes.astype(np.uint8), quantise(np.maximum(left, 1e-6), step, most).astype(kind)]
 
@@ -183,10 +207,11 @@ class Trie:
         shift[late] = lists.get(first[late] - 1)
         at, found = np.full(len(of), -1, np.int64), np.flatnonzero(ok)
         a, b, wanted = first[of[found]], last[of[found]], x[found].astype(np.uint64) + shift[of[found]]
-        place = lists.successor(a, b, wanted)
-        inside = np.flatnonzero(place < b)
-        hit = inside[lists.get(place[inside]) == wanted[inside]]
-        at[found[hit]] = place[hit]
+        many = np.flatnonzero(b - a > 1)  # a list of one needs no search
+        a[many] = lists.successor(a[many], b[many], wanted[many])
+        inside = np.flatnonzero(a < b)
+        hit = inside[lists.get(a[inside]) == wanted[inside]]
+        at[found[hit]] = a[hit]
         return at, first
 
     def _numbers(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -362,6 +387,9 @@ def _read(blob: bytes, common: np.ndarray) -> dict:
 
 def _merged(of: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (of, key) rows in their order, and which of them each row is."""
+    if len(of) and int(of.max()) < 1 << 16:  # both in one number
+        both, which = np.unique(of.astype(np.uint64) << np.uint64(48) | key, return_inverse=True)
+        return (both >> np.uint64(48)).astype(np.int64), both & np.uint64((1 << 48) - 1), which
     order = np.lexsort((key, of))
     a, b = of[order], key[order]
     new = np.ones(len(a), bool)
@@ -371,30 +399,39 @@ def _merged(of: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return a[new], b[new], which
 
 
-def learn(parts: list[dict]) -> tuple[bytes, tuple[int, int, int]]:
-    """The shard's trie from all chunks' questions, and its (tokens, words, words met once)."""
+def serve(parts: list[dict]):
+    """Lays the shard's trie out from all chunks' questions and asks it each distinct one once: its (tokens, words, words met once), then each chunk's answers."""
     join = lambda f: np.concatenate([q[f] for q in parts])
     nodes, where = np.unique(join("nodes"), return_inverse=True)
     counts = np.bincount(where, weights=join("counts"), minlength=len(nodes)).astype(np.int64)
-    size2, size1 = join("size2"), join("size1")
+    size2, size1, size3 = join("size2"), join("size1"), join("size3")
     of1 = np.repeat(np.arange(len(where)), size1)
     of2, key2, which2 = _merged(np.repeat(where, size2), join("key2"))
     n2 = np.bincount(which2, weights=join("n2"), minlength=len(of2)).astype(np.int64)
     node1, key1, which1 = _merged(where[of1], join("key1"))
-    size3 = join("size3")
-    of3 = np.repeat(np.arange(len(of1)), size3)
-    to = which2[(np.cumsum(size2) - size2)[of1[of3]] + join("to3")]
-    n3 = join("n3")
-    seen = n3 > 0
-    t, which3 = np.unique(which1[of3[seen]] * max(1, len(of2)) + to[seen], return_inverse=True)
-    n3 = np.bincount(which3, weights=n3[seen], minlength=len(t)).astype(np.int64)
+    ctx = np.repeat(which1, size3)
+    to = which2[np.repeat((np.cumsum(size2) - size2)[of1], size3) + join("to3")]
+    t, which3 = np.unique(ctx * max(1, len(of2)) + to, return_inverse=True)
+    del ctx, to, of1
+    n3 = np.bincount(which3, weights=join("n3"), minlength=len(t)).astype(np.int64)
     ctx, to = np.divmod(t, max(1, len(of2)))
     # Only what training rows hold is laid out: contexts with a trigram, successors with a count or a trigram.
+    seen = n3 > 0
     keep2, keep1 = n2 > 0, np.zeros(len(node1), bool)
-    keep2[to] = keep1[ctx] = True
+    keep2[to[seen]] = keep1[ctx[seen]] = True
     new2, new1 = np.cumsum(keep2) - 1, np.cumsum(keep1) - 1
-    raw = Trie.build(nodes, counts, (of2[keep2], key2[keep2], n2[keep2]), (node1[keep1], key1[keep1]), (new1[ctx], new2[to], n3))
-    return raw, (int(counts.sum()), int((counts > 0).sum()), int((counts == 1).sum()))
+    trie = Trie(_mapped(Trie.build(nodes, counts, (of2[keep2], key2[keep2], n2[keep2]), (node1[keep1], key1[keep1]), (new1[ctx[seen]], new2[to[seen]], n3[seen]))))
+    yield int(counts.sum()), int((counts > 0).sum()), int((counts == 1).sum())
+    del counts, n2, n3, seen, keep1, keep2, new1, new2, t
+    each2 = np.bincount(of2, minlength=len(nodes))
+    within = to - (np.cumsum(each2) - each2)[node1[ctx]] if len(ctx) else to
+    asked = {"nodes": nodes, "key2": key2, "size2": each2, "key1": key1, "size1": np.bincount(node1, minlength=len(nodes)), "size3": np.bincount(ctx, minlength=len(node1)), "to3": within}
+    del of2, node1, ctx, to
+    found = trie.ask(asked)
+    lengths = np.array([[len(q[f]) for f in ("nodes", "nodes", "key2", "key1", "to3")] for q in parts])
+    cuts = np.concatenate([np.zeros((1, 5), np.int64), np.cumsum(lengths, axis=0)])
+    for a, b in zip(cuts, cuts[1:]):
+        yield [x[i[k:m]] for x, i, k, m in zip(found, (where, where, which2, which1, which3), a, b)]
 
 
 def _mapped(raw: bytes) -> mmap.mmap:
@@ -455,7 +492,7 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2, id_col: str = "doc_id",
         if size:
             yield from chunk_rows()
 
-    def serve(batches):
+    def answer(batches):
         asked: dict[int, list] = {}
         for batch in batches:
             for r in batch.to_pylist():
@@ -465,17 +502,16 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2, id_col: str = "doc_id",
                     asked.setdefault(r["shard"], []).append((r["chunk"], r["b"]))
         for s in list(asked):
             questions = asked.pop(s)
-            raw, sums = learn([_read(b, common) for _, b in questions])
-            trie = Trie(_mapped(raw))
-            del raw
-            for i, (chunk, b) in enumerate(questions):
-                yield rows([(s, chunk, None, None, bundle([squeeze(a) for a in trie.ask(_read(b, common))]), *(sums if i == 0 else (0, 0, 0)))], answered)
-            del trie
+            found = serve([_read(b, common) for _, b in questions])
+            sums = next(found)
+            for chunk, _ in questions:
+                yield rows([(s, chunk, None, None, bundle([squeeze(a) for a in next(found)]), *sums)], answered)
+                sums = (0, 0, 0)
 
     own = docs.select(id_col, text_col, held(id_col, mod, rest).alias("held"))
     home = F.when(F.col("shard") >= 0, F.col("shard")).otherwise(F.pmod(F.xxhash64("chunk"), F.lit(shards)))
     sent = dealt(own.mapInArrow(tidied(read), base), shards, home)
-    back = stored(sent.mapInArrow(tidied(serve), answered), "answers")
+    back = stored(sent.mapInArrow(tidied(answer), answered), "answers")
     sums = back.agg(F.sum("tokens"), F.sum("words"), F.sum("once")).first()
     n, v, once = (int(x or 0) for x in sums)
     unseen = (once if once else 1) / (n + 1) if n else 1.0
