@@ -1,18 +1,19 @@
 """Benchmark decontamination by a distributed positional inverted index, in DataFrame functions only.
 
-Postings (term, row, position) are made by exploding each row's words with their positions, for the terms of
-the test items alone. ``term_counts`` ranks those terms by their number of postings in the whole corpus. Each
-test window is then looked up through its rarest term: the posting's position less the term's offset in the
-window is where the window would start, and the lists of its other terms are intersected at that offset, read
-off the row's word array, which is the same postings in the order of positions. Two scans of the corpus, no
-shuffle of its words: only rows with a match, and one line per row, are shuffled.
+``index`` reads the corpus once and writes postings (term, row, position) of the test items' terms to the shared
+folder, and beside them one line for each row with its number of words; rows get their names in that pass, so they
+hold for all that follows. A test window is looked up from its rarest term: that term's postings, less the term's
+offset in the window, are where the window would start. The starts are intersected with the offset-adjusted list of
+the second rarest term, and what is left with the lists of all others; a start that stands in every list is an exact
+match. ``proximity`` intersects the same lists with a slop. Texts are not looked at again, and no row's words travel.
 
-The table of windows is broadcast when its counted size is within ``MOST_BROADCAST``; a larger one is joined
-by Spark's own choice, and skewed terms are split by adaptive execution.
+Starts are broadcast to the postings when their counted number is within ``MOST_BROADCAST``; more are joined by
+Spark's own choice, and skewed terms are split by adaptive execution. The vocabulary of the items is treated alike.
 
 Edge cases: a null or empty text has no words and no hit; an item without words is never found; items with
 fewer words than a window are one window; an item id of null hits words but isn't listed; equal items are found
-together; repeated rows each get their row; an empty benchmark hits nothing; other columns are ignored.
+together; repeated rows each get their row; an empty benchmark hits nothing; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import stored
 
 WINDOW = 10
-#: Rows of test windows or terms that are broadcast.
+#: Rows of terms, windows or starts that are broadcast.
 MOST_BROADCAST = 1_000_000
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Ends every row's words; it can't be a word, and its posting keeps rows without a hit.
+#: Ends every row's words; it can't be a word, and its posting is the row's own line.
 _END = "\x00"
 
 
@@ -55,42 +56,50 @@ def windows(items: DataFrame, size: int, item_col: str = "item_id", text_col: st
     return own.select("item", F.explode(cut).alias("win")).groupBy("win").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, n): the number of postings of each term (of a table of distinct terms) in the corpus; none: no row."""
-    return docs.select(F.explode(words(text_col)).alias("term")).join(small(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
-
-
-def ranked_terms(win: DataFrame, counts: DataFrame) -> DataFrame:
-    """(win, items, by): the terms of each window whose every term occurs, as (n, offset, term), rarest first."""
-    each = win.select("win", "items", F.posexplode("win").alias("offset", "term"))
-    held = each.join(counts, "term").groupBy("win", "items").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("by"))
-    return held.where(F.size("by") == F.size("win"))
-
-
-def postings(docs: DataFrame, by: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Postings of the terms in ``by`` with all its columns, the row, and the row's words."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.concat(words(text_col), F.array(F.lit(_END))).alias("w"))
-    return rows.select("row", "id", "w", F.posexplode("w").alias("pos", "term")).join(by, "term")
+def index(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((row, id, n_words) of each row, (row, t, pos) postings, (term, t)) for a table of terms; the positions count words."""
+    named = stored(terms.distinct().select("term", F.monotonically_increasing_id().alias("t")), "terms")
+    wanted = named.union(docs.sparkSession.sql("select '\\u0000' term, -1L t"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words(text_col).alias("w"))
+    lead = F.when(F.element_at("w", 1) == "", 1).otherwise(0)
+    each = rows.select("row", "id", lead.alias("lead"), n_words(F.col("w")).alias("n_words"), F.posexplode(F.concat("w", F.array(F.lit(_END)))).alias("pos", "term"))
+    own = F.col("t") == -1
+    found = each.join(small(wanted), "term").select("row", "t", (F.col("pos") - F.col("lead")).alias("pos"), F.when(own, F.col("id")).alias("id"), F.when(own, F.col("n_words")).alias("n_words"), own.cast("int").alias("own"))
+    back = stored(found, "postings", by="own")
+    return back.where("own = 1").select("row", "id", "n_words"), back.where("own = 0").select("row", "t", "pos"), named
+
+
+def ranked_terms(win: DataFrame, postings: DataFrame, named: DataFrame) -> DataFrame:
+    """(win, size, by): the (n, offset, t) of each window's terms that occur, rarest first; n is the number of postings."""
+    counts = postings.groupBy("t").agg(F.count("*").alias("n"))
+    each = win.select("win", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
+    held = each.join(named, "term").join(counts, "t")
+    return held.groupBy("win", "size").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "t"))).alias("by"))
+
+
+def phrases(postings: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(row, win, start): the places where all of a window's terms stand in their order."""
+    whole = stored(ranked.where(F.size("by") == F.col("size")), "ranked")
+    first = whole.select("win", F.col("by")[0]["t"].alias("t"), F.col("by")[0]["offset"].alias("offset"))
+    starts = stored(postings.join(small(first), "t").select("row", "win", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0"), "starts")
+    second = starts.join(small(whole.where("size > 1")), "win").select("row", "win", "start", F.col("by")[1]["t"].alias("t"), (F.col("start") + F.col("by")[1]["offset"]).alias("pos"))
+    left = stored(postings.join(small(second), ["row", "t", "pos"]).select("row", "win", "start"), "starts")
+    others = left.join(small(whole.where("size > 2")), "win").select("row", "win", "start", "size", F.explode(F.expr("slice(by, 3, size(by))")).alias("x"))
+    others = others.select("row", "win", "start", "size", F.col("x.t").alias("t"), (F.col("start") + F.col("x.offset")).alias("pos"))
+    every = postings.join(small(others), ["row", "t", "pos"]).groupBy("row", "win", "start", "size").agg(F.count("*").alias("n")).where("n = size - 2")
+    few = lambda df, n: df.join(small(whole.where(f"size = {n}").select("win")), "win", "left_semi").select("row", "win", "start")
+    return every.select("row", "win", "start").unionByName(few(starts, 1)).unionByName(few(left, 2))
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_hit, n_items, items (sorted ids), spans (merged hits: first word, end), contaminated."""
-    win = stored(windows(items, size, item_col, item_text), "windows")
-    counts = stored(term_counts(docs, win.select(F.explode("win").alias("term")).distinct(), text_col), "terms")
-    rare = ranked_terms(win, counts).select(F.col("by")[0]["term"].alias("term"), F.col("by")[0]["offset"].alias("offset"), "win", "items")
-    end = docs.sparkSession.sql(f"select '\\u0000' term, 0 offset, cast(null as array<string>) win, cast(null as array<string>) items")
-    by = small(stored(rare.unionByName(end), "rarest"))
-    found = postings(docs, by, id_col, text_col)
-    start = F.col("pos") - F.col("offset")
-    is_end = F.col("term") == _END
-    phrase = F.when(start >= 0, F.slice("w", start + 1, F.size("win")) == F.col("win")).otherwise(False)
-    lead = F.when(F.element_at("w", 1) == "", 1).otherwise(0)
-    hits = found.where(is_end | phrase).select(
-        "row", "id", "items",
-        F.when(is_end, n_words(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(1))))).alias("n_words"),
-        F.when(~is_end, F.struct((start - lead).alias("a"), (start - lead + F.size("win")).alias("b"))).alias("span"),
-    )
-    one = hits.groupBy("row", "id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    win = stored(windows(items, size, item_col, item_text).select(F.col("win").alias("terms"), "items", F.monotonically_increasing_id().alias("win")), "windows")
+    rows, postings, named = index(docs, win.select(F.explode("terms").alias("term")), id_col, text_col)
+    found = phrases(postings, ranked_terms(win, postings, named)).join(small(win), "win")
+    spans = found.select("row", "items", F.struct(F.col("start").alias("a"), (F.col("start") + F.size("terms")).alias("b")).alias("span"))
+    hits = spans.groupBy("row").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    none = F.array().cast("array<string>")
+    one = rows.join(hits, "row", "left").withColumn("items", F.coalesce("items", none)).withColumn("spans", F.coalesce("spans", F.array().cast(hits.schema["spans"].dataType)))
     merge = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("hit")),
@@ -106,25 +115,22 @@ def proximity(docs: DataFrame, items: DataFrame, slop: int, id_col: str = "doc_i
 
     A start is a place from which one word of the item at least stands at its very offset. A word's difference is that
     from the place which the start gives it, and the distance is the largest of a match. Words that the corpus lacks
-    count as not found. Of n words that it has, a match holds one of the n - need + 1 rarest: the starts within
-    ``slop`` of where their postings put it are tried, and no match has another.
+    count as not found. Of n words that it has, a match holds two of the n - need + 2 rarest: only the starts within
+    ``slop`` of where two of these put it are tried, and no match has another.
     """
-    whole = stored(windows(items, 1 << 30, item_col, item_text), "items")
-    counts = stored(term_counts(docs, whole.select(F.explode("win").alias("term")).distinct(), text_col), "terms")
-    each = whole.select("win", "items", F.posexplode("win").alias("offset", "term")).join(counts, "term")
-    need = F.greatest(F.lit(2), F.ceil(F.size("win") * share).cast("int"))
-    ranked = each.groupBy("win", "items").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("by")).withColumn("need", need).where(F.size("by") >= F.col("need"))
+    win = stored(windows(items, 1 << 30, item_col, item_text).select(F.col("win").alias("terms"), "items", F.monotonically_increasing_id().alias("win")), "items")
+    rows, postings, named = index(docs, win.select(F.explode("terms").alias("term")), id_col, text_col)
+    need = F.greatest(F.lit(2), F.ceil(F.col("size") * share).cast("int"))
+    ranked = stored(ranked_terms(win, postings, named).withColumn("need", need).where(F.size("by") >= F.col("need")), "ranked")
     # Words that the corpus lacks can't be found: the other words are fewer, and so are the starts.
-    starts = stored(ranked.select("win", "items", "need", F.explode(F.slice("by", F.lit(1), F.size("by") - F.col("need") + 1)).alias("b")).select("win", "items", "need", "b.term", "b.offset"), "starts")
-    found = postings(docs, small(starts), id_col, text_col).withColumn("start", F.explode(F.sequence(F.col("pos") - F.col("offset") - slop, F.col("pos") - F.col("offset") + slop)))
-
-    def difference(term: Column, at: Column) -> Column:
-        low = F.greatest(at - slop, F.lit(0))
-        near = F.slice("w", low + 1, F.greatest(at + slop - low + 1, F.lit(0)))
-        return F.array_min(F.transform(near, lambda x, i: F.when(x == term, F.abs(low + i - at))))
-
-    gaps = F.filter(F.transform("win", lambda t, o: difference(t, F.col("start") + o)), lambda d: d.isNotNull())
-    near = found.select("row", "id", "items", "need", gaps.alias("gaps")).where((F.size("gaps") >= F.col("need")) & (F.array_min("gaps") == 0))
-    best = near.select("row", "id", F.explode("items").alias("item"), F.size("gaps").alias("matched"), F.array_max("gaps").alias("distance"))
-    most = best.groupBy("row", F.col("id").alias(id_col), "item").agg(F.min(F.struct((-F.col("matched")).alias("m"), F.col("distance"))).alias("x"))
-    return most.select("row", id_col, "item", (-F.col("x.m")).alias("matched"), F.col("x.distance").alias("distance"))
+    rare = ranked.select("win", F.explode(F.slice("by", F.lit(1), F.size("by") - F.col("need") + 2)).alias("b")).select("win", "b.t", "b.offset")
+    at = F.col("pos") - F.col("offset")
+    starts = postings.join(small(rare), "t").select("row", "win", "offset", F.explode(F.sequence(at - slop, at + slop)).alias("start"))
+    starts = starts.groupBy("row", "win", "start").agg((F.min("offset") < F.max("offset")).alias("two")).where("two")
+    asked = stored(starts.join(small(ranked), "win").select("row", "win", "start", "need", F.explode("by").alias("x")).select("row", "win", "start", "need", "x.t", "x.offset"), "asked")
+    near = postings.join(asked, ["row", "t"]).withColumn("gap", F.abs(F.col("pos") - F.col("start") - F.col("offset"))).where(F.col("gap") <= slop)
+    gaps = near.groupBy("row", "win", "start", "need", "offset").agg(F.min("gap").alias("gap"))
+    good = gaps.groupBy("row", "win", "start", "need").agg(F.count("*").alias("matched"), F.max("gap").alias("distance"), F.min("gap").alias("least")).where("matched >= need and least = 0")
+    best = good.join(small(win.select("win", "items")), "win").select("row", F.explode("items").alias("item"), "matched", "distance")
+    most = best.groupBy("row", "item").agg(F.min(F.struct((-F.col("matched")).alias("m"), F.col("distance").cast("int").alias("distance"))).alias("x"))
+    return most.join(rows, "row").select("row", F.col("id").alias(id_col), "item", (-F.col("x.m")).cast("int").alias("matched"), F.col("x.distance").alias("distance"))

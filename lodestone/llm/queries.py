@@ -68,6 +68,11 @@ def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op10_positional_decontamination_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proximity matches of whole items that the exact windows miss or hit: one row per document and item."""
+    return decontam.proximity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=2).drop("row")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_path_template_filter,
         op9_dom_content_model,
         op10_positional_decontamination,
+        op10_positional_decontamination_near,
     )
 }
 
