@@ -2,13 +2,14 @@
 
 ``index`` reads the corpus once and writes postings (term, row, position) of the test items' terms to the shared
 folder, and beside them one line for each row with its number of words; rows get their names in that pass, so they
-hold for all that follows. A test window is looked up from its rarest term: that term's postings, less the term's
-offset in the window, are where the window would start. The starts are intersected with the offset-adjusted list of
-the second rarest term, and what is left with the lists of all others; a start that stands in every list is an exact
-match. ``proximity`` intersects the same lists with a slop. Texts are not looked at again, and no row's words travel.
+hold for all that follows. A posting's position less its term's offset in an item is where the item would begin. From
+the two rarest terms of each of an item's windows such starts are made and intersected: a start that holds a window
+stands in both lists. The starts that are left are then intersected with the offset-adjusted lists of all of the
+item's terms, and runs of a window's length and more are the exact matches. ``proximity`` intersects the same lists
+with a slop. Texts are not looked at again, and no row's words travel.
 
 Starts are broadcast to the postings when their counted number is within ``MOST_BROADCAST``; more are joined by
-Spark's own choice, and skewed terms are split by adaptive execution. The vocabulary of the items is treated alike.
+Spark's own choice, and skewed rows are split by adaptive execution. The vocabulary of the items is treated alike.
 
 Edge cases: a null or empty text has no words and no hit; an item without words is never found; items with
 fewer words than a window are one window; an item id of null hits words but isn't listed; equal items are found
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import stored
@@ -49,11 +50,10 @@ def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def windows(items: DataFrame, size: int, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(win, items): each distinct window of the items with the ids that hold it."""
-    own = items.select(F.col(item_col).cast("string").alias("item"), F.filter(words(text_col), lambda x: x != "").alias("w")).where(F.size("w") > 0)
-    cut = F.when(F.size("w") <= size, F.array("w")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1))), lambda i: F.slice("w", i, size)))
-    return own.select("item", F.explode(cut).alias("win")).groupBy("win").agg(F.sort_array(F.collect_set("item")).alias("items"))
+def distinct_items(items: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item, terms, items): each distinct sequence of words with a number and the ids that hold it."""
+    own = items.select(F.col(item_col).cast("string").alias("id"), F.filter(words(text_col), lambda x: x != "").alias("terms")).where(F.size("terms") > 0)
+    return stored(own.groupBy("terms").agg(F.sort_array(F.collect_set("id")).alias("items")).withColumn("item", F.monotonically_increasing_id()), "items")
 
 
 def index(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -69,37 +69,46 @@ def index(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> tupl
     return back.where("own = 1").select("row", "id", "n_words"), back.where("own = 0").select("row", "t", "pos"), named
 
 
-def ranked_terms(win: DataFrame, postings: DataFrame, named: DataFrame) -> DataFrame:
-    """(win, size, by): the (n, offset, t) of each window's terms that occur, rarest first; n is the number of postings."""
+def ranked_terms(items: DataFrame, postings: DataFrame, named: DataFrame) -> DataFrame:
+    """(item, offset, t, n, size) of each item's terms that occur; n is the number of postings."""
     counts = postings.groupBy("t").agg(F.count("*").alias("n"))
-    each = win.select("win", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
-    held = each.join(named, "term").join(counts, "t")
-    return held.groupBy("win", "size").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "t"))).alias("by"))
-
-
-def phrases(postings: DataFrame, ranked: DataFrame) -> DataFrame:
-    """(row, win, start): the places where all of a window's terms stand in their order."""
-    whole = stored(ranked.where(F.size("by") == F.col("size")), "ranked")
-    first = whole.select("win", F.col("by")[0]["t"].alias("t"), F.col("by")[0]["offset"].alias("offset"))
-    starts = stored(postings.join(small(first), "t").select("row", "win", (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0"), "starts")
-    second = starts.join(small(whole.where("size > 1")), "win").select("row", "win", "start", F.col("by")[1]["t"].alias("t"), (F.col("start") + F.col("by")[1]["offset"]).alias("pos"))
-    left = stored(postings.join(small(second), ["row", "t", "pos"]).select("row", "win", "start"), "starts")
-    others = left.join(small(whole.where("size > 2")), "win").select("row", "win", "start", "size", F.explode(F.expr("slice(by, 3, size(by))")).alias("x"))
-    others = others.select("row", "win", "start", "size", F.col("x.t").alias("t"), (F.col("start") + F.col("x.offset")).alias("pos"))
-    every = postings.join(small(others), ["row", "t", "pos"]).groupBy("row", "win", "start", "size").agg(F.count("*").alias("n")).where("n = size - 2")
-    few = lambda df, n: df.join(small(whole.where(f"size = {n}").select("win")), "win", "left_semi").select("row", "win", "start")
-    return every.select("row", "win", "start").unionByName(few(starts, 1)).unionByName(few(left, 2))
+    each = items.select("item", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
+    return each.join(named, "term").join(counts, "t").select("item", "offset", "t", "n", "size")
+
+
+def rarest(ranked: DataFrame, size: int) -> DataFrame:
+    """(item, offset, t): the two rarest terms of each window of the items that has all its terms."""
+    x = F.struct("n", "offset", "t")
+    by = ranked.groupBy("item", "size").agg(F.array_sort(F.collect_list(F.struct("offset", x.alias("x")))).alias("by"))
+    width = F.least(F.col("size"), F.lit(size))
+    cuts = F.transform(F.sequence(F.lit(1), F.greatest(F.size("by") - width + 1, F.lit(1))), lambda i: F.slice("by", i, width))
+    whole = F.filter(cuts, lambda w: (F.size(w) == width) & (F.element_at(w, -1)["offset"] - F.element_at(w, 1)["offset"] == width - 1))
+    two = F.flatten(F.transform(whole, lambda w: F.slice(F.array_sort(F.transform(w, lambda y: y["x"])), 1, 2)))
+    return by.select("item", F.explode(F.array_distinct(two)).alias("y")).select("item", "y.offset", "y.t")
+
+
+def phrases(postings: DataFrame, ranked: DataFrame, size: int) -> DataFrame:
+    """(row, item, a, b): the runs of a window's length and more of an item's words that stand in a row, from word a to before b."""
+    short = F.least(F.col("size"), F.lit(2))
+    lengths = ranked.select("item", "size").distinct()
+    starts = postings.join(small(rarest(ranked, size)), "t").select("row", "item", (F.col("pos") - F.col("offset")).alias("start"))
+    starts = starts.groupBy("row", "item", "start").agg(F.count("*").alias("n")).join(small(lengths), "item").where(F.col("n") >= short).select("row", "item", "start")
+    own = postings.join(small(stored(starts, "starts")), "row").select("row", "item", "start", "t", (F.col("pos") - F.col("start")).alias("offset"))
+    held = own.join(small(ranked.select("item", "offset", "t", "size")), ["item", "offset", "t"])
+    nth = F.row_number().over(Window.partitionBy("row", "item", "start").orderBy("offset"))
+    runs = held.withColumn("run", F.col("offset") - nth).groupBy("row", "item", "start", "size", "run").agg(F.min("offset").alias("a"), F.max("offset").alias("b"))
+    long = F.col("b") - F.col("a") + 1 >= F.least(F.col("size"), F.lit(size))
+    return runs.where(long).select("row", "item", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + 1).alias("b"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_hit, n_items, items (sorted ids), spans (merged hits: first word, end), contaminated."""
-    win = stored(windows(items, size, item_col, item_text).select(F.col("win").alias("terms"), "items", F.monotonically_increasing_id().alias("win")), "windows")
-    rows, postings, named = index(docs, win.select(F.explode("terms").alias("term")), id_col, text_col)
-    found = phrases(postings, ranked_terms(win, postings, named)).join(small(win), "win")
-    spans = found.select("row", "items", F.struct(F.col("start").alias("a"), (F.col("start") + F.size("terms")).alias("b")).alias("span"))
-    hits = spans.groupBy("row").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    none = F.array().cast("array<string>")
-    one = rows.join(hits, "row", "left").withColumn("items", F.coalesce("items", none)).withColumn("spans", F.coalesce("spans", F.array().cast(hits.schema["spans"].dataType)))
+    own = distinct_items(items, item_col, item_text)
+    rows, postings, named = index(docs, own.select(F.explode("terms").alias("term")), id_col, text_col)
+    ranked = stored(ranked_terms(own, postings, named), "ranked")
+    found = phrases(postings, ranked, size).join(small(own.select("item", "items")), "item")
+    hits = found.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    one = rows.join(hits, "row", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>"))).withColumn("spans", F.coalesce("spans", F.array().cast(hits.schema["spans"].dataType)))
     merge = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("hit")),
@@ -118,19 +127,21 @@ def proximity(docs: DataFrame, items: DataFrame, slop: int, id_col: str = "doc_i
     count as not found. Of n words that it has, a match holds two of the n - need + 2 rarest: only the starts within
     ``slop`` of where two of these put it are tried, and no match has another.
     """
-    win = stored(windows(items, 1 << 30, item_col, item_text).select(F.col("win").alias("terms"), "items", F.monotonically_increasing_id().alias("win")), "items")
-    rows, postings, named = index(docs, win.select(F.explode("terms").alias("term")), id_col, text_col)
+    own = distinct_items(items, item_col, item_text)
+    rows, postings, named = index(docs, own.select(F.explode("terms").alias("term")), id_col, text_col)
+    terms = stored(ranked_terms(own, postings, named), "ranked")
     need = F.greatest(F.lit(2), F.ceil(F.col("size") * share).cast("int"))
-    ranked = stored(ranked_terms(win, postings, named).withColumn("need", need).where(F.size("by") >= F.col("need")), "ranked")
+    by = F.array_sort(F.collect_list(F.struct("n", "offset", "t"))).alias("by")
+    ranked = stored(terms.groupBy("item", "size").agg(by).withColumn("need", need).where(F.size("by") >= F.col("need")), "needs")
     # Words that the corpus lacks can't be found: the other words are fewer, and so are the starts.
-    rare = ranked.select("win", F.explode(F.slice("by", F.lit(1), F.size("by") - F.col("need") + 2)).alias("b")).select("win", "b.t", "b.offset")
+    rare = ranked.select("item", F.explode(F.slice("by", F.lit(1), F.size("by") - F.col("need") + 2)).alias("b")).select("item", "b.t", "b.offset")
     at = F.col("pos") - F.col("offset")
-    starts = postings.join(small(rare), "t").select("row", "win", "offset", F.explode(F.sequence(at - slop, at + slop)).alias("start"))
-    starts = starts.groupBy("row", "win", "start").agg((F.min("offset") < F.max("offset")).alias("two")).where("two")
-    asked = stored(starts.join(small(ranked), "win").select("row", "win", "start", "need", F.explode("by").alias("x")).select("row", "win", "start", "need", "x.t", "x.offset"), "asked")
+    starts = postings.join(small(rare), "t").select("row", "item", "offset", F.explode(F.sequence(at - slop, at + slop)).alias("start"))
+    starts = starts.groupBy("row", "item", "start").agg((F.min("offset") < F.max("offset")).alias("two")).where("two")
+    asked = stored(starts.join(small(ranked), "item").select("row", "item", "start", "need", F.explode("by").alias("x")).select("row", "item", "start", "need", "x.t", "x.offset"), "asked")
     near = postings.join(asked, ["row", "t"]).withColumn("gap", F.abs(F.col("pos") - F.col("start") - F.col("offset"))).where(F.col("gap") <= slop)
-    gaps = near.groupBy("row", "win", "start", "need", "offset").agg(F.min("gap").alias("gap"))
-    good = gaps.groupBy("row", "win", "start", "need").agg(F.count("*").alias("matched"), F.max("gap").alias("distance"), F.min("gap").alias("least")).where("matched >= need and least = 0")
-    best = good.join(small(win.select("win", "items")), "win").select("row", F.explode("items").alias("item"), "matched", "distance")
+    gaps = near.groupBy("row", "item", "start", "need", "offset").agg(F.min("gap").alias("gap"))
+    good = gaps.groupBy("row", "item", "start", "need").agg(F.count("*").alias("matched"), F.max("gap").alias("distance"), F.min("gap").alias("least")).where("matched >= need and least = 0")
+    best = good.join(small(own.select("item", "items")), "item").select("row", F.explode("items").alias("item"), "matched", "distance")
     most = best.groupBy("row", "item").agg(F.min(F.struct((-F.col("matched")).alias("m"), F.col("distance").cast("int").alias("distance"))).alias("x"))
     return most.join(rows, "row").select("row", F.col("id").alias(id_col), "item", (-F.col("x.m")).cast("int").alias("matched"), F.col("x.distance").alias("distance"))
