@@ -13,8 +13,9 @@ compared once, and so are equal queries; of equal vectors only the k + 1 smalles
 a vector that a third of the rows share costs no more than another.
 
 Edge cases: vectors that are null, zero, not of the most common length, or hold null or non-finite components take
-no part; fewer candidates than k give all of them; ties go to the smaller id; equal ids are separate rows but
-never each other's neighbour; rows with a null id take no part; an empty table gives no row.
+no part; fewer candidates than k give all of them; ties go to the smaller id; rows of equal ids are separate: each
+distinct vector of a query's id has a list of its own, and none holds that id; rows with a null id take no part;
+other columns are ignored, whatever their names; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ship, tidied
+from lodestone.llm.common import mix64, ship, span_hashes, tidied
 
 TREES, SYMBOLS = 56, 6
-#: Least candidates as a share of a shard's distinct vectors; rows of a shard; queries of a block.
-SHARE, SHARD_ROWS, BLOCK = 0.2, 8192, 8192
+#: Least candidates as a share of a shard's distinct vectors, and for each neighbour; rows of a shard; queries of a block.
+SHARE, FLOOR, SHARD_ROWS, BLOCK = 0.2, 50, 8192, 8192
 
 
 @lru_cache(maxsize=2)
@@ -96,7 +97,7 @@ class Forest:
 
 def best(ids: list[np.ndarray], x: np.ndarray, forest: Forest, queries: np.ndarray, k: int, share: float):
     """For each query vector the k + 1 best (id, score), ids ascending where scores are equal."""
-    least = max(12 * (k + 1), int(share * len(x)))
+    least = max(FLOOR * (k + 1), int(share * len(x)))
     for q, some in zip(queries, forest.candidates(queries, least)):
         rough = x[some] @ q
         if len(some) > k + 1:
@@ -113,7 +114,7 @@ def search(vectors: DataFrame, mod: int = 20, k: int = 20, trees: int = TREES, s
     """(query_id, rank, vec_id, score): the k rows of largest inner product found for each row whose id is divisible by ``mod``."""
     spark = vectors.sparkSession
     ship(spark)
-    good = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda v: v.cast("double")).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
+    good = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda v: v.cast("double") + 0.0).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
     good = good.where(F.forall("v", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("v", lambda v: v != 0))
     sizes = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.count_if(F.col("id") % mod == 0).alias("q")).collect()
     if not sizes:
@@ -149,11 +150,12 @@ def search(vectors: DataFrame, mod: int = 20, k: int = 20, trees: int = TREES, s
             queries, who = classes(name[q], x[q])
             forest = Forest(vecs, trees, symbols)
             out = []
-            for names, (found, score) in zip(who, best(own, vecs, forest, queries, k, share)):
+            marks = span_hashes(mix64(queries.view(np.uint64).reshape(-1) + np.uint64(1)), np.arange(len(queries)) * queries.shape[1], (np.arange(len(queries)) + 1) * queries.shape[1]).view(np.int64)
+            for names, mark, (found, score) in zip(who, marks, best(own, vecs, forest, queries, k, share)):
                 for n in np.unique(names):
                     keep = found != n
-                    out.append((np.full(keep.sum(), n)[:k], found[keep][:k], score[keep][:k]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "vec_id", "score"])
+                    out.append((np.full(keep.sum(), n)[:k], np.full(keep.sum(), mark)[:k], found[keep][:k], score[keep][:k]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["query_id", "mark", "vec_id", "score"])
 
         for batch in batches:
             key = batch.column(0).to_numpy().astype(np.int64) * blocks + batch.column(1).to_numpy()
@@ -172,6 +174,6 @@ def search(vectors: DataFrame, mod: int = 20, k: int = 20, trees: int = TREES, s
         if now is not None:
             yield from flush()
 
-    found = laid.mapInArrow(tidied(run), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    found = laid.mapInArrow(tidied(run), "query_id long, mark long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "mark").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

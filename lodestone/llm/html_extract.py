@@ -1,7 +1,7 @@
 """Main-text extraction by a tree-structured graphical model over the DOM.
 
 A page's block elements are the nodes of a tree; each is content or not. A node's potential is linear in its tag,
-the words of its class, id and role, its text and link lengths; an edge's potential favours equal labels, as
+the words of its class, id and role, its text and link lengths and its share of the page's text; an edge's potential favours equal labels, as
 strongly as the child's tag says. Sum-product messages go up from the leaves and down from the root, and a block's
 text is kept where its element's marginal of content is at least one half. Weights are fitted by exact maximum likelihood
 on labelled pages; ``labelled_pages`` draws such pages from many layouts, and others can be given.
@@ -128,6 +128,8 @@ def attribute_words(attrs: str) -> tuple[str, ...]:
 
 
 _SIZES, _MEANS = (1, 100, 400, 1500), (10, 40, 120)
+#: Features before those of attribute words.
+FIXED = 26
 #: Elements that speak through their links and attributes only: many of them stand below one parent, and their
 #: number must not outvote what the parent itself says.
 NEUTRAL = frozenset("p li td th tr tbody thead tfoot dd dt dl h2 h3 h4 h5 h6 pre blockquote figure figcaption hr legend html".split())
@@ -149,7 +151,7 @@ def features(page: Page, vocabulary: dict[str, int]) -> list[list[int]]:
         below[p] += below[k]
         runs[p] += runs[k]
         links[p] += links[k]
-    base, out = len(TAGS), []
+    base, out, whole = len(TAGS), [], max(1, below[0])
     for k in range(n):
         density = 0 if not below[k] else min(3, 4 * links[k] // (below[k] + 1))
         row = [base + density] if density >= 2 or page.tag[k] not in NEUTRAL else []
@@ -157,8 +159,10 @@ def features(page: Page, vocabulary: dict[str, int]) -> list[list[int]]:
             row.append(TAGS[page.tag[k]])
         if page.tag[k] in SIZED:
             mean = below[k] / max(1, runs[k])
-            row += [base + 4 + sum(below[k] >= s for s in _SIZES), base + 9 + sum(mean >= s for s in _MEANS)]
-        row += [base + 13 + vocabulary[w] for w in page.words[k] if w in vocabulary]
+            row += [base + 4 + sum(below[k] >= s for s in _SIZES), base + 9 + sum(mean >= s for s in _MEANS), base + 13 + min(3, 4 * below[k] // whole)]
+            if not page.words[k]:  # nothing but its text says what it is for
+                row += [base + 17, base + 18 + min(3, 4 * below[k] // whole), base + 22 + density]
+        row += [base + FIXED + vocabulary[w] for w in page.words[k] if w in vocabulary]
         out.append(row)
     return out
 
@@ -198,7 +202,7 @@ def fit(pages: list[tuple[Page, list[int]]], rounds: int = 300, decay: float = 1
     """
     words = sorted({w for p, _ in pages for ws in p.words for w in ws})
     vocabulary = {w: i for i, w in enumerate(words)}
-    width = len(TAGS) + 13 + len(words)
+    width = len(TAGS) + FIXED + len(words)
     rows, cols, parent, tags, y, depth, base = [], [], [], [], [], [], 0
     for page, labels in pages:
         for k, row in enumerate(features(page, vocabulary)):
@@ -322,7 +326,7 @@ def labelled_pages(count: int = 1000, seed: int = 5) -> list[tuple[Page, list[in
             tag = {"menu": ["nav", "div", "ul"], "header": ["header", "div"], "footer": ["footer", "footer", "div"], "side": ["aside", "div"], "notice": ["div", "section", "aside"], "advert": ["div", "aside"], "form": ["form"], "share": ["div", "p"], "comments": ["section", "div"]}[kind]
             tag = pick(tag)
             attrs = named(kind)
-            while not attrs and tag in ("div", "section", "p", "ul"):
+            while not attrs and tag in ("div", "section", "p", "ul") and chance(0.95):
                 attrs = named(kind)
             if tag == "ul":
                 el("ul", 0, lambda: [el("li", 0, f'<a href="#">{words(1, 4)}</a>') for _ in range(4)], attrs)
@@ -366,7 +370,7 @@ def labelled_pages(count: int = 1000, seed: int = 5) -> list[tuple[Page, list[in
 
             tag = pick(["article", "article", "article", "main", "div", "section"])
             attrs = named("content")
-            while tag in ("div", "section") and not attrs:
+            while tag in ("div", "section") and not attrs and chance(0.5):  # else nothing names it
                 attrs = named("content")
             if chance(0.25):
                 el(pick(["main", "div"]), 1, lambda: el(tag, 1, inner, attrs), named("content"))
@@ -382,10 +386,40 @@ def labelled_pages(count: int = 1000, seed: int = 5) -> list[tuple[Page, list[in
             for _ in range(int(rng.integers(0, 5))):
                 junk(pick(after))
 
+        def little() -> None:
+            if chance(0.4):
+                el(pick(["h1", "h2"]), 1, words(2, 9))
+            [para(1, 2, 50) for _ in range(int(rng.integers(1, 4)))]
+
+        def plain(depth: int) -> None:  # containers that nothing names
+            el(pick(["div", "div", "section", "center"]), 1, (lambda: plain(depth - 1)) if depth else pick([little, body]))
+
         shape = rng.random()
-        if shape < 0.6:
+        if shape < 0.1:  # little more than a paragraph, and nothing around it
+            labels[0] = 1
+            kind = rng.random()
+            if kind < 0.3:
+                little()
+            elif kind < 0.6:
+                el("html", 1, lambda: el("body", 1, little))
+            else:
+                el("html", 1, lambda: el("body", 1, lambda: plain(0)))
+        elif shape < 0.25:  # a page of unnamed containers, with the usual parts around them or without
+            many = pick([0, 0, 1, 3])
+
+            def unnamed() -> None:
+                [junk(pick(["menu", "header", "form"])) for _ in range(min(many, int(rng.integers(0, 3))))]
+                if chance(0.2):
+                    el("table", 1, lambda: el("tr", 1, lambda: el("td", 1, pick([little, body]))))
+                else:
+                    plain(int(rng.integers(0, 3)))
+                [junk(pick(["footer", "side", "comments", "share"])) for _ in range(min(many, int(rng.integers(0, 3))))]
+
+            el("html", 0 if many else 1, lambda: el("body", 0 if many else 1, unnamed))
+            labels[0] = 0 if many else 1
+        elif shape < 0.65:
             el("html", 0, lambda: el("body", 0, whole))
-        elif shape < 0.8:  # fragments, and parts of the page only
+        elif shape < 0.82:  # fragments, and parts of the page only
             el("body", 0, whole) if chance(0.5) else whole()
         else:  # the article stands in the body itself, or nothing holds it
             def bare() -> None:

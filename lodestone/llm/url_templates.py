@@ -1,8 +1,8 @@
 """URL filtering by path-template trees, in DataFrame functions.
 
 Rules decide where one fits; the URLs they decide are also the labels from which templates learn about the rest.
-A path becomes a list of segments whose digit runs, and whole segments too long for a name, are wildcards. Per
-host, level by level, a segment that many siblings share the traffic with (more than ``siblings`` of them, each
+A path becomes a list of segments whose digit runs are wildcards; below ``depth`` the rest of the path, whole, is the
+last one, so a path of thousands of segments costs no more levels and no two paths are mixed up. Per host, level by level, a segment that many siblings share the traffic with (more than ``siblings`` of them, each
 below ``least`` of the parent's URLs) becomes a wildcard too, and the remaining branches are put in the order of
 their smoothed share of blocked URLs and merged with their neighbour unless the two shares differ beyond chance.
 A template (host and list of branches) is rejected if its smoothed share of blocked labels is above one half; it
@@ -12,8 +12,8 @@ Rows are counted by host and segment before anything else moves, so a host that
 costs a few rows of counts. The table of templates is broadcast when its counted size is within bounds.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path, fits no rule and is judged like any
-other template; URLs without any label are allowed unless what is known says otherwise; segments below ``depth``
-are one wildcard; repeated rows each get their row; other columns are ignored; an empty table gives no row.
+other template; URLs without any label are allowed unless what is known says otherwise; repeated rows each get their
+row; other columns are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -52,10 +52,9 @@ def rule_of(rules: list[tuple[str, str]], host: str = "host", path: str = "path"
 
 
 def segments(path: str, depth: int = DEPTH) -> Column:
-    """The path's segments with variable parts as wildcards; what lies deeper is one more wildcard."""
-    parts = F.split(F.regexp_replace(F.regexp_replace(F.col(path), "^/", ""), "[0-9]+", "*"), "/")
-    parts = F.transform(parts, lambda s: F.when(F.length(s) > 32, "*").otherwise(s))
-    return F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.lit("**")))).otherwise(parts)
+    """The path's first segments and the rest of it as one, with digit runs as wildcards."""
+    parts = F.split(F.regexp_replace(F.regexp_replace(F.col(path), "^/", ""), "[0-9]+", "*"), "/", depth + 1)
+    return F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.concat(F.lit("**/"), F.element_at(parts, -1))))).otherwise(parts)
 
 
 def templates(counts: DataFrame, depth: int, siblings: int = SIBLINGS, least: float = LEAST, weight: float = WEIGHT) -> DataFrame:
@@ -68,8 +67,9 @@ def templates(counts: DataFrame, depth: int, siblings: int = SIBLINGS, least: fl
         child = stored(here.groupBy("host", "template", "seg").agg(*sums), "branches")
         parent = child.groupBy("host", "template").agg(F.count("*").alias("branches"), F.sum("n").alias("all"))
         named = child.join(parent, ["host", "template"])
+        rest = F.col("seg").startswith("**/")
         wide = (F.col("branches") > siblings) & (F.col("n") < least * F.col("all"))
-        named = named.withColumn("kept", F.when(wide, "*").otherwise(F.col("seg")))
+        named = named.withColumn("kept", F.when(wide, F.when(rest, "**").otherwise("*")).otherwise(F.col("seg")))
         kept = named.groupBy("host", "template", "kept").agg(*sums).withColumn("labelled", F.col("allowed") + F.col("blocked")).withColumn("rate", rate)
         # At most ``siblings`` or 1 / least named branches and a wildcard are left below a parent.
         order = Window.partitionBy("host", "template", F.col("labelled") > 0).orderBy("rate", "kept")

@@ -345,6 +345,19 @@ def test_forest_search(spark):
     assert ann_forest.search(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_forest_rows_of_equal_ids(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 8))
+    rows = [(i, [float(v) for v in r], 0.5, 7) for i, r in enumerate(x)]
+    rows += [(20, [float(v) for v in rng.normal(size=8)], 0.5, 7), rows[40], rows[3]]  # another vector, two repeated rows
+    out = ann_forest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score double, rank int"), shard_rows=25).collect()
+    lists = collections.Counter(r.query_id for r in out)
+    assert lists == {0: 20, 20: 40, 40: 20} and all(r.query_id != r.vec_id for r in out)
+    for v, ranks in ((rows[20][1], 1), (rows[60][1], 1)):
+        score = sorted(((float(np.dot(v, r[1])), -r[0]) for r in rows if r[0] != 20), reverse=True)[0]
+        assert any(r.query_id == 20 and r["rank"] == ranks and r.vec_id == -score[1] and math.isclose(r.score, score[0]) for r in out)
+
+
 # ---- URLs
 
 
@@ -364,6 +377,66 @@ def test_url_rules_and_templates(spark):
     assert url_templates.judge(pages.limit(0), rules).count() == 0
 
 
+def slow_templates(rows, depth=6, siblings=20, least=0.05, weight=8.0, chance=1.96):
+    """Rows (host, path, said) to (template, verdict without a rule) by plain loops over each host's tree."""
+
+    def cut(path):
+        parts = re.sub("[0-9]+", "*", path.removeprefix("/")).split("/", depth)
+        return [*parts[:depth], "**/" + parts[depth]] if len(parts) > depth else parts
+
+    out = [[] for _ in rows]
+    segs = [cut(p) for _, p, _ in rows]
+    for level in range(depth + 1):
+        groups = collections.defaultdict(list)
+        for i, (h, _, _) in enumerate(rows):
+            if len(segs[i]) > level:
+                groups[h, tuple(out[i])].append(i)
+        for own in groups.values():
+            n = collections.Counter(segs[i][level] for i in own)
+            name = {x: ("**" if x.startswith("**/") else "*") if len(n) > siblings and c < least * len(own) else x for x, c in n.items()}
+            said = collections.defaultdict(lambda: [0, 0])
+            for i in own:
+                said[name[segs[i][level]]][0] += rows[i][2] == "allow"
+                said[name[segs[i][level]]][1] += rows[i][2] == "block"
+            rate = {k: (b + weight / 2) / (a + b + weight) for k, (a, b) in said.items()}
+            branch, last, members = {}, None, []
+            for k in sorted((k for k in said if sum(said[k])), key=lambda k: (rate[k], k)):
+                noise = last and math.sqrt(sum(rate[x] * (1 - rate[x]) / (sum(said[x]) + weight) for x in (k, last)))
+                if last is None or rate[k] - rate[last] > chance * noise:
+                    members = []
+                members.append(k)
+                branch[k], last = members, k
+            for i in own:
+                k = name[segs[i][level]]
+                out[i].append("|".join(sorted(branch.get(k, [k]))))
+    allow, block = sum(r[2] == "allow" for r in rows), sum(r[2] == "block" for r in rows)
+    overall = (block + 1) / (allow + block + 2)
+    alike, leaf = collections.defaultdict(lambda: [0, 0]), collections.defaultdict(lambda: [0, 0])
+    for r, s, o in zip(rows, segs, out):
+        for table, key in ((alike, tuple(s)), (leaf, (r[0], *o))):
+            table[key][0] += r[2] == "allow"
+            table[key][1] += r[2] == "block"
+    for r, s, o in zip(rows, segs, out):
+        (a, b), (c, d) = alike[tuple(s)], leaf[r[0], *o]
+        share = (d + weight * (b + weight * overall) / (a + b + weight)) / (c + d + weight)
+        yield "/" + "/".join(o), r[2] or ("block" if share > 0.5 else "allow"), 1 - share
+
+
+def test_templates_match_plain_loops(spark):
+    rng = random.Random(12)
+    rules = [("block", "org/"), ("allow", "org/bad/"), ("block", "com/x/"), ("allow", "com/y/")]
+    hosts, names = ["a.org", "b.com", "c.com", "d.net"], ["bad", "x", "y", "news", "tag", "p"]
+    paths = ["/".join(["", *(rng.choice(names) for _ in range(rng.randint(0, 3))), *(["".join(rng.choice("abcdefghijkl") for _ in range(5))] if rng.random() < 0.2 else []), *(["deep"] * 6 + [rng.choice("uv")] * 3 if rng.random() < 0.1 else [])]) for _ in range(2500)]
+    urls = [f"http://{rng.choice(hosts)}{p}" for p in paths]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate([*urls, *urls[:50]])], "page_id long, url string")  # repeated rows, too
+    out = url_templates.judge(pages, rules).orderBy("page_id").collect()
+    fits = lambda r: {"org/": "block", "org/bad/": "allow", "com/x/": "block", "com/y/": "allow"}.get(r)
+    want = list(slow_templates([(r.host, r.path, fits(r.rule)) for r in out]))
+    assert [(r.template, r.verdict) for r in out] == [w[:2] for w in want]
+    assert np.allclose([r.purity for r in out], [w[2] for w in want])
+    assert len({r.template for r in out}) > 20 and {r.verdict for r in out if r.rule is None} == {"allow", "block"}
+
+
 def test_many_siblings_become_a_wildcard(spark):
     words = [a + b + c for a in "bcdfg" for b in "aeiou" for c in "lmnrs"]
     pages = spark.createDataFrame([(i, f"http://a.net/news/{w}") for i, w in enumerate(words)], "page_id long, url string")
@@ -384,6 +457,22 @@ def test_main_text(dom):
     assert html_extract.extract("", dom) == "" and html_extract.extract("<script>var t='</p>';", dom) == ""
 
 
+def test_containers_that_nothing_names(dom):
+    two = "<p>First paragraph of the article is here, with enough words to be read.</p><p>Second paragraph says more about the same thing.</p>"
+    text = "First paragraph of the article is here, with enough words to be read.\nSecond paragraph says more about the same thing."
+    assert html_extract.extract(f"<html><body><div>{two}</div></body></html>", dom) == text
+    assert html_extract.extract("<p>Only one paragraph stands here.</p>", dom) == "Only one paragraph stands here."
+    # Layouts of which no training page is made: columns, menus after the text, deeper nesting.
+    menu, foot = '<ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li><li><a href="/c">Shop</a></li></ul>', '<div class="footer">All of it is ours</div>'
+    for page in (
+        f"<body><nav>{menu}</nav><div><div><div>{two}</div></div></div>{foot}</body>",
+        f"<body><section>{two}</section><nav>{menu}</nav></body>",
+        f"<table><tr><td><nav>{menu}</nav></td><td>{two}</td></tr></table>",
+        f"<body><header>{menu}</header><div><section><div>{two}</div></section></div>{foot}</body>",
+    ):
+        assert html_extract.extract(page, dom) == text, page
+
+
 def test_held_out_pages(dom):
     wrong = total = 0
     for page, labels in html_extract.labelled_pages(100, seed=77):
@@ -411,7 +500,7 @@ def test_marginals_are_exact():
 
 def test_main_text_edge_cases(spark, dom):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p" * 3000), (4, "u", "<div>" * 5000 + "x"), (5, "u", "<article>" + "<p>para</p>" * 20_000 + "</article>"), (5, "u", "<article><p>a</article>")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int")
     out = html_extract.main_text(pages, dom).collect()
     assert len(out) == 6 and all(r.n_chars == len(r.text) for r in out)
     assert {r.text for r in out if r.page_id in (1, 2)} == {""} and max(r.n_chars for r in out) == 20_000 * 5 - 1
