@@ -68,7 +68,8 @@ def stored(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     """Write a table to the shared folder, in folders of the values of ``by``, and read it back: a cut in the lineage that outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone-{tag}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    out = df.write.option("parquet.block.size", 32 << 20)  # a writer's buffer
+    (out.partitionBy(by) if by else out).parquet(path)
     if _SCRATCH:
         _SCRATCH[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)

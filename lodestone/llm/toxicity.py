@@ -14,8 +14,6 @@ are ignored.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -23,13 +21,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.common import LOWER, Ragged, drawn, held, mix64, ragged_take, scan_words, ship, text_slices, tidied, utf8
-from lodestone.llm.fst_tokens import CACHE_WORDS, WordTable
+from lodestone.llm.fst_tokens import WordTable
 
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 20
 #: Bounds of the sample for training: documents and bytes of each class.
 MOST_DOCS, MOST_BYTES = 1500, 6_000_000
 SCAN_BYTES = 1 << 19
+#: Remembered words of a task.
+SCORER_WORDS = 300_000
 _MULT = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 3) % 2**64) for k in range(max(SIZES))]
 
 
@@ -64,14 +64,14 @@ class Scorer:
         self.clear()
 
     def clear(self) -> None:
-        self.table, self.lists = WordTable(), Ragged(np.int64)
-        self.lists.add(np.zeros(0, np.int64), np.zeros(1, np.int64))  # list 0: no feature
+        self.table, self.lists = WordTable(), Ragged(np.int32)
+        self.lists.add(np.zeros(0, np.int32), np.zeros(1, np.int64))  # list 0: no feature
 
     def documents(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (document, slot of a feature) pairs, sorted."""
         joined, starts, ends, prints, counts = scan_words(texts)
         keys, at, which = np.unique(prints, return_index=True, return_inverse=True)
-        if len(self.table) > CACHE_WORDS:
+        if len(self.table) > SCORER_WORDS:
             self.clear()
         lists = self.table.find(keys)
         if len(new := np.flatnonzero(lists < 0)):
@@ -86,7 +86,7 @@ class Scorer:
         hit = np.flatnonzero(of > 0)
         doc, of = np.repeat(np.arange(len(texts)), counts)[hit], of[hit]
         size = self.lists.length[of]
-        pairs = np.unique(np.repeat(doc, size) * BUCKETS + ragged_take(self.lists.flat, self.lists.at[of], size))
+        pairs = np.unique(np.repeat(doc, size) * np.int64(BUCKETS) + ragged_take(self.lists.flat, self.lists.at[of], size))
         return pairs // BUCKETS, pairs % BUCKETS
 
 
@@ -139,25 +139,21 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0, most_
     return fit([(r["t"] or "").encode() for r in rows], y, have[1] / total)
 
 
-@lru_cache(maxsize=2)
-def _scorer(features: bytes) -> Scorer:
-    return Scorer(np.frombuffer(features, np.int32))
-
-
 def score(docs: DataFrame, model: dict, mod: int = 5, rest: int = 0, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """id (and the columns in ``keep``), held_out, score, predicted of every row, where it is read. ``prefix`` keeps the new names apart from kept ones."""
     ship(docs.sparkSession)
-    features, weights, bias, share = model["features"].astype(np.int32).tobytes(), model["weights"], model["bias"], model.get("share")
+    features, weights, bias, share = model["features"].astype(np.int32), model["weights"], model["bias"], model.get("share")
     kept = keep or [id_col]
 
     def run(batches):
+        scorer = Scorer(features)
         for batch in batches:
             for a, b, column in text_slices(batch.column(text_col), SCAN_BYTES):
                 texts = utf8(column)
                 if bias is None:
                     out = np.full(b - a, share)
                 else:
-                    d, f = _scorer(features).documents(texts)
+                    d, f = scorer.documents(texts)
                     s = np.bincount(d, weights=weights[f], minlength=b - a) + bias
                     out = 1 / (1 + np.exp(-np.clip(s, -40, 40)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in [*kept, f"{prefix}held_out"]), pa.array(out), pa.array((out >= 0.5).astype(np.int32))], names=[f.name for f in schema])
