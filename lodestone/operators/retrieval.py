@@ -61,9 +61,18 @@ def annotate(p: DataFrame) -> DataFrame:
     return p.withColumn("chunk_type", C.chunk_type(F.col("text"), table, F.col("noise_level")))
 
 
+def counted(words: Column) -> Column:
+    """(term, tf) of a list of words, within the row: runs of equal words in their sorted order."""
+    first = lambda w: F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, F.greatest(i - 1, F.lit(0)))))
+    runs = lambda w, at: F.transform(at, lambda i, k: F.struct(F.get(w, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(w)) - i).cast("long").alias("tf")))
+    sorted_ = F.array_sort(words)
+    own = F.transform(F.array(sorted_), lambda w: runs(w, first(w)))[0]
+    return F.when(F.size(words) > 0, own).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+
+
 def postings(p: DataFrame) -> DataFrame:
-    """(doc_id, chunk_id, term, tf)."""
-    return p.select("doc_id", "chunk_id", F.explode(X.tokenize(F.col("text"))).alias("term")).groupBy("doc_id", "chunk_id", "term").agg(F.count("*").alias("tf"))
+    """(doc_id, chunk_id, term, tf): counted within each passage's row, without a shuffle."""
+    return p.select("doc_id", "chunk_id", F.inline(counted(X.tokenize(F.col("text")))))
 
 
 def lengths(p: DataFrame) -> DataFrame:
@@ -85,39 +94,61 @@ def idf(post: DataFrame) -> DataFrame:
     return document_frequency(post).crossJoin(F.broadcast(n)).select("term", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"))  # n is one row
 
 
+class Library:
+    """What every search reads: ``passages``, ``postings`` (term, tf, passage length, most frequent term), ``idf``, ``stats`` and ``norms``."""
+
+    #: In the order in which they are made; each is made of those before it.
+    PARTS: dict[str, Callable[[dict], DataFrame]] = {
+        "terms": lambda t: t["passages"].select("doc_id", "chunk_id", counted(X.tokenize(F.col("text"))).alias("t")).select(
+            "doc_id", "chunk_id", F.coalesce(F.aggregate("t", F.lit(0).cast("long"), lambda n, x: n + x["tf"]), F.lit(0)).alias("length"), F.array_max(F.transform("t", lambda x: x["tf"])).alias("most"), F.explode_outer("t").alias("x")
+        ).select("doc_id", "chunk_id", "length", "most", "x.term", "x.tf"),
+        "df": lambda t: document_frequency(t["terms"].where("term is not null")),
+        "stats": lambda t: t["terms"].groupBy("doc_id", "chunk_id").agg(F.first("length").alias("length")).agg(F.count_distinct("doc_id").alias("total_docs"), F.count("*").alias("total_passages"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avg_length"), F.count_distinct(F.when(F.col("length") > 0, F.col("doc_id"))).alias("worded")),
+        "idf": lambda t: t["df"].crossJoin(F.broadcast(t["stats"])).select("term", F.log((F.col("worded") + 1) / (F.col("df") + 1)).alias("idf")),  # stats is one row
+        "norms": lambda t: t["terms"].where("term is not null").join(small(t["idf"]), "term").groupBy("doc_id", "chunk_id").agg((F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)) / F.max("most")).alias("norm")),
+    }
+
+    def __init__(self, passages: DataFrame, tables: dict[str, DataFrame] | None = None):
+        t = dict(tables or {})
+        t.setdefault("passages", passages)
+        for name, make in self.PARTS.items():
+            if name not in t:
+                t[name] = make(t)
+        self.passages, self.idf, self.norms = t["passages"], t["idf"], t["norms"]
+        self.postings = t["terms"].where("term is not null")
+        self.stats = t["stats"].drop("worded")
+        self.df = t["df"]
+
+    def restricted(self, doc_ids: DataFrame) -> Library:
+        """The same statistics over the passages of some documents only."""
+        own = lambda df: df.join(small(doc_ids.select("doc_id").distinct()), "doc_id", "left_semi")
+        out = Library.__new__(Library)
+        out.passages, out.postings, out.norms, out.idf, out.stats, out.df = own(self.passages), own(self.postings), own(self.norms), self.idf, self.stats, self.df
+        return out
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, times): a repeated term counts as often as it is asked."""
     return queries.select("query_id", F.explode(X.tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
-def _asked(p: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings of the asked terms only: the filter stands before the aggregation and the shuffle."""
-    words = small(terms.select("term").distinct())
-    raw = p.select("doc_id", "chunk_id", F.explode(X.tokenize(F.col("text"))).alias("term"))
-    return raw.join(words, "term").groupBy("doc_id", "chunk_id", "term").agg(F.count("*").alias("tf"))
-
-
-def bm25(queries: DataFrame, p: DataFrame, weights: DataFrame, stats: DataFrame) -> DataFrame:
+def bm25(queries: DataFrame, lib: Library) -> DataFrame:
     """(query_id, doc_id, chunk_id, score) of passages with a score above 0, rounded to 6 places."""
-    terms = query_terms(queries)
-    post = _asked(p, terms).join(lengths(p), ["doc_id", "chunk_id"]).crossJoin(F.broadcast(stats.select("avg_length")))  # one row
+    asked = query_terms(queries).join(lib.idf, "term", "left").withColumn("idf", F.coalesce("idf", F.lit(0.0)))
+    post = lib.postings.join(small(asked), "term").crossJoin(F.broadcast(lib.stats.select("avg_length")))  # one row
     mean = F.when(F.col("avg_length") > 0, F.col("avg_length")).otherwise(1.0)
     part = F.col("tf") * (V.BM25_K1 + 1) / (F.col("tf") + V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * F.col("length") / mean))
-    hits = post.join(small(terms), "term").join(weights, "term", "left")
-    scored = hits.groupBy("query_id", "doc_id", "chunk_id").agg(F.round(F.sum(F.col("times") * F.coalesce("idf", F.lit(0.0)) * part), 6).alias("score"))
+    scored = post.groupBy("query_id", "doc_id", "chunk_id").agg(F.round(F.sum(F.col("times") * F.col("idf") * part), 6).alias("score"))
     return scored.where("score > 0")
 
 
-def tfidf(queries: DataFrame, p: DataFrame, weights: DataFrame) -> DataFrame:
+def tfidf(queries: DataFrame, lib: Library) -> DataFrame:
     """(query_id, doc_id, chunk_id, score): cosine of (tf / max tf) * idf vectors, above 0, rounded to 6 places."""
-    terms = query_terms(queries)
-    post = postings(p).join(weights, "term", "left").withColumn("idf", F.coalesce("idf", F.lit(0.0)))
-    most = post.groupBy("doc_id", "chunk_id").agg(F.max("tf").alias("m"), F.sum((F.col("tf") * F.col("idf")) ** 2).alias("s")).select("doc_id", "chunk_id", "m", (F.sqrt("s") / F.col("m")).alias("norm"))
-    asked = terms.join(weights, "term", "left").withColumn("idf", F.coalesce("idf", F.lit(0.0)))
-    top = asked.groupBy("query_id").agg(F.max("times").alias("qm"), F.sum((F.col("times") * F.col("idf")) ** 2).alias("s")).select("query_id", "qm", (F.sqrt("s") / F.col("qm")).alias("qnorm"))
-    both = post.join(small(asked.join(top, "query_id").select("query_id", "term", (F.col("times") / F.col("qm") * F.col("idf")).alias("qw"), "qnorm")), "term")
-    dot = both.groupBy("query_id", "doc_id", "chunk_id", "qnorm").agg(F.sum(F.col("tf") * F.col("idf") * F.col("qw")).alias("raw"))
-    out = dot.join(most, ["doc_id", "chunk_id"]).where((F.col("norm") > 0) & (F.col("qnorm") > 0))
+    asked = query_terms(queries).join(lib.idf, "term", "left").withColumn("idf", F.coalesce("idf", F.lit(0.0)))
+    top_ = asked.groupBy("query_id").agg(F.max("times").alias("qm"), F.sum((F.col("times") * F.col("idf")) ** 2).alias("s")).select("query_id", "qm", (F.sqrt("s") / F.col("qm")).alias("qnorm"))
+    words = asked.join(top_, "query_id").where("qnorm > 0").select("query_id", "term", "idf", (F.col("times") / F.col("qm") * F.col("idf")).alias("qw"), "qnorm")
+    dot = lib.postings.join(small(words), "term").groupBy("query_id", "doc_id", "chunk_id").agg(F.sum(F.col("tf") * F.col("idf") * F.col("qw")).alias("raw"), F.first("qnorm").alias("qnorm"), F.first("most").alias("m"))
+    out = dot.join(lib.norms.where("norm > 0"), ["doc_id", "chunk_id"])
     return out.select("query_id", "doc_id", "chunk_id", F.round(F.col("raw") / F.col("m") / F.col("norm") / F.col("qnorm"), 6).alias("score")).where("score > 0")
 
 
@@ -194,15 +225,15 @@ def lexical_overlap(query: Column, text: Column) -> Column:
 
 
 #: Sparse backends by name; an unknown name means bm25.
-BACKENDS: dict[str, Callable[..., DataFrame]] = {"bm25": bm25, "tfidf": lambda q, p, w, s: tfidf(q, p, w)}
+BACKENDS: dict[str, Callable[[DataFrame, Library], DataFrame]] = {"bm25": bm25, "tfidf": tfidf}
 
 
-def register(name: str, backend: Callable[..., DataFrame]) -> None:
+def register(name: str, backend: Callable[[DataFrame, Library], DataFrame]) -> None:
     BACKENDS[name] = backend
 
 
-def search(queries: DataFrame, p: DataFrame, weights: DataFrame, stats: DataFrame, method: str = "bm25", k: int = 10) -> DataFrame:
-    return top(BACKENDS.get(method, bm25)(queries, p, weights, stats), k, ["doc_id", "chunk_id"])
+def search(queries: DataFrame, lib: Library, method: str = "bm25", k: int = 10) -> DataFrame:
+    return top(BACKENDS.get(method, bm25)(queries, lib), k, ["doc_id", "chunk_id"])
 
 
 def neighbours(rows: DataFrame, picks: DataFrame, radius: int, group: str, pos: str) -> DataFrame:

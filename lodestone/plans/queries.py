@@ -22,6 +22,7 @@ from lodestone.operators import quality as Q
 from lodestone.operators import reports as P
 from lodestone.operators import retrieval as R
 from lodestone.sources import library as L
+from lodestone.sources import tables as S_
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -170,41 +171,44 @@ def doc_type(spark, sf_dir):
 
 @query(f"WITH {_POSTINGS} SELECT term, df FROM df")
 def document_frequency(spark, sf_dir):
-    return R.document_frequency(R.postings(R.passages(read(spark, sf_dir, "documents"))))
+    return _library(spark, sf_dir).df
 
 
 @query(f"WITH {_POSTINGS} SELECT term, round(idf, 6) AS idf FROM idf")
 def idf_weights(spark, sf_dir):
-    return R.idf(R.postings(R.passages(read(spark, sf_dir, "documents")))).select("term", F.round("idf", 6).alias("idf"))
+    return _library(spark, sf_dir).idf.select("term", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_POSTINGS} SELECT count(DISTINCT doc_id) AS total_docs, count(*) AS total_passages, round(avg(length), 6) AS avg_length FROM lens")
 def corpus_stats(spark, sf_dir):
-    return R.corpus_stats(R.passages(read(spark, sf_dir, "documents"))).withColumn("avg_length", F.round("avg_length", 6))
+    return _library(spark, sf_dir).stats.withColumn("avg_length", F.round("avg_length", 6))
 
 
-def _library(spark, sf_dir):
-    p = R.passages(read(spark, sf_dir, "documents"))
-    return p, R.idf(R.postings(p)), R.corpus_stats(p)
+def _library(spark, sf_dir) -> R.Library:
+    """The stored index of the documents: built when a search first needs it, and again when their files change."""
+    docs = read(spark, sf_dir, "documents")
+    manifest = {"files": S_.state_of(docs), "chunker": f"{V.CHUNK_TARGET} {V.CHUNK_MOST} {V.CHUNK_OVERLAP}", "version": "1"}
+    tables = S_.kept(spark, "library", manifest, {"passages": lambda t: R.passages(docs)} | R.Library.PARTS)
+    return R.Library(tables["passages"], tables)
 
 
 @query(f"WITH {_BM25} SELECT query_id, doc_id, chunk_id, score, rank FROM bmr WHERE rank <= 10")
 def bm25_batch(spark, sf_dir):
-    p, weights, stats = _library(spark, sf_dir)
-    return R.search(asked(spark, sf_dir), p, weights, stats, "bm25", 10).select("query_id", "doc_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+    lib = _library(spark, sf_dir)
+    return R.search(asked(spark, sf_dir), lib, "bm25", 10).select("query_id", "doc_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {_BM25} {_TFIDF} SELECT query_id, doc_id, chunk_id, score, rank FROM tfr WHERE rank <= 10")
 def tfidf_cosine_topk(spark, sf_dir):
-    p, weights, stats = _library(spark, sf_dir)
-    return R.search(asked(spark, sf_dir), p, weights, stats, "tfidf", 10).select("query_id", "doc_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+    lib = _library(spark, sf_dir)
+    return R.search(asked(spark, sf_dir), lib, "tfidf", 10).select("query_id", "doc_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH {_BM25} {_TFIDF}, runs AS (SELECT query_id, doc_id, chunk_id, rank FROM bmr WHERE rank <= 10 UNION ALL SELECT query_id, doc_id, chunk_id, rank FROM tfr WHERE rank <= 10)
 SELECT query_id, doc_id, chunk_id, round(sum(1.0 / (60 + rank)), 6) AS score FROM runs GROUP BY ALL""")
 def rrf_fusion(spark, sf_dir):
-    p, weights, stats = _library(spark, sf_dir)
-    runs = [R.search(asked(spark, sf_dir), p, weights, stats, m, 10) for m in ("bm25", "tfidf")]
+    lib = _library(spark, sf_dir)
+    runs = [R.search(asked(spark, sf_dir), lib, m, 10) for m in ("bm25", "tfidf")]
     return R.fuse(runs, ["doc_id", "chunk_id"])
 
 
@@ -234,10 +238,10 @@ v AS (SELECT CAST(a.embedding[1] AS DOUBLE) AS sem, vec_id FROM embeddings a)
 SELECT b.query_id, b.doc_id, b.chunk_id, round((0.6 * coalesce(sem, 0) + 0.4 * ({_LEX})) * 1.0, 6) AS score FROM bmr b JOIN p d USING (doc_id, chunk_id) JOIN bq USING (query_id) LEFT JOIN v ON v.vec_id = b.doc_id WHERE rank <= 10""")
 def rerank(spark, sf_dir):
     """The first component of a vector stands in for the similarity that an embedder would give."""
-    p, weights, stats = _library(spark, sf_dir)
-    best = R.search(asked(spark, sf_dir), p, weights, stats, "bm25", 10).join(asked(spark, sf_dir), "query_id")
+    lib = _library(spark, sf_dir)
+    best = R.search(asked(spark, sf_dir), lib, "bm25", 10).join(asked(spark, sf_dir), "query_id")
     vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding")[0].cast("double").alias("sem"))
-    both = best.join(p, ["doc_id", "chunk_id"]).join(vectors, "doc_id", "left")
+    both = best.join(lib.passages, ["doc_id", "chunk_id"]).join(vectors, "doc_id", "left")
     score = R.rerank_score(F.coalesce("sem", F.lit(0.0)), R.lexical_overlap(F.col("query"), F.col("text")), F.lit(0.0), F.lit(False))
     return both.select("query_id", "doc_id", "chunk_id", F.round(score, 6).alias("score"))
 
@@ -245,16 +249,16 @@ def rerank(spark, sf_dir):
 @query(f"""WITH {_BM25}, bq AS (SELECT item_id AS query_id, list_distinct({_TOKENS("text")}) AS qa FROM benchmark)
 SELECT query_id, doc_id, chunk_id, round(len(list_filter(qa, lambda z: contains(lower(p.text), z))) / len(qa), 6) AS overlap FROM bmr JOIN p USING (doc_id, chunk_id) JOIN bq USING (query_id) WHERE rank <= 10""")
 def query_overlap(spark, sf_dir):
-    p, weights, stats = _library(spark, sf_dir)
-    best = R.search(asked(spark, sf_dir), p, weights, stats, "bm25", 10).join(asked(spark, sf_dir), "query_id").join(p, ["doc_id", "chunk_id"])
+    lib = _library(spark, sf_dir)
+    best = R.search(asked(spark, sf_dir), lib, "bm25", 10).join(asked(spark, sf_dir), "query_id").join(lib.passages, ["doc_id", "chunk_id"])
     return best.select("query_id", "doc_id", "chunk_id", F.round(X.overlap(X.tokenize(F.col("query")), F.lower("text")), 6).alias("overlap"))
 
 
 def _candidates(spark, sf_dir, k: int) -> DataFrame:
-    p, weights, stats = _library(spark, sf_dir)
+    lib = _library(spark, sf_dir)
     q = asked(spark, sf_dir).withColumn("query", X.rewrite(F.col("query"), F.lit("paper")))
     # Only the candidates are annotated: their texts are joined back after the ranking.
-    best = R.annotate(R.search(q, p, weights, stats, "bm25", 3 * k).join(q, "query_id").join(p, ["doc_id", "chunk_id"]))
+    best = R.annotate(R.search(q, lib, "bm25", 3 * k).join(q, "query_id").join(lib.passages, ["doc_id", "chunk_id"]))
     target = F.array(F.col("query_id") % 7)
     return best.select(
         "query_id", F.col("rank").alias("pos"), "score", X.tokenize(F.col("query")).alias("terms"), target.alias("targets"), "doc_id", "chunk_id", "text", "summary", "chunk_type",
@@ -275,8 +279,8 @@ def filter_trace(spark, sf_dir):
 
 @query(f"""WITH {_BM25}, best AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank) AS n FROM bmr WHERE rank <= 20) SELECT query_id, doc_id, chunk_id FROM best WHERE n <= 3""")
 def per_doc_quota(spark, sf_dir):
-    p, weights, stats = _library(spark, sf_dir)
-    best = R.search(asked(spark, sf_dir), p, weights, stats, "bm25", 20).withColumn("own", F.concat_ws(":", "query_id", "doc_id"))
+    lib = _library(spark, sf_dir)
+    best = R.search(asked(spark, sf_dir), lib, "bm25", 20).withColumn("own", F.concat_ws(":", "query_id", "doc_id"))
     return E.recent(best.drop("rank").withColumn("by", -F.col("score")), "own", [F.col("by"), F.col("chunk_id")], 3).select("query_id", "doc_id", "chunk_id")
 
 
@@ -295,8 +299,8 @@ def neighbour_expand(spark, sf_dir):
 
 @query(f"""WITH {_BM25} SELECT query_id, md5(string_agg('[CITE doc=' || doc_id || ' no-page chunk=' || chunk_id || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS digest FROM bmr JOIN p USING (doc_id, chunk_id) WHERE rank <= 6 GROUP BY query_id""")
 def evidence_block(spark, sf_dir):
-    p, weights, stats = _library(spark, sf_dir)
-    best = R.search(asked(spark, sf_dir), p, weights, stats, "bm25", 6).join(p, ["doc_id", "chunk_id"])
+    lib = _library(spark, sf_dir)
+    best = R.search(asked(spark, sf_dir), lib, "bm25", 6).join(lib.passages, ["doc_id", "chunk_id"])
     return R.evidence_block(best).select("query_id", F.md5("block").alias("digest"))
 
 
@@ -341,8 +345,8 @@ t AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_extrac
 miss AS (SELECT query_id, string_agg(term, ',' ORDER BY term) AS missing FROM t WHERE term NOT IN ('paper', 'document', 'article', 'manuscript') AND NOT EXISTS (SELECT 1 FROM k WHERE k.query_id = t.query_id AND contains(low, term)) GROUP BY query_id)
 SELECT item_id AS query_id, (SELECT count(*) FROM k WHERE k.query_id = item_id) AS total_passages, coalesce(missing, '') AS missing_terms FROM benchmark LEFT JOIN miss ON miss.query_id = item_id""")
 def coverage_report(spark, sf_dir):
-    p, weights, stats = _library(spark, sf_dir)
-    kept = R.search(asked(spark, sf_dir), p, weights, stats, "bm25", 5).join(p, ["doc_id", "chunk_id"]).select("query_id", "doc_id", "text", F.lit(None).cast("string").alias("summary"), F.lit("body").alias("chunk_type"), F.lit(0).alias("n_metrics"))
+    lib = _library(spark, sf_dir)
+    kept = R.search(asked(spark, sf_dir), lib, "bm25", 5).join(lib.passages, ["doc_id", "chunk_id"]).select("query_id", "doc_id", "text", F.lit(None).cast("string").alias("summary"), F.lit("body").alias("chunk_type"), F.lit(0).alias("n_metrics"))
     return S.coverage(kept, asked(spark, sf_dir)).select("query_id", "total_passages", "missing_terms")
 
 
@@ -537,8 +541,8 @@ def target_seed_whole(spark, sf_dir):
 
 @query()
 def structured_claims(spark, sf_dir):
-    p, weights, stats = _library(spark, sf_dir)
-    best = R.search(asked(spark, sf_dir), p, weights, stats, "bm25", 6).join(p, ["doc_id", "chunk_id"])
+    lib = _library(spark, sf_dir)
+    best = R.search(asked(spark, sf_dir), lib, "bm25", 6).join(lib.passages, ["doc_id", "chunk_id"])
     kept = best.select("query_id", "rank", "doc_id", "chunk_id", "text", X.summary(F.col("text"), F.lit(False)).alias("summary"), F.lit("body").alias("chunk_type"), F.lit(0).alias("n_metrics"))
     claims = P.claims(kept)
     cover = S.coverage(kept, asked(spark, sf_dir))
