@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import classify as C
 from lodestone.functions import text as X
+from lodestone.functions import values as V
 
 
 def scored(c: DataFrame, mode: str | None = None) -> DataFrame:
@@ -42,49 +44,81 @@ def scored(c: DataFrame, mode: str | None = None) -> DataFrame:
     off = col("figure") & col("has_metrics") & ~(strong | C.mode_context(col("doc_type"), mode) | anchored)
     anchor = col("target") & asked & (col("overlap") >= 0.3) & (col("penalty") <= 0.4)
     blank = some & (col("info_overlap") == 0) & ~anchor & ~(col("intent") & col("metric") & (col("overlap") > 0))
-    reason = F.when(bare, "dropped: figure lacks structured metrics").when(off, "dropped: figure lacks informative overlap").when(blank, "dropped: no informative-term overlap").when(asked & (col("overlap") == 0), "dropped: no query overlap")
+    reason = F.when(bare, V.REASONS["bare figure"]).when(off, V.REASONS["off figure"]).when(blank, V.REASONS["uninformative"]).when(asked & (col("overlap") == 0), V.REASONS["no overlap"])
     return c.withColumn("gate", reason).withColumn("anchor", asked & (col("overlap") >= 0.3) & (col("penalty") <= 0.4))
 
 
-def select(c: DataFrame, k: int) -> DataFrame:
-    """(query_id, doc_id, chunk_id, final_rank) of the rows that a query keeps of its scored candidates.
+_FACTS = "query_id", "pos", "adjusted", "doc_id", "chunk_id", "print", "figure", "metric", "has_metrics", "target", "anchor", "info_overlap", "overlap", "penalty", "gate", "intent", "scoped"
+
+
+def _better_target(x: dict, weakest: float) -> bool:
+    named = x["anchor"] or x["info_overlap"] >= 0.2 or (x["intent"] and x["has_metrics"])
+    return x["target"] and named and x["adjusted"] + 0.05 >= weakest
+
 
-    Candidates are few (a multiple of k), so one fold a query holds them: duplicates, quotas and the three
-    rescues depend on what was kept before and are no windows.
+def fold(rows: list[dict], k: int) -> list[tuple]:
+    """(place, final rank or None, reason) of one query's candidates, which come with their facts.
+
+    What is kept depends on what was kept before: duplicates, quotas and the three rescues are no windows.
     """
-    item = F.struct(
-        (-F.col("adjusted")).alias("o"), "pos", F.col("doc_id").cast("string").alias("doc"), "doc_id", "chunk_id", X.fingerprint(F.coalesce("text", "summary", F.lit(""))).alias("print"),
-        "figure", "metric", "has_metrics", "target", "anchor", "info_overlap", "overlap", "penalty", "adjusted",
-    )
-    ranked = c.where("gate is null").groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("r"), F.first("intent").alias("intent"), F.bool_or(F.size("targets") > 0).alias("scoped"))
+    why = {x["pos"]: x["gate"] for x in rows}
+    line = sorted((x for x in rows if x["gate"] is None), key=lambda x: (-x["adjusted"], x["pos"]))
+    kept: list[dict] = []
     most = max(2, k // 2)
-    none = F.slice(F.col("r"), 1, 0)
-
-    def step(kept: Column, x: Column) -> Column:
-        same = F.exists(kept, lambda y: y["print"] == x["print"])
-        per_doc = F.size(F.filter(kept, lambda y: y["doc"] == x["doc"]))
-        figures = F.size(F.filter(kept, lambda y: (y["doc"] == x["doc"]) & y["figure"]))
-        full = (F.size(kept) >= k) | (per_doc >= most) | (x["figure"] & (figures >= 1) & ~x["metric"])
-        return F.when(same | full, kept).otherwise(F.concat(kept, F.array(x)))
-
-    out = ranked.withColumn("kept", F.aggregate("r", none, step))
-    left = lambda cond: F.get(F.filter("r", lambda x: cond(x) & ~F.array_contains(F.transform("kept", lambda y: y["pos"]), x["pos"])), F.lit(0))
-    size = F.size("kept")
-    # First rescue: no kept row is of a target; the weakest makes room for a qualified one within the margin.
-    weakest = F.array_min(F.transform("kept", lambda y: y["adjusted"]))
-    hero = left(lambda x: x["target"] & (x["anchor"] | (x["info_overlap"] >= 0.2) | (F.col("intent") & x["has_metrics"])) & (x["adjusted"] + 0.05 >= weakest))
-    at = F.array_position(F.transform("kept", lambda y: y["adjusted"]), weakest).cast("int")
-    put = lambda rows, i, x: F.transform(rows, lambda y, j: F.when(j + 1 == i, x).otherwise(y))
-    out = out.withColumn("hero", hero).withColumn("at", at)
-    lost = F.coalesce("scoped", F.lit(False)) & (size > 0) & ~F.exists("kept", lambda y: y["target"]) & F.col("hero").isNotNull()
-    out = out.withColumn("kept", F.when(lost, put(F.col("kept"), F.col("at"), F.col("hero"))).otherwise(F.col("kept")))
-    # Second: nothing kept; the first clean row of a target.
-    clean = left(lambda x: x["target"] & (x["penalty"] <= 0.55) & (~x["figure"] | x["has_metrics"]))
-    out = out.withColumn("hero", clean)
-    out = out.withColumn("kept", F.when(F.coalesce("scoped", F.lit(False)) & (F.size("kept") == 0) & F.col("hero").isNotNull(), F.array("hero")).otherwise(F.col("kept")))
-    # Third: metrics are asked for and no kept row has any; the last one makes room.
-    measured = left(lambda x: x["metric"] & ((x["overlap"] > 0) | (x["info_overlap"] > 0)))
-    out = out.withColumn("hero", measured)
-    dry = F.col("intent") & (F.size("kept") > 0) & ~F.exists("kept", lambda y: y["metric"]) & F.col("hero").isNotNull()
-    out = out.withColumn("kept", F.when(dry, put(F.col("kept"), F.size("kept"), F.col("hero"))).otherwise(F.col("kept")))
-    return out.select("query_id", F.posexplode("kept").alias("i", "x")).select("query_id", "x.doc_id", "x.chunk_id", (F.col("i") + 1).alias("final_rank"))
+    for x in line:
+        if len(kept) == k:
+            break
+        own = [y for y in kept if y["doc_id"] == x["doc_id"]]
+        if any(y["print"] == x["print"] for y in kept):
+            why[x["pos"]] = V.REASONS["duplicate"]
+        elif len(own) >= most:
+            why[x["pos"]] = V.REASONS["document"]
+        elif x["figure"] and not x["metric"] and any(y["figure"] for y in own):
+            why[x["pos"]] = V.REASONS["figure"]
+        else:
+            kept.append(x)
+
+    def rescue(fits, at: int | None, reason: str) -> None:
+        hero = next((x for x in line if x not in kept and fits(x)), None)
+        if hero is None:
+            return
+        if at is None:
+            kept.append(hero)
+        else:
+            why[kept[at]["pos"]] = f"{V.REASONS['replaced']} {hero['doc_id']}:{hero['chunk_id']}"
+            kept[at] = hero
+        why[hero["pos"]] = V.REASONS[reason]
+
+    scoped, intent = any(x["scoped"] for x in rows), any(x["intent"] for x in rows)
+    if scoped and kept and not any(x["target"] for x in kept):  # the weakest makes room for a qualified one
+        weakest = min(range(len(kept)), key=lambda i: kept[i]["adjusted"])
+        rescue(lambda x: _better_target(x, kept[weakest]["adjusted"]), weakest, "target rescue")
+    if scoped and not kept:
+        rescue(lambda x: x["target"] and x["penalty"] <= 0.55 and (not x["figure"] or x["has_metrics"]), None, "target rescue")
+    if intent and kept and not any(x["metric"] for x in kept):  # the last makes room
+        rescue(lambda x: x["metric"] and (x["overlap"] > 0 or x["info_overlap"] > 0), len(kept) - 1, "metric rescue")
+    ranks = {x["pos"]: i for i, x in enumerate(kept, 1)}
+    return [(x["pos"], ranks.get(x["pos"]), why[x["pos"]] or V.REASONS["kept" if x["pos"] in ranks else "below"]) for x in rows]
+
+
+def decide(c: DataFrame, k: int) -> DataFrame:
+    """(query_id, pos, doc_id, chunk_id, final_rank, reason) of every scored candidate; the rank is null where it is dropped.
+
+    Candidates are a small multiple of k for each query, so one group holds them; only their facts travel, no texts.
+    """
+    facts = c.withColumn("print", X.fingerprint(F.coalesce("text", "summary", F.lit("")))).withColumn("scoped", F.coalesce(F.size("targets"), F.lit(0)) > 0).select(*_FACTS)
+
+    def one(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        said = fold(rows, k)
+        order = {x["pos"]: i for i, x in enumerate(rows)}
+        out = table.take(pa.array([order[p] for p, _, _ in said], pa.int64())).select(["query_id", "pos", "doc_id", "chunk_id"])
+        return out.append_column("final_rank", pa.array([r for _, r, _ in said], pa.int32())).append_column("reason", pa.array([w for _, _, w in said], pa.string()))
+
+    kind = ", ".join(f"{n} {facts.schema[n].dataType.simpleString()}" for n in ("query_id", "pos", "doc_id", "chunk_id"))
+    return facts.groupBy("query_id").applyInArrow(one, f"{kind}, final_rank int, reason string")
+
+
+def select(c: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, chunk_id, final_rank) of the rows that a query keeps of its scored candidates."""
+    return decide(c, k).where("final_rank is not null").select("query_id", "doc_id", "chunk_id", "final_rank")

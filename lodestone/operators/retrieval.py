@@ -61,13 +61,20 @@ def annotate(p: DataFrame) -> DataFrame:
     return p.withColumn("chunk_type", C.chunk_type(F.col("text"), table, F.col("noise_level")))
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once for all places where f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def counted(words: Column) -> Column:
     """(term, tf) of a list of words, within the row: runs of equal words in their sorted order."""
-    first = lambda w: F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, F.greatest(i - 1, F.lit(0)))))
-    runs = lambda w, at: F.transform(at, lambda i, k: F.struct(F.get(w, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(w)) - i).cast("long").alias("tf")))
-    sorted_ = F.array_sort(words)
-    own = F.transform(F.array(sorted_), lambda w: runs(w, first(w)))[0]
-    return F.when(F.size(words) > 0, own).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+
+    def runs(w: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, F.greatest(i - 1, F.lit(0)))))
+        return _bound(firsts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(w, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(w)) - i).cast("long").alias("tf"))))
+
+    none = F.array().cast("array<struct<term:string,tf:bigint>>")
+    return _bound(F.array_sort(words), lambda w: F.when(F.size(w) > 0, runs(w)).otherwise(none))
 
 
 def postings(p: DataFrame) -> DataFrame:
