@@ -110,8 +110,8 @@ def mode_weight(searchable: Column, doc_type_: Column, mode: str | None) -> Colu
 
 def is_boilerplate(text: Column) -> Column:
     text, low = X.strip(text), F.lower(X.strip(text))
-    patterns = [r"\bpage\s+\d+\s+of\s+\d+\b", r"\bopen\s+access\b", r"\bthe\s+author\(s\)\b", r"\bdeclarations?\b", r"\bethics\s+approval\b", r"\bconsent\s+to\s+participate\b", r"\bcorrespondence\b", r"\baffiliations?\b"]
+    patterns = V.BOILERPLATE
     seen = X._any([text.rlike("(?i)" + p) for p in patterns])
-    names = X.has_any(low, ["accuracy", "precision", "recall", "auc"])
-    meta = X.has_any(low, ["doi.org/", "not applicable", "received", "accepted", "published online"])
+    names = X.has_any(low, V.BOILERPLATE_METRICS)
+    meta = X.has_any(low, V.BOILERPLATE_META)
     return (text == "") | (seen & ((F.length(low) < 220) | ~names)) | (meta & (F.length(low) < 260)) | (text.rlike("(?i)" + patterns[0]) & text.rlike("(?i)" + patterns[1]))

@@ -144,7 +144,8 @@ def dois(c: Column) -> Column:
 
 
 def canonical_hgvs(c: Column) -> Column:
-    bare = F.regexp_replace(c, "[() ]", "")
+    c = F.when(c.rlike(r"[^\x00-\x7F]"), _nfkc(c)).otherwise(c)
+    bare = F.regexp_replace(F.translate(c, "".join(V.DASHES), "-" * len(V.DASHES)), "[() ]", "")
     return F.when(F.coalesce(bare, F.lit("")) == "", "Unknown").otherwise(F.concat(F.lower(F.left(bare, F.lit(2))), F.upper(F.substr(bare, F.lit(3)))))
 
 

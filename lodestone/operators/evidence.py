@@ -128,6 +128,7 @@ def citation_guard(answer: Column, searched: Column, has_evidence: Column, allow
         F.when(has_evidence & (F.size(cited) == 0), "no citations")
         .when(~searched & (F.size(cited) > 0), "citations without search")
         .when(unknown, "unknown citation")
-        .when(F.exists(X.sentences(answer), lambda s: s.rlike(r"\d") & ~F.contains(s, F.lit("[CITE"))), "number without citation")
+        .when(X._any([answer.rlike("(?i)" + p) for p in V.SUSPICIOUS]), "possible hallucination")
+        .when(has_evidence & F.exists(X.sentences(answer), lambda s: s.rlike("(?i)" + V.NEEDS_CITATION) & ~F.contains(s, F.lit("[CITE"))), "number without citation")
         .otherwise("ok")
     )

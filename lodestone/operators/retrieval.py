@@ -122,7 +122,8 @@ class Library:
             if name not in t:
                 t[name] = make(t)
         self.passages, self.idf, self.norms = t["passages"], t["idf"], t["norms"]
-        self.postings = t["terms"].where("term is not null")
+        self.terms = t["terms"]
+        self.postings = self.terms.where("term is not null")
         self.stats = t["stats"].drop("worded")
         self.df = t["df"]
 

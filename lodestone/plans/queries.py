@@ -18,9 +18,11 @@ from lodestone.functions import text as X
 from lodestone.functions import values as V
 from lodestone.operators import evaluation as E
 from lodestone.operators import evidence as S
+from lodestone.operators import hybrid as H
 from lodestone.operators import quality as Q
 from lodestone.operators import reports as P
 from lodestone.operators import retrieval as R
+from lodestone.operators import synthesis as Y
 from lodestone.sources import library as L
 from lodestone.sources import tables as S_
 
@@ -277,6 +279,89 @@ def filter_trace(spark, sf_dir):
     return c.select("query_id", "doc_id", "chunk_id", F.round("adjusted", 6).alias("adjusted"), F.round("penalty", 6).alias("penalty"), F.round("overlap", 6).alias("overlap"), "gate")
 
 
+# ---------------------------------------------------------------- the whole chain
+
+
+def _dense(spark, sf_dir, k: int):
+    """(the dense run, similarity of candidates): the vector of a query's number asks, that of a document's number is its first passage's."""
+    e, q = read(spark, sf_dir, "embeddings"), asked(spark, sf_dir)
+    own = e.join(R.small(q.select(F.col("query_id").alias("vec_id"))), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
+    run = R.dense_top(own, e.select("vec_id", "embedding"), k).select("query_id", F.col("vec_id").alias("doc_id"), F.lit(0).alias("chunk_id"), "score", "rank")
+
+    def similarity(pool: DataFrame) -> DataFrame:
+        of_query = own.withColumnRenamed("embedding", "a")
+        of_doc = e.select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("chunk_id"), F.col("embedding").alias("b"))
+        both = pool.join(of_query, "query_id", "left").join(of_doc, ["doc_id", "chunk_id"], "left")
+        return both.select("query_id", "doc_id", "chunk_id", R.inner_product(F.col("a"), F.col("b")).alias("sem"))
+
+    return run, similarity
+
+
+def _collected(spark, sf_dir, named: bool, k: int = 6):
+    lib, q = _library(spark, sf_dir), asked(spark, sf_dir)
+    run, similarity = _dense(spark, sf_dir, k)
+    targets = q.select("query_id", F.col("query_id").alias("doc_id")).where(F.lit(named))  # the document of a query's number
+    write = lambda df, name: S_.written(df, f"hybrid-{name}")
+    return q, targets, *H.collect(q, lib, targets, similarity, run, "bm25", "paper", k, write)
+
+
+@query(rf"""WITH {_BM25} {_TFIDF},
+dn AS (SELECT b.vec_id AS query_id, a.vec_id AS doc_id, 0 AS chunk_id, {_INNER} AS score, row_number() OVER (PARTITION BY b.vec_id ORDER BY {_INNER} DESC, a.vec_id) AS rank FROM embeddings a, embeddings b WHERE b.vec_id IN (SELECT item_id FROM benchmark)),
+runs AS (SELECT query_id, 'primary' AS stage, doc_id, chunk_id, score, rank FROM bmr WHERE rank <= 6 UNION ALL SELECT query_id, 'fallback', doc_id, chunk_id, score, rank FROM tfr WHERE rank <= 6 UNION ALL SELECT query_id, 'dense', doc_id, chunk_id, score, rank FROM dn WHERE rank <= 6),
+fs AS (SELECT query_id, doc_id, chunk_id, round(sum(1.0 / (60 + rank)), 6) AS score FROM runs GROUP BY ALL),
+fr AS (SELECT query_id, 'fused' AS stage, doc_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_id) AS rank FROM fs),
+bq AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda z: length(z) > 2)) AS qa FROM benchmark),
+ov AS (SELECT fs.query_id, fs.doc_id, fs.chunk_id, {_LEX} AS lex, CASE WHEN starts_with(d.text, '[TABLE/FIGURE]') THEN 0.9 ELSE 1.0 END AS keep FROM fs JOIN p d USING (doc_id, chunk_id) JOIN bq USING (query_id)),
+sm AS (SELECT ov.*, CASE WHEN chunk_id = 0 THEN list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * b.embedding[i])) END AS sem FROM ov LEFT JOIN embeddings a ON a.vec_id = doc_id LEFT JOIN embeddings b ON b.vec_id = query_id),
+rs AS (SELECT query_id, doc_id, chunk_id, (0.6 * coalesce(sem, 0) + (1 - 0.6) * lex) * keep AS score FROM sm),
+rr AS (SELECT query_id, 'reranked' AS stage, doc_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_id) AS rank FROM rs)
+SELECT * FROM runs UNION ALL SELECT * FROM fr UNION ALL SELECT * FROM rr WHERE rank <= 12""")
+def hybrid_stages(spark, sf_dir):
+    """All runs of queries that name no document, up to the reranked candidates."""
+    _, _, stages, _, _ = _collected(spark, sf_dir, False)
+    return H.by_stage({n: stages[n] for n in ("primary", "fallback", "dense", "fused", "reranked")})
+
+
+@query()
+def hybrid_collect(spark, sf_dir):
+    """Every stage, seeds and the filter's final choice included, where each query names a document."""
+    return H.by_stage(_collected(spark, sf_dir, True)[2])
+
+
+@query()
+def filter_decisions(spark, sf_dir):
+    """What becomes of each reranked candidate, and why."""
+    return _collected(spark, sf_dir, True)[3].select("query_id", "doc_id", "chunk_id", "final_rank", "reason")
+
+
+def _synthesis(spark, sf_dir) -> DataFrame:
+    q, targets, _, _, final = _collected(spark, sf_dir, True)
+    kept = final.select("query_id", F.col("final_rank").alias("rank"), "doc_id", "chunk_id", "text", "summary", "chunk_type", "n_metrics")
+    records = final.select("query_id", "final_rank", "doc_id", "chunk_id", F.posexplode("records").alias("at", "r"))
+    records = records.select("query_id", (F.col("final_rank") * 10000 + F.col("at")).alias("pos"), "r.label", "r.value", "r.model", "r.dataset", "doc_id", "chunk_id")
+    return Y.build(q, kept, records, targets)
+
+
+@query()
+def structured_build(spark, sf_dir):
+    s = _synthesis(spark, sf_dir)
+    names = lambda c, f: F.array_join(F.transform(c, lambda x: x[f]), " | ")
+    return s.select("query_id", "status", names("claims", "statement").alias("claims"), names("unsupported", "topic").alias("unsupported"), F.array_join("limitations", " | ").alias("limitations"), F.array_join("conflicts", " | ").alias("conflicts"), "total_passages", "metric_candidates")
+
+
+@query()
+def verify_claims(spark, sf_dir):
+    """Claims of every fifth query lose their citation, and the verifier drops them."""
+    s = _synthesis(spark, sf_dir)
+    bare = F.transform("claims", lambda c: c.withField("doc_id", F.when(F.col("query_id") % 5 != 0, c["doc_id"])))
+    return Y.verify(s.withColumn("claims", bare)).select("query_id", "status", F.size("claims").alias("claims"), F.size("unsupported").alias("unsupported"), "dropped")
+
+
+@query()
+def structured_page(spark, sf_dir):
+    return Y.page(Y.verify(_synthesis(spark, sf_dir)))
+
+
 @query(f"""WITH {_BM25}, best AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank) AS n FROM bmr WHERE rank <= 20) SELECT query_id, doc_id, chunk_id FROM best WHERE n <= 3""")
 def per_doc_quota(spark, sf_dir):
     lib = _library(spark, sf_dir)
@@ -483,8 +568,8 @@ def lru_cache(spark, sf_dir):
     return E.lru(read(spark, sf_dir, "events"), "user_id", "event_id", 128)
 
 
-@query(r"""WITH s AS (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda z: trim(z)), lambda z: z <> '') AS s FROM conversations WHERE role = 'assistant')
-SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'no citations' WHEN len(list_filter(s, lambda z: regexp_matches(z, '\d'))) > 0 THEN 'number without citation' ELSE 'ok' END AS verdict FROM s""")
+@query(r"""WITH s AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'no citations' WHEN regexp_matches(text, '(?i)(Nature.*\d{3,4}|Science.*\d{3,4}|Cell.*\d{3,4})') THEN 'possible hallucination' ELSE 'ok' END AS verdict FROM s""")
 def citation_guard(spark, sf_dir):
     c = read(spark, sf_dir, "conversations").where("role = 'assistant'")
     return c.select("conv_id", "turn", S.citation_guard(F.col("text"), F.lit(True), F.col("turn") % 2 == 0, F.array(F.lit("1:0"))).alias("verdict"))

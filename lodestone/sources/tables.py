@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +53,10 @@ def drop(spark: SparkSession, name: str, manifest: dict[str, str]) -> None:
     key = hashlib.sha256(repr(sorted(manifest.items())).encode()).hexdigest()[:24]
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder(spark)}/{name}-{key}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table written to the folder and read again: a cut in the lineage that outlives executors."""
+    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
