@@ -164,13 +164,6 @@ def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(query_id, vec_id, score): exact inner products of a bounded set of query vectors with all rows."""
-    asked = F.broadcast(queries) if queries.limit(1001).count() <= 1000 else queries
-    both = vectors.crossJoin(asked.withColumnRenamed("embedding", "asked"))
-    return both.select("query_id", "vec_id", F.round(inner_product(F.col("embedding"), F.col("asked")), 6).alias("score"))
-
-
 def dense_top(queries: DataFrame, vectors: DataFrame, k: int, rows: int = 8192, block: int = 1024) -> DataFrame:
     """(query_id, vec_id, score, rank): the k best exact inner products of any number of query vectors with all rows.
 
@@ -260,12 +253,13 @@ def evidence_block(p: DataFrame, most: int = 6) -> DataFrame:
 def infer_targets(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, doc_id, strength): documents that a query names, by DOI or a title of 8 letters (strong), or by an alias of 4 (weak); weak ones give way to strong ones and to ``this ... paper``.
 
-    Aliases and queries meet on the letters that they begin with, not by a product of the tables.
+    DOIs are read from the title and, where there is one, the whole text. Aliases and queries meet on the letters that they begin with, not by a product of the tables.
     """
     q = queries.select("query_id", "query", X.key(F.col("query")).alias("text"), F.col("query").rlike(r"(?i)\bthis\b[\w\s-]{0,40}\bpaper\b").alias("deictic"))
     grams = q.select("*", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 3, F.lit(1))), lambda i: F.substr("text", i, F.lit(4))))).alias("gram"))
     strong = docs.select("doc_id", X.key(F.col("title")).alias("alias"), F.lit(2).alias("s")).where(F.length("alias") >= 8)
-    doi = docs.select("doc_id", F.explode(X.dois(F.col("title"))).alias("alias"), F.lit(2).alias("s"))
+    whole = F.concat_ws(" ", "title", "text") if "text" in docs.columns else F.col("title")
+    doi = docs.select("doc_id", F.explode(F.array_distinct(X.dois(whole))).alias("alias"), F.lit(2).alias("s"))
     weak = docs.select("doc_id", F.explode("aliases").alias("a")).select("doc_id", X.key(F.col("a")).alias("alias"), F.lit(1).alias("s")).where(F.length("alias") >= 4)
     names = strong.union(doi).union(weak).withColumn("gram", F.left("alias", F.lit(4)))
     found = grams.join(names, "gram").where(F.contains("text", F.col("alias"))).groupBy("query_id", "deictic", "doc_id").agg(F.max("s").alias("s"))

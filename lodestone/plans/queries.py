@@ -16,6 +16,7 @@ from lodestone.functions import dialogue as D
 from lodestone.functions import metrics as M
 from lodestone.functions import text as X
 from lodestone.functions import values as V
+from lodestone.operators import catalog as K
 from lodestone.operators import evaluation as E
 from lodestone.operators import evidence as S
 from lodestone.operators import hybrid as H
@@ -142,6 +143,30 @@ def fingerprint_dedup(spark, sf_dir):
 # ---------------------------------------------------------------- passages and classes
 
 
+_PARAGRAPHS = """d AS (SELECT doc_id, string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)) AS raw FROM documents WHERE text IS NOT NULL),
+pp AS (SELECT doc_id, list_filter(list_transform(raw, lambda z: regexp_replace(z, '^\\s+|\\s+$', '', 'g')), lambda z: z <> '') AS q FROM d)"""
+
+
+@query(rf"""WITH RECURSIVE {_PARAGRAPHS},
+step AS (SELECT doc_id, q, 0 AS j, CAST([] AS VARCHAR[]) AS buf, 0 AS n, CAST([] AS STRUCT(t VARCHAR, l VARCHAR)[]) AS done FROM pp
+  UNION ALL SELECT doc_id, q, j + 1,
+    CASE WHEN length(q[j + 1]) > 1700 THEN CAST([] AS VARCHAR[]) WHEN n + length(q[j + 1]) + 2 <= 1200 THEN list_append(buf, q[j + 1]) ELSE [q[j + 1]] END,
+    CASE WHEN length(q[j + 1]) > 1700 THEN 0 WHEN n + length(q[j + 1]) + 2 <= 1200 THEN n + length(q[j + 1]) + 2 ELSE length(q[j + 1]) END,
+    CASE WHEN length(q[j + 1]) <= 1700 AND n + length(q[j + 1]) + 2 <= 1200 THEN done
+      ELSE list_concat(CASE WHEN len(buf) > 0 THEN list_append(done, struct_pack(t := array_to_string(buf, chr(10) || chr(10)), l := buf[-1])) ELSE done END,
+        CASE WHEN length(q[j + 1]) > 1700 THEN list_transform(range(0, CAST(ceil(length(q[j + 1]) / 1700.0) AS BIGINT)), lambda i: struct_pack(t := {_STRIP("substring(q[j + 1], i * 1700 + 1, 1700)")}, l := {_STRIP("substring(q[j + 1], i * 1700 + 1, 1700)")})) ELSE CAST([] AS STRUCT(t VARCHAR, l VARCHAR)[]) END) END
+  FROM step WHERE j < len(q)),
+whole AS (SELECT doc_id, CASE WHEN len(buf) > 0 THEN list_append(done, struct_pack(t := array_to_string(buf, chr(10) || chr(10)), l := buf[-1])) ELSE done END AS c FROM step WHERE j = len(q)),
+e AS (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM whole),
+x AS (SELECT doc_id, i, c[i].t AS t, CASE WHEN i > 1 THEN c[i - 1].l ELSE '' END AS prev, length(c[i].t) > 0 AS some, c[i].t = c[i].l AND len(string_split(c[i].t, chr(10) || chr(10))) = 1 AS single FROM e),
+m AS (SELECT doc_id, i, prev, CASE WHEN {_TABLE} THEN '[TABLE/FIGURE]' || chr(10) || t ELSE t END AS t FROM x)
+SELECT doc_id, CAST(i - 1 AS INT) AS chunk_id, md5(CASE WHEN prev <> '' THEN {_STRIP("prev || chr(10) || chr(10) || t")} ELSE t END) AS digest FROM m""")
+def chunk_paragraphs(spark, sf_dir):
+    """Texts whose line feeds are doubled, so that each line is a paragraph: packing, the overlap, and longer paragraphs cut."""
+    docs = read(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    return R.passages(docs).select("doc_id", "chunk_id", F.md5("text").alias("digest"))
+
+
 @query(f"WITH {_PASSAGES} SELECT doc_id, chunk_id, md5(text) AS digest, CAST(length(text) AS BIGINT) AS n FROM p")
 def chunk_passages(spark, sf_dir):
     p = R.passages(read(spark, sf_dir, "documents"))
@@ -217,16 +242,9 @@ def rrf_fusion(spark, sf_dir):
 _INNER = "round(list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * b.embedding[i])), 6)"
 
 
-@query(f"""SELECT * FROM (SELECT b.vec_id AS query_id, a.vec_id, {_INNER} AS score, row_number() OVER (PARTITION BY b.vec_id ORDER BY {_INNER} DESC, a.vec_id) AS rank FROM embeddings a, embeddings b WHERE b.vec_id < 5) WHERE rank <= 10""")
+@query(f"""SELECT * FROM (SELECT b.vec_id AS query_id, a.vec_id, {_INNER} AS score, row_number() OVER (PARTITION BY b.vec_id ORDER BY {_INNER} DESC, a.vec_id) AS rank FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0) WHERE rank <= 10""")
 def dense_batch(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings")
-    asked_ = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding")
-    return R.top(R.dense(asked_, e.select("vec_id", "embedding")), 10, ["vec_id"]).select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
-
-
-@query()
-def dense_batch_whole(spark, sf_dir):
-    """Every row whose id is divisible by 50 against all rows; ``dense_batch`` and its SQL ask five."""
+    """Every row whose id is divisible by 50 against all rows."""
     e = read(spark, sf_dir, "embeddings")
     asked_ = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return R.dense_top(asked_, e.select("vec_id", "embedding"), 10).select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
@@ -235,16 +253,16 @@ def dense_batch_whole(spark, sf_dir):
 _LEX = r"""CASE WHEN len(qa) > 0 THEN len(list_intersect(qa, regexp_split_to_array(lower(d.text), '\s+'))) / len(qa) ELSE 0 END"""
 
 
-@query(rf"""WITH {_BM25}, bq AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda z: length(z) > 2)) AS qa FROM benchmark),
-v AS (SELECT CAST(a.embedding[1] AS DOUBLE) AS sem, vec_id FROM embeddings a)
-SELECT b.query_id, b.doc_id, b.chunk_id, round((0.6 * coalesce(sem, 0) + 0.4 * ({_LEX})) * 1.0, 6) AS score FROM bmr b JOIN p d USING (doc_id, chunk_id) JOIN bq USING (query_id) LEFT JOIN v ON v.vec_id = b.doc_id WHERE rank <= 10""")
+@query(rf"""WITH {_BM25}, bq AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda z: length(z) > 2)) AS qa FROM benchmark)
+SELECT b.query_id, b.doc_id, b.chunk_id, round(0.6 * coalesce(list_sum(list_transform(range(1, 65), lambda i: CAST(x.embedding[i] AS DOUBLE) * y.embedding[i])), 0) + 0.4 * ({_LEX}), 6) AS score
+FROM bmr b JOIN p d USING (doc_id, chunk_id) JOIN bq USING (query_id) LEFT JOIN embeddings x ON x.vec_id = b.doc_id LEFT JOIN embeddings y ON y.vec_id = b.query_id WHERE rank <= 10""")
 def rerank(spark, sf_dir):
-    """The first component of a vector stands in for the similarity that an embedder would give."""
+    """The vector of a document's number is that of its passages, and that of a query's number asks."""
     lib = _library(spark, sf_dir)
-    best = R.search(asked(spark, sf_dir), lib, "bm25", 10).join(asked(spark, sf_dir), "query_id")
-    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding")[0].cast("double").alias("sem"))
-    both = best.join(lib.passages, ["doc_id", "chunk_id"]).join(vectors, "doc_id", "left")
-    score = R.rerank_score(F.coalesce("sem", F.lit(0.0)), R.lexical_overlap(F.col("query"), F.col("text")), F.lit(0.0), F.lit(False))
+    e, q = read(spark, sf_dir, "embeddings"), asked(spark, sf_dir)
+    best = R.search(q, lib, "bm25", 10).join(q, "query_id").join(lib.passages, ["doc_id", "chunk_id"])
+    both = best.join(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("a")), "doc_id", "left").join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("b")), "query_id", "left")
+    score = R.rerank_score(F.coalesce(R.inner_product(F.col("a"), F.col("b")), F.lit(0.0)), R.lexical_overlap(F.col("query"), F.col("text")), F.lit(0.0), F.lit(False))
     return both.select("query_id", "doc_id", "chunk_id", F.round(score, 6).alias("score"))
 
 
@@ -369,11 +387,25 @@ def per_doc_quota(spark, sf_dir):
     return E.recent(best.drop("rank").withColumn("by", -F.col("score")), "own", [F.col("by"), F.col("chunk_id")], 3).select("query_id", "doc_id", "chunk_id")
 
 
-@query(rf"""WITH d AS (SELECT doc_id, regexp_replace(lower(left(text, 40)), '[^a-z0-9]+', '', 'g') AS a FROM documents WHERE text IS NOT NULL), b AS (SELECT item_id, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS t FROM benchmark)
-SELECT item_id AS query_id, doc_id, 'strong' AS strength FROM d, b WHERE length(a) >= 8 AND contains(t, a)""")
+_KEYED = lambda x: f"regexp_replace(lower({x}), '[^a-z0-9]+', '', 'g')"
+
+
+@query(f"""WITH b AS (SELECT item_id AS query_id, text, row_number() OVER (ORDER BY item_id) AS n FROM benchmark),
+d AS (SELECT item_id AS doc_id, CASE WHEN item_id % 3 = 0 THEN left(text, 60) ELSE 'untitled' END AS title, '10.' || (5000 + item_id) || '/x' || item_id AS doi, split_part(text, ' ', 2) AS alias FROM benchmark),
+q AS (SELECT query_id, {_KEYED("CASE WHEN query_id % 4 = 0 THEN text || ' see 10.' || (5000 + query_id) || '/X' || query_id WHEN query_id % 4 = 1 THEN 'what does this long awaited paper say of ' || split_part(text, ' ', 2) ELSE text END")} AS t, query_id % 4 = 1 AS deictic FROM b),
+s AS (SELECT query_id, deictic, doc_id, 2 AS s FROM q, d WHERE (length({_KEYED("title")}) >= 8 AND contains(t, {_KEYED("title")})) OR contains(t, {_KEYED("doi")})
+  UNION ALL SELECT query_id, deictic, doc_id, 1 FROM q, d WHERE length({_KEYED("alias")}) >= 4 AND contains(t, {_KEYED("alias")})),
+g AS (SELECT query_id, deictic, doc_id, max(s) AS s FROM s GROUP BY ALL)
+SELECT query_id, doc_id, CASE WHEN s = 2 THEN 'strong' ELSE 'weak' END AS strength FROM g WHERE s = (SELECT max(s) FROM g h WHERE h.query_id = g.query_id) AND (s = 2 OR NOT deictic)""")
 def target_inference(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(40)).alias("title"), F.array(F.lit("x")).alias("aliases"))
-    return R.infer_targets(asked(spark, sf_dir), docs)
+    """Documents with titles, DOIs and aliases made of the benchmark's texts, which queries name in each of these ways."""
+    b = read(spark, sf_dir, "benchmark")
+    number, second = F.col("item_id").cast("string"), F.split_part("text", F.lit(" "), F.lit(2))
+    doi = F.concat(F.lit(" see 10."), (F.col("item_id") + 5000).cast("string"), F.lit("/X"), number)
+    query = F.when(F.col("item_id") % 4 == 0, F.concat("text", doi)).when(F.col("item_id") % 4 == 1, F.concat(F.lit("what does this long awaited paper say of "), second)).otherwise(F.col("text"))
+    title = F.when(F.col("item_id") % 3 == 0, F.left("text", F.lit(60))).otherwise("untitled")
+    docs = b.select(F.col("item_id").alias("doc_id"), title.alias("title"), F.concat(F.lit("10."), (F.col("item_id") + 5000).cast("string"), F.lit("/x"), number).alias("text"), F.array(second).alias("aliases"))
+    return R.infer_targets(b.select(F.col("item_id").alias("query_id"), query.alias("query")), docs)
 
 
 @query("""SELECT DISTINCT c.conv_id, c.turn, c.role FROM conversations c JOIN conversations u ON u.conv_id = c.conv_id AND abs(u.turn - c.turn) <= 1 WHERE u.role = 'assistant'""")
@@ -446,14 +478,6 @@ def audit_status(spark, sf_dir):
     return d.select(status.alias("status")).groupBy("status").agg(F.count("*").alias("n"))
 
 
-_VARIANTS = [
-    (1, "BRCA2 c.123A>T variant in ClinVar: Likely pathogenic. 42 cases and 10 controls of African ancestry with cardiomyopathy.", 1, "variant"),
-    (2, "gene tp53 p.Arg175His classification benign; gnomAD 0.002", 0, "paper"),
-    (3, "BRCA2 c.123a>t was pathogenic in ClinVar", 0, "paper"),
-    (4, "No variant here, only epilepsy patients of European descent.", 0, "paper"),
-]
-
-
 def _variant_text(spark, sf_dir) -> DataFrame:
     """One text of each part: brands stand in for genes, sizes for positions and counts, types for classes."""
     kind = F.element_at(F.array(*map(F.lit, V.CLINVAR)), (F.crc32("p_type") % len(V.CLINVAR) + 1).cast("int"))
@@ -467,15 +491,18 @@ def variant_fields(spark, sf_dir):
     return v.withColumn("confidence", F.round(S.variant_confidence(v), 6)).drop("text")
 
 
-@query("SELECT 'c.123a>t' AS variant, 'Likely pathogenic, Pathogenic' AS labels")
-def variant_conflicts(spark, sf_dir):
-    return S.variant_conflicts(S.variant_fields(spark.createDataFrame(_VARIANTS, "doc_id int, text string, n_metrics int, doc_type string")))
+_CLASSES = ["Pathogenic", "Likely benign", "Benign", "VUS", "Likely pathogenic"]
 
 
-@query()
-def variant_conflicts_whole(spark, sf_dir):
-    """All texts; ``variant_conflicts`` and its SQL, a constant, hold four."""
-    return S.variant_conflicts(S.variant_fields(_variant_text(spark, sf_dir)))
+@query(f"""WITH k AS (SELECT 'c.' || p_size || 'a>t' AS variant, CASE p_partkey % 5 WHEN 0 THEN 'Pathogenic' WHEN 1 THEN 'Likely benign' WHEN 2 THEN 'Benign' WHEN 3 THEN 'Variant of uncertain significance' ELSE 'Likely pathogenic' END AS label FROM part WHERE p_size % 7 <> 0 OR p_partkey % 5 = 2)
+SELECT variant, string_agg(DISTINCT label, ', ' ORDER BY label) AS labels FROM k GROUP BY variant HAVING count(DISTINCT label) > 1""")
+def variant_conflicts(spark, sf_dir):
+    """One text of each part: its size is the variant's position, its number the class; texts of some sizes name one class only."""
+    kind = F.get(F.array(*map(F.lit, _CLASSES)), (F.col("p_partkey") % 5).cast("int"))
+    said = F.when((F.col("p_size") % 7 != 0) | (F.col("p_partkey") % 5 == 2), kind).otherwise("not told")
+    text = F.concat(F.lit("GENE1 c."), F.col("p_size").cast("string"), F.lit("A>T classification in ClinVar: "), said)
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text"), F.lit(0).alias("n_metrics"), F.lit("variant").alias("doc_type"))
+    return S.variant_conflicts(S.variant_fields(rows))
 
 
 @query(rf"""WITH l AS (SELECT page_id, unnest(string_split(replace(url, '/', chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(url, '/', chr(10)), chr(10)), 1) - 1 AS pos FROM pages)
@@ -606,18 +633,10 @@ _OVER = lambda terms, low: f"(len(list_filter({terms}, lambda z: contains({low},
 
 @query(f"""WITH q AS (SELECT item_id AS query_id, list_distinct({_TOKENS("text")}) AS t FROM benchmark),
 i AS (SELECT *, list_filter(t, lambda z: NOT list_contains({_LIST(V.QUERY_STOPWORDS)}, z) AND (length(z) >= 5 OR list_contains({_LIST(V.SHORT_TOKENS)}, z))) AS info FROM q),
-s AS (SELECT query_id, doc_id, {_OVER("t", "lower(text)")} AS o, CASE WHEN len(info) > 0 THEN {_OVER("info", "lower(text)")} END AS f FROM i JOIN documents ON doc_id % 40 = query_id % 40)
+s AS (SELECT query_id, doc_id, {_OVER("t", "lower(text)")} AS o, CASE WHEN len(info) > 0 THEN {_OVER("info", "lower(text)")} END AS f FROM i, documents)
 SELECT query_id, doc_id, round(0.7 * o + 0.3 * coalesce(f, o), 6) AS score FROM s WHERE o >= 0.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(0.7 * o + 0.3 * coalesce(f, o), 6) DESC, doc_id) <= 2""")
 def target_seed(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("slot"))
-    q = asked(spark, sf_dir).select("query_id", F.array_distinct(X.tokenize(F.col("query"))).alias("terms"), (F.col("query_id") % 40).alias("slot"))
-    c = docs.join(q, "slot").select("query_id", "terms", F.lit(False).alias("found_target"), "doc_id", F.lit(0).alias("chunk_id"), "text", F.lit(None).cast("string").alias("summary"), F.lit("body").alias("chunk_type"), F.lit("paper").alias("doc_type"), F.lit(False).alias("is_table_or_figure"), F.lit(0.0).alias("noise_level"), F.lit(False).alias("has_metrics"))
-    return P.target_seeds(c).select("query_id", "doc_id", "score")
-
-
-@query()
-def target_seed_whole(spark, sf_dir):
-    """Every query against every document; ``target_seed`` and its SQL hold one fortieth of these pairs."""
+    """Every query against every document."""
     q = asked(spark, sf_dir).select("query_id", F.array_distinct(X.tokenize(F.col("query"))).alias("terms"))
     c = P.seed_candidates(read(spark, sf_dir, "documents").select("doc_id", "text"), q)
     c = c.select("*", F.lit(False).alias("found_target"), F.lit(0).alias("chunk_id"), F.lit(None).cast("string").alias("summary"), F.lit("body").alias("chunk_type"), F.lit("paper").alias("doc_type"), F.lit(False).alias("is_table_or_figure"), F.lit(0.0).alias("noise_level"), F.lit(False).alias("has_metrics"))
@@ -668,3 +687,167 @@ def probe_failures(spark, sf_dir):
 @query(f"""WITH r AS ({_VALIDATION}) SELECT status, count(*) AS n, round(count(*) / (SELECT count(*) FROM r), 6) AS share FROM r GROUP BY status""")
 def report_summary(spark, sf_dir):
     return P.report_summary(_validation(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- the catalogue
+
+
+_RUNS3 = "list_distinct(list_filter(regexp_extract_all(lower({}), '([a-z0-9]+)', 1), lambda z: length(z) >= 3))"
+
+
+@query(f"""WITH a AS (SELECT item_id, list_slice(list_sort({_RUNS3.format("text")}), 1, 2) AS w FROM benchmark), d AS (SELECT doc_id, {_RUNS3.format("text")} AS v FROM documents)
+SELECT item_id, count(*) AS docs FROM a JOIN d ON len(w) > 0 AND len(list_filter(w, lambda z: NOT list_contains(v, z))) = 0 GROUP BY item_id""")
+def alias_subset(spark, sf_dir):
+    """In how many documents all words of an alias occur: aliases and texts meet on an alias's first word."""
+    a = read(spark, sf_dir, "benchmark").select("item_id", F.slice(F.array_sort(K.alias_tokens(F.col("text"))), 1, 2).alias("w")).where(F.size("w") > 0)
+    d = read(spark, sf_dir, "documents").select("doc_id", K.alias_tokens(F.col("text")).alias("v"))
+    words = R.small(a.select(F.explode("w").alias("word")).distinct())
+    held = d.select("doc_id", F.explode("v").alias("word")).join(words, "word")  # words of aliases only
+    both = a.select("item_id", F.size("w").alias("n"), F.explode("w").alias("word")).join(held, "word").groupBy("item_id", "n", "doc_id").agg(F.count("*").alias("hits")).where("hits = n")
+    return both.groupBy("item_id").agg(F.count("*").alias("docs"))
+
+
+@query(rf"""SELECT conv_id, turn, contains(lower(text), 'library') OR contains(lower(text), 'paper') OR contains(lower(text), 'document') OR contains(lower(text), 'pdfs') AS overview,
+ contains(regexp_replace(lower(text || ' what are the papers'), '\s+', ' ', 'g'), 'what are') AND contains(lower(text || ' what are the papers'), 'paper') AS topic FROM conversations""")
+def question_intents(spark, sf_dir):
+    asked_ = F.concat("text", F.lit(" what are the papers"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", K.asks_for_overview(F.col("text")).alias("overview"), K.asks_for_topic(asked_).alias("topic"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0.45 WHEN event_id % 3 = 1 THEN 0.6 ELSE 0.7 END AS confidence, left(sha1(lower(event_type || user_id)), 10) AS print FROM events""")
+def metric_trust(spark, sf_dir):
+    i = F.col("event_id") % 3
+    return read(spark, sf_dir, "events").select("event_id", K.metric_confidence(i == 1, i == 0).alias("confidence"), K.context_hash(F.concat("event_type", F.col("user_id").cast("string"))).alias("print"))
+
+
+@query("""WITH m AS (SELECT source || '.txt' AS name, list_sort(list_distinct(list(lang))) AS tags FROM documents GROUP BY 1) SELECT s_suppkey AS doc_id, coalesce(array_to_string(tags, ','), '') AS scope_aliases FROM supplier LEFT JOIN m ON name = 'src' || (s_suppkey % 30) || '.txt'""")
+def scope_join(spark, sf_dir):
+    """Suppliers stand in for indexed files, sources for files of the manifest."""
+    manifest = read(spark, sf_dir, "documents").select(F.concat(F.lit("a/b/"), "source", F.lit(".txt")).alias("filename"), F.array("lang").alias("scope_aliases"))
+    path = F.concat(F.lit("/lib/src"), (F.col("s_suppkey") % 30).cast("string"), F.lit(".txt"))
+    library = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), path.alias("source_path"))
+    return K.scope_aliases(library, manifest).select("doc_id", F.array_join("scope_aliases", ",").alias("scope_aliases"))
+
+
+@query("""SELECT n_name AS slug, coalesce(string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey), '') AS doc_ids FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 2 = 0 GROUP BY n_name""")
+def expected_documents(spark, sf_dir):
+    """Nations stand in for slugs, customers for the files of each."""
+    n = read(spark, sf_dir, "nation")
+    manifest = n.select(F.col("n_name").alias("slug"), F.concat(F.lit("m/"), F.col("n_nationkey").cast("string"), F.lit(".md")).alias("filename"))
+    library = read(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("/x/"), F.col("c_nationkey").cast("string"), F.lit(".md")).alias("source_path"))
+    return K.expected_documents(manifest.select("slug"), manifest, library).select("slug", F.array_join("doc_ids", ",").alias("doc_ids"))
+
+
+@query("""SELECT event_id AS pos, doc_id, lang FROM (SELECT event_id, event_id * 7 % 1500 AS doc_id FROM events) JOIN documents USING (doc_id)""")
+def recent_documents(spark, sf_dir):
+    recent = read(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), (F.col("event_id") * 7 % 1500).alias("doc_id"))
+    return K.recent_documents(read(spark, sf_dir, "documents").select("doc_id", "lang"), recent)
+
+
+@query("""SELECT DISTINCT l_orderkey AS doc_id FROM lineitem WHERE l_orderkey NOT IN (SELECT doc_id FROM documents)""")
+def missing_documents(spark, sf_dir):
+    p = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"))
+    return K.missing_documents(p, read(spark, sf_dir, "documents"))
+
+
+@query(f"WITH {_PASSAGES}, f AS (SELECT doc_id, arg_min(chunk_id, chunk_id) AS chunk_id, arg_min(text, chunk_id) AS text FROM p GROUP BY doc_id ORDER BY doc_id LIMIT 5) SELECT doc_id, chunk_id, md5(text) AS digest FROM f")
+def library_overview(spark, sf_dir):
+    """What is shown where a search finds nothing: the limit is the feature."""
+    return K.overview(_library(spark, sf_dir).passages, 5).select("doc_id", "chunk_id", F.md5("text").alias("digest"))
+
+
+@query("""SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) / greatest(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)), 1e-300), 6) AS squared FROM embeddings""")
+def normalised_vectors(spark, sf_dir):
+    v = K.normalised(read(spark, sf_dir, "embeddings"))
+    return v.select("vec_id", F.round(R.inner_product(F.col("embedding"), F.col("embedding")), 6).alias("squared"))
+
+
+@query(f"""SELECT * FROM (SELECT b.vec_id AS query_id, a.vec_id, {_INNER} AS score, row_number() OVER (PARTITION BY b.vec_id ORDER BY {_INNER} DESC, a.vec_id) AS rank FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0) WHERE rank <= 400 AND score > 0""")
+def positive_neighbours(spark, sf_dir):
+    """Neighbours of positive similarity only: fewer than asked for where others are negative."""
+    e = read(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return K.positive_top(q, e.select("vec_id", "embedding"), 400).select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""SELECT conv_id, CAST(min(turn) AS BIGINT) AS created, max(turn) AS updated, count(*) AS turns FROM conversations WHERE conv_id % 10 <> 3 GROUP BY conv_id""")
+def stored_snapshots(spark, sf_dir):
+    """Snapshots written as text and read back, some deleted."""
+    c = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("name")).agg(F.min("turn").cast("long").alias("created"), F.max("turn").alias("updated"), F.count("*").alias("turns"))
+    saved = c.select("name", "created", "updated", K.payload(F.struct("turns", F.lit("x").alias("unknown"))).alias("payload"))
+    left = K.snapshots(K.without(saved, c.where("name % 10 = 3")))
+    return left.select(F.col("name").alias("conv_id"), "created", "updated", K.restored(F.col("payload"), "turns long")["turns"].alias("turns"))
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, text FROM conversations WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 0) SELECT conv_id, 'paper' AS label, 1.0::DOUBLE AS confidence, md5(string_agg(text, ' ' ORDER BY turn)) AS digest FROM t GROUP BY conv_id""")
+def evidence_sets(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), "text")
+    return K.evidence_set(c, "paper").select(F.col("query_id").alias("conv_id"), "label", "confidence", F.md5("evidence").alias("digest"))
+
+
+_FLAGGED = """SELECT lang AS scope_source, CASE WHEN d.doc_id % 4 = 0 THEN quality = 1 ELSE d.doc_id % 3 = 0 END AS target_ok, CASE WHEN d.doc_id % 5 = 0 THEN toxic = 0 ELSE d.doc_id % 2 = 0 END AS overlap_ok FROM labels l JOIN documents d ON d.doc_id = l.doc_id"""
+
+
+def _flagged(spark, sf_dir) -> DataFrame:
+    """Labels stand in for report rows: some carry their own flags, others are judged by their ids."""
+    d = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    i = F.col("doc_id")
+    rows = d.select(
+        "doc_id", F.col("lang").alias("scope_source"), F.when(i % 4 == 0, F.col("quality") == 1).alias("inferred"), F.when(i % 5 == 0, F.col("toxic") == 0).alias("overlapping"),
+        F.array(F.lit("a")).alias("expected"), F.array(F.when(i % 3 == 0, "a").otherwise("b")).alias("targets"), F.array(F.when(i % 2 == 0, "a").otherwise("c")).alias("final"), F.lit(None).cast("boolean").alias("passed"),
+    )
+    return K.row_flags(rows)
+
+
+@query(f"""WITH r AS ({_FLAGGED}) SELECT coalesce(scope_source, 'all') AS scope_source, count(*) AS n, round(count(*) FILTER (target_ok) / count(*), 6) AS inferred_rate, round(count(*) FILTER (overlap_ok) / count(*), 6) AS overlap_rate FROM r GROUP BY ROLLUP (scope_source)""")
+def probe_summary(spark, sf_dir):
+    return K.probe_summary(_flagged(spark, sf_dir))
+
+
+@query(f"""WITH r AS ({_FLAGGED}) SELECT target_ok, overlap_ok, NOT (target_ok AND overlap_ok) AS failed, count(*) AS n FROM r GROUP BY ALL""")
+def report_flags(spark, sf_dir):
+    return _flagged(spark, sf_dir).groupBy("target_ok", "overlap_ok", "failed").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT user_id AS run, round(sum(value) FILTER (event_id % 2 = 0), 6) AS cold, round(sum(value) FILTER (event_id % 2 = 1), 6) AS warm FROM events GROUP BY user_id""")
+def latency_totals(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.when(F.col("event_id") % 2 == 0, "cold").otherwise("warm").alias("cache_state"), F.col("value").alias("ms"))
+    return K.latency_totals(e)
+
+
+@query("""WITH r AS (SELECT source AS slug, doc_id AS run, quality = 0 AS dry, toxic = 1 AS lost FROM labels JOIN documents USING (doc_id)),
+g AS (SELECT *, sum(CASE WHEN dry THEN 0 ELSE 1 END) OVER w AS a, sum(CASE WHEN lost THEN 0 ELSE 1 END) OVER w AS b FROM r WINDOW w AS (PARTITION BY slug ORDER BY run))
+SELECT DISTINCT slug, 'no metrics' AS trigger FROM (SELECT slug FROM g WHERE dry GROUP BY slug, a HAVING count(*) >= 3) UNION ALL SELECT DISTINCT slug, 'off target' FROM (SELECT slug FROM g WHERE lost GROUP BY slug, b HAVING count(*) >= 2)""")
+def monitoring_triggers(spark, sf_dir):
+    """Labelled documents of a source stand in for its runs."""
+    d = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    return K.monitoring(d.select(F.col("source").alias("slug"), F.col("doc_id").alias("run"), F.when(F.col("quality") == 0, 0).otherwise(1).alias("metric_count"), F.when(F.col("toxic") == 1, "off_target_evidence").otherwise("supported").alias("status")))
+
+
+@query(f"""WITH {_BM25} {_TFIDF}, dn AS (SELECT b.vec_id AS query_id, a.vec_id AS doc_id, row_number() OVER (PARTITION BY b.vec_id ORDER BY {_INNER} DESC, a.vec_id) AS rank FROM embeddings a, embeddings b WHERE b.vec_id IN (SELECT item_id FROM benchmark))
+SELECT query_id, 'bm25' AS method, doc_id, chunk_id, rank FROM bmr WHERE rank <= 5 UNION ALL SELECT query_id, 'tfidf', doc_id, chunk_id, rank FROM tfr WHERE rank <= 5 UNION ALL SELECT query_id, 'dense', doc_id, 0, rank FROM dn WHERE rank <= 5""")
+def retrieval_comparison(spark, sf_dir):
+    return K.comparison(asked(spark, sf_dir), _library(spark, sf_dir), _dense(spark, sf_dir, 5)[0], 5)
+
+
+@query(f"""WITH {_POSTINGS}, own AS (SELECT post.* FROM post WHERE doc_id % 2 = 0), {_ASKED},
+s AS (SELECT query_id, doc_id, chunk_id, round(sum(times * coalesce(idf, 0) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / (SELECT avg(length) FROM lens)))), 6) AS score FROM own JOIN lens USING (doc_id, chunk_id) JOIN q USING (term) LEFT JOIN idf USING (term) GROUP BY ALL HAVING score > 0)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_id) AS rank FROM s) WHERE rank <= 5""")
+def restricted_search(spark, sf_dir):
+    """A search of some documents, with the statistics of all."""
+    lib, some = _library(spark, sf_dir), read(spark, sf_dir, "documents").where("doc_id % 2 = 0")
+    return R.search(asked(spark, sf_dir), lib.restricted(some), "bm25", 5).select("query_id", "doc_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def structured_counts(spark, sf_dir):
+    return K.structured_counts(_synthesis(spark, sf_dir))
+
+
+@query()
+def metrics_report(spark, sf_dir):
+    """The best passages of a query with the sentences that report metrics, else their summary."""
+    lib = _library(spark, sf_dir)
+    best = R.search(asked(spark, sf_dir), lib, "bm25", 4).join(lib.passages, ["doc_id", "chunk_id"])
+    said = F.array_join(D.metric_sentences(F.col("text")), " ")
+    return best.select("query_id", "rank", "doc_id", F.when(said != "", said).otherwise(X.summary(F.col("text"), F.lit(False))).alias("metrics"))

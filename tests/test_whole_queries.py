@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import values as V
+from lodestone.operators import evidence as S
 from lodestone.operators import retrieval as R
 from lodestone.plans import queries as plans
 
@@ -34,7 +35,7 @@ def test_seeds_come_from_all_documents(spark, table):
         for score, doc in sorted(scored)[:2]:
             want.add((b.item_id, doc, -score))
             residues.add(doc % 40 == b.item_id % 40)
-    got = {(r.query_id, r.doc_id, r.score) for r in plans.QUERIES["target_seed_whole"](spark, SF).collect()}
+    got = {(r.query_id, r.doc_id, r.score) for r in plans.QUERIES["target_seed"](spark, SF).collect()}
     assert got == want and False in residues  # the best documents are not those of the query's own residue
 
 
@@ -50,7 +51,7 @@ def test_every_fiftieth_vector_is_searched(spark, table):
                     total += x * y
                 scored.append((-round(total, 6), i))
             want |= {(query, i, -s, n) for n, (s, i) in enumerate(sorted(scored)[:10], 1)}
-    assert {tuple(r) for r in plans.QUERIES["dense_batch_whole"](spark, SF).collect()} == want
+    assert {tuple(r) for r in plans.QUERIES["dense_batch"](spark, SF).collect()} == want
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
     blocks = R.dense_top(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e, 10, rows=70, block=3)
     assert {(r.query_id, r.vec_id, r.score, r["rank"]) for r in blocks.collect()} == want
@@ -68,6 +69,6 @@ def test_variants_are_read_from_every_part(spark, table):
         f = fields[r.p_partkey]
         assert (f.variant_id, f.gene, f.case_count, f.ancestry) == (f"c.{r.p_size}A>T", "GENE" + re.search(r"\d+", r.p_brand)[0], r.p_size + 1, "European ancestry")
         assert f.clinvar == V.CLINVAR[kinds[zlib.crc32(r.p_type.encode()) % len(kinds)]] and f.gnomad == f"0.{r.p_partkey % 90 + 10}"
-    got = {(r.variant, r.labels) for r in plans.QUERIES["variant_conflicts_whole"](spark, SF).collect()}
+    got = {(r.variant, r.labels) for r in S.variant_conflicts(S.variant_fields(plans._variant_text(spark, SF))).collect()}
     assert got == {(v, ", ".join(sorted(x))) for v, x in said.items() if len(x) > 1} and got
     assert sum(r.total_passages for r in plans.QUERIES["variant_coverage"](spark, SF).collect()) == len(parts)
