@@ -41,6 +41,8 @@ from lodestone.llm.components import components
 SCAN_BYTES = 1 << 19
 #: Shingles of a chunk that a task sends at once, and of a block of a family.
 CHUNK, MOST = 1_000_000, 500_000
+#: Places among which the sets of one key are dealt.
+SALTS = 16
 
 
 def need(n, percent: int):
@@ -256,7 +258,10 @@ def _candidates(texts: DataFrame, k: int, percent: int, shards: int) -> DataFram
     back = dealt(texts.select("set_id", "text").mapInArrow(tidied(read), schema), shards, F.col("shard")).mapInArrow(tidied(count), counted)
     first = stored(back.select("chunk", "kind", "b1", "b2", "b3").repartition(shards, "chunk").mapInArrow(tidied(prefixes), "key long, set_id long"), "prefixes")
     least = first.groupBy("key").agg(F.min("set_id").alias("b"), F.max("set_id").alias("top")).where("b < top").drop("top")
-    return first.join(least, "key").select(F.col("set_id").alias("a"), "b").where("a <> b").distinct()
+    # A key that very many sets hold meets its least set in SALTS places.
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    first = first.withColumn("salt", F.pmod(F.xxhash64("set_id", F.lit(5)), F.lit(SALTS)).cast("int"))
+    return first.join(least, ["key", "salt"]).select(F.col("set_id").alias("a"), "b").where("a <> b").distinct()
 
 
 class PrefixTree:
