@@ -215,6 +215,29 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), marks)).count() == 0
 
 
+def test_toxicity_scores_match_plain_sums():
+    rng = random.Random(17)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))).encode() for _ in range(80)]
+    toxic = np.array([b"a" in t.split(b" ")[0] for t in texts])
+    model = toxicity.fit(texts, toxic, 0.3, least_z=1.0, rounds=50)
+    weight = dict(zip(model["features"].tolist(), model["weights"].tolist()))
+    want = []
+    for t in texts:  # each n-gram of a word between its borders, once a document
+        grams = {g for w in t.split() for g in toxicity.word_features([w])[0].tolist()}
+        want.append(sum(weight.get(g, 0.0) for g in grams))
+    doc, slot = toxicity.Scorer(model["features"]).documents(texts)
+    assert len(weight) > 10 and np.allclose(np.bincount(doc, weights=model["weights"][slot], minlength=len(texts)), want)
+
+
+def test_held_out_toxicity(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    said = toxicity.score(docs, toxicity.train(docs, labels)).where("held_out").join(labels, "doc_id").toPandas()
+    bad, good = said[said.toxic == 1], said[said.toxic == 0]
+    assert len(bad) > 50 and (bad.predicted == 1).mean() >= 0.8 and (good.predicted == 0).mean() >= 0.98
+
+
 # ---- similarity join
 
 
