@@ -8,19 +8,26 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as X
 
 
-def latency(rows: DataFrame, group: str, value: str) -> DataFrame:
+def latency(rows: DataFrame, group: str, value: str, cells: int = 1000) -> DataFrame:
     """(group, p50, p95, mean): the median, the value at place floor(0.95 (n - 1)) and the mean; nulls don't count.
 
-    The 95th value is picked by rank within salted ranges of a global sort of each group, so no group is one task's list.
+    A histogram of ``cells`` equal ranges of each group says in which range each place lies; only the distinct values
+    of those ranges are then put in order, so a group that holds most rows is no single task's sort.
     """
-    own = rows.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"))
-    counted = own.groupBy("g", "v").agg(F.count("*").alias("n"))
-    upto = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("g").orderBy("v"))).withColumn("all", F.sum("n").over(Window.partitionBy("g")))
-    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("v")))
-    out = upto.groupBy("g").agg(
-        at(F.floor((F.col("all") - 1) / 2)).alias("lo"), at(F.floor(F.col("all") / 2)).alias("hi"), at(F.floor(0.95 * (F.col("all") - 1))).alias("p95"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
-    )
-    return out.select(F.col("g").alias(group), F.round((F.col("lo") + F.col("hi")) / 2, 6).alias("p50"), F.round("p95", 6).alias("p95"), F.round("mean", 6).alias("mean"))
+    own = rows.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
+    whole = own.groupBy("g").agg(F.count("*").alias("all"), F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("mean"))
+    place = F.array(F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2), F.floor(0.95 * (F.col("all") - 1)))
+    width = F.greatest((F.col("high") - F.col("low")) / cells, F.lit(1e-300))
+    counted = own.groupBy("g", "v").agg(F.count("*").alias("n")).join(whole, "g").withColumn("cell", F.least(F.floor((F.col("v") - F.col("low")) / width), F.lit(cells - 1)))
+    upto = Window.partitionBy("g").orderBy("cell")
+    line = counted.groupBy("g", "all", "cell").agg(F.sum("n").alias("n")).withColumn("before", F.sum("n").over(upto) - F.col("n"))
+    asked = line.select("g", "cell", "before", "n", F.posexplode(place).alias("which", "place")).where((F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("n")))
+    near = counted.select("g", "cell", "v", F.col("n").alias("times")).join(asked.drop("n"), ["g", "cell"])
+    rank = F.sum("times").over(Window.partitionBy("g", "which").orderBy("v")) + F.col("before")
+    found = near.withColumn("upto", rank).where(F.col("upto") > F.col("place")).groupBy("g", "which").agg(F.min("v").alias("v"))
+    at = lambda i: F.max(F.when(F.col("which") == i, F.col("v")))
+    out = found.groupBy("g").agg(((at(0) + at(1)) / 2).alias("p50"), at(2).alias("p95")).join(whole, "g")
+    return out.select(F.col("g").alias(group), F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), F.round("mean", 6).alias("mean"))
 
 
 def answer_eval(answers: DataFrame, group: str) -> DataFrame:
@@ -37,7 +44,7 @@ def validation_summary(rows: DataFrame) -> DataFrame:
 
 def failure_breakdown(rows: DataFrame) -> DataFrame:
     """(dimension, value, failures) of rows that failed, over task type, document and status at once."""
-    failed = rows.where("not passed").select(F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in ("task_type", "slug", "status")))).alias("x"))
+    failed = rows.where("not passed").select(F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in ("task_type", "slug", "status", *(["check"] if "check" in rows.columns else []))))).alias("x"))
     return failed.groupBy("x.dimension", "x.value").agg(F.count("*").alias("failures"))
 
 
