@@ -106,9 +106,11 @@ class Library:
 
     #: In the order in which they are made; each is made of those before it.
     PARTS: dict[str, Callable[[dict], DataFrame]] = {
-        "terms": lambda t: t["passages"].select("doc_id", "chunk_id", counted(X.tokenize(F.col("text"))).alias("t")).select(
-            "doc_id", "chunk_id", F.coalesce(F.aggregate("t", F.lit(0).cast("long"), lambda n, x: n + x["tf"]), F.lit(0)).alias("length"), F.array_max(F.transform("t", lambda x: x["tf"])).alias("most"), F.explode_outer("t").alias("x")
-        ).select("doc_id", "chunk_id", "length", "most", "x.term", "x.tf"),
+        "counted": lambda t: t["passages"].select(
+            "doc_id", "chunk_id", F.size(X.tokenize(F.col("text"))).cast("long").alias("length"), _bound(counted(X.tokenize(F.col("text"))), lambda c: F.struct(c.alias("t"), F.array_max(F.transform(c, lambda x: x["tf"])).alias("most"))).alias("c")
+        ).select("doc_id", "chunk_id", F.coalesce("length", F.lit(0)).alias("length"), "c.most", "c.t"),
+        # Nothing but the list itself is taken from it here: what else needs it would go along with every term.
+        "terms": lambda t: t["counted"].select("doc_id", "chunk_id", "length", "most", F.inline_outer("t")),
         "df": lambda t: document_frequency(t["terms"].where("term is not null")),
         "stats": lambda t: t["terms"].groupBy("doc_id", "chunk_id").agg(F.first("length").alias("length")).agg(F.count_distinct("doc_id").alias("total_docs"), F.count("*").alias("total_passages"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avg_length"), F.count_distinct(F.when(F.col("length") > 0, F.col("doc_id"))).alias("worded")),
         "idf": lambda t: t["df"].crossJoin(F.broadcast(t["stats"])).select("term", F.log((F.col("worded") + 1) / (F.col("df") + 1)).alias("idf")),  # stats is one row
@@ -119,7 +121,7 @@ class Library:
         t = dict(tables or {})
         t.setdefault("passages", passages)
         for name, make in self.PARTS.items():
-            if name not in t:
+            if name not in t and not (name == "counted" and "terms" in t):
                 t[name] = make(t)
         self.passages, self.idf, self.norms = t["passages"], t["idf"], t["norms"]
         self.terms = t["terms"]

@@ -211,14 +211,23 @@ def corpus_stats(spark, sf_dir):
     return _library(spark, sf_dir).stats.withColumn("avg_length", F.round("avg_length", 6))
 
 
+def _manifest(docs: DataFrame) -> dict[str, str]:
+    """What a stored index must agree with: the files, the chunker, and the code that makes it."""
+    return {"files": S_.state_of(docs), "chunker": f"{V.CHUNK_TARGET} {V.CHUNK_MOST} {V.CHUNK_OVERLAP}", "code": S_.code_of(X, C, V, R)}
+
+
 def _library(spark, sf_dir) -> R.Library:
-    """The stored index of the documents: built when a search first needs it, and again when their files change."""
+    """The stored index of the documents: built when a search first needs it, and again when their files or its code change."""
     docs = read(spark, sf_dir, "documents")
-    manifest = {"files": S_.state_of(docs), "chunker": f"{V.CHUNK_TARGET} {V.CHUNK_MOST} {V.CHUNK_OVERLAP}", "version": "1"}
-    tables = S_.kept(spark, "library", manifest, {"passages": lambda t: R.passages(docs)} | R.Library.PARTS)
+    tables = S_.kept(spark, "library", _manifest(docs), {"passages": lambda t: R.passages(docs)} | R.Library.PARTS)
     return R.Library(tables["passages"], tables)
 
 
+def forget_library(spark, sf_dir) -> None:
+    """Delete the stored index, so that the next search builds it."""
+    S_.drop(spark, "library", _manifest(read(spark, sf_dir, "documents")))
+
+
 @query(f"WITH {_BM25} SELECT query_id, doc_id, chunk_id, score, rank FROM bmr WHERE rank <= 10")
 def bm25_batch(spark, sf_dir):
     lib = _library(spark, sf_dir)

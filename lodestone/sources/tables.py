@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,11 @@ def state_of(df: DataFrame) -> str:
     return hashlib.sha256("\n".join(out).encode()).hexdigest() if out else ""
 
 
+def code_of(*modules) -> str:
+    """A digest of the source of some modules."""
+    return hashlib.sha256(b"".join(Path(m.__file__).read_bytes() for m in modules)).hexdigest()
+
+
 def kept(spark: SparkSession, name: str, manifest: dict[str, str], parts: dict) -> dict[str, DataFrame]:
     """Tables that are built once and read again while their manifest is the same; otherwise they are built anew.
 
