@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import ann_forest, decontam, eflm, fst_tokens, html_extract, jaccard_join, langid, packing, toxicity, url_templates
+from lodestone.llm import ann_forest, decontam, eflm, fst_tokens, html_extract, interval_join, jaccard_join, langid, packing, toxicity, url_templates
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -73,6 +73,10 @@ def op10_positional_decontamination_near(spark: SparkSession, sf_dir: str) -> Da
     return decontam.proximity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=2).drop("row")
 
 
+def op12_interval_tree_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interval_join.join(table(spark, sf_dir, "sales"), table(spark, sf_dir, "sale_lines"), table(spark, sf_dir, "clicks"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_dom_content_model,
         op10_positional_decontamination,
         op10_positional_decontamination_near,
+        op12_interval_tree_sessions,
     )
 }
 
@@ -118,4 +123,25 @@ found AS (SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT CAST(
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(words_hit.n, 0) AS n_hit, coalesce(found.n, 0) AS n_items,
        sha256(coalesce(s, '')) AS items_sha256, coalesce(words_hit.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN words_hit USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op12_interval_tree_sessions": """
+WITH byte AS (SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+k AS (SELECT client_id, epoch_us(ts) AS us, coalesce(kind = 'error', false) AS error FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL),
+b AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY client_id ORDER BY us) <= 900000000 THEN 0 ELSE 1 END AS begins FROM k),
+n AS (SELECT *, sum(begins) OVER (PARTITION BY client_id ORDER BY us, begins DESC ROWS UNBOUNDED PRECEDING) AS no FROM b),
+f AS (SELECT client_id, min(us) AS first, max(us) AS last, max({'us': us, 'error': error}).error AS open FROM n GROUP BY client_id, no),
+ses AS (SELECT client_id, first, first // 21600000000 - CAST(first % 21600000000 < 0 AS BIGINT) AS s,
+               CASE WHEN open THEN NULL ELSE last // 21600000000 - CAST(last % 21600000000 < 0 AS BIGINT) END AS e FROM f),
+c AS (SELECT client_id, s, e, xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(first AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, x: xor(c >> 8, t[xor(c, x) % 256 + 1])), 4294967295) AS crc FROM ses, byte),
+ship AS (SELECT sale_id, max(epoch_us(shipped_at)) AS us FROM sale_lines GROUP BY sale_id),
+own AS (SELECT row_number() OVER () AS r, sale_id, client_id, status = 'open' AS open, epoch_us(sold_at) AS first FROM sales WHERE client_id IS NOT NULL AND sold_at IS NOT NULL),
+sale AS (SELECT r, own.sale_id, client_id, first // 21600000000 - CAST(first % 21600000000 < 0 AS BIGINT) AS s,
+                CASE WHEN open THEN NULL ELSE greatest(first, coalesce(us, first)) // 21600000000 - CAST(greatest(first, coalesce(us, first)) % 21600000000 < 0 AS BIGINT) END AS e
+         FROM own LEFT JOIN ship ON own.sale_id = ship.sale_id),
+p AS (SELECT r, sale_id, a.s AS s, c.s AS s2, coalesce(a.e, 4611686018427387904) AS e, coalesce(c.e, 4611686018427387904) AS e2, crc
+      FROM sale a JOIN c ON a.client_id = c.client_id AND a.s <= coalesce(c.e, 4611686018427387904) AND c.s <= coalesce(a.e, 4611686018427387904))
+SELECT sale_id, CASE WHEN s < s2 THEN CASE WHEN e < e2 THEN 'overlaps' WHEN e = e2 THEN 'finished_by' ELSE 'contains' END
+                     WHEN s = s2 THEN CASE WHEN e < e2 THEN 'starts' WHEN e = e2 THEN 'equals' ELSE 'started_by' END
+                     ELSE CASE WHEN e < e2 THEN 'during' WHEN e = e2 THEN 'finishes' ELSE 'overlapped_by' END END AS relation,
+       count(*) AS n_pairs, CAST(sum(CASE WHEN e = 4611686018427387904 AND e2 = e THEN NULL ELSE least(e, e2) - greatest(s, s2) + 1 END) AS BIGINT) AS overlap_slots, CAST(sum(crc) AS BIGINT) AS sessions_crc
+FROM p GROUP BY r, sale_id, 2""",
 }
