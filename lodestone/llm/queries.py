@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import ann_forest, decontam, eflm, fst_tokens, html_extract, interval_join, jaccard_join, langid, packing, toxicity, url_templates
+from lodestone.llm import ann_forest, decontam, eflm, fst_tokens, html_extract, interval_join, jaccard_join, langid, minmax_dedup, packing, toxicity, url_templates
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -77,6 +77,10 @@ def op12_interval_tree_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interval_join.join(table(spark, sf_dir, "sales"), table(spark, sf_dir, "sale_lines"), table(spark, sf_dir, "clicks"))
 
 
+def op13_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax_dedup.dedup(table(spark, sf_dir, "documents"), k=5, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -93,22 +97,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_positional_decontamination,
         op10_positional_decontamination_near,
         op12_interval_tree_sessions,
+        op13_minmax_near_dedup,
     )
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
-ORACLE_SQL: dict[str, str] = {
-    "op5_prefix_tree_jaccard": r"""
-WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+_WHITE_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+
+def _near_sql(k: int, percent: int, kept: str = "") -> str:
+    """Components of links between whole shingle sets."""
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WHITE_WORDS} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, t FROM (
-        SELECT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0))),
+        SELECT doc_id, array_to_string(list_slice(w, i, i + {k - 1}), ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {k - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0))),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= {percent} * (x.n + y.n - i)),
 r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
-FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)""",
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id{kept}
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_prefix_tree_jaccard": _near_sql(3, 90),
+    "op13_minmax_near_dedup": _near_sql(5, 85, ", d.doc_id = c.component_id AS kept"),
     "op10_positional_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
