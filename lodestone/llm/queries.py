@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import ann_forest, decontam, eflm, fst_tokens, html_extract, interval_join, jaccard_join, langid, minmax_dedup, packing, toxicity, url_templates
+from lodestone.llm import ann_forest, decontam, eflm, fst_tokens, html_extract, interval_join, jaccard_join, langid, minmax_dedup, packing, ranked_search, toxicity, url_templates
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -73,6 +73,10 @@ def op10_positional_decontamination_near(spark: SparkSession, sf_dir: str) -> Da
     return decontam.proximity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=2).drop("row")
 
 
+def op11_bisected_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def op12_interval_tree_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interval_join.join(table(spark, sf_dir, "sales"), table(spark, sf_dir, "sale_lines"), table(spark, sf_dir, "clicks"))
 
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_dom_content_model,
         op10_positional_decontamination,
         op10_positional_decontamination_near,
+        op11_bisected_ranked_search,
         op12_interval_tree_sessions,
         op13_minmax_near_dedup,
     )
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 _WHITE_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
 
@@ -137,6 +143,18 @@ found AS (SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT CAST(
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(words_hit.n, 0) AS n_hit, coalesce(found.n, 0) AS n_items,
        sha256(coalesce(s, '')) AS items_sha256, coalesce(words_hit.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN words_hit USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op11_bisected_ranked_search": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+b AS (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS w FROM benchmark),
+g AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+f AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t),
+k AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM f, g GROUP BY t, n_docs),
+m AS (SELECT r, doc_id, 75 + (25 * len(w) * n_docs) // n_terms AS m FROM d, g),
+i AS (SELECT q, item_id, t, count(*) AS times FROM (SELECT q, item_id, unnest(w) AS t FROM b) GROUP BY q, item_id, t),
+x AS (SELECT q, item_id, r, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+      FROM i JOIN k USING (t) JOIN f USING (t) JOIN m USING (r) GROUP BY q, item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM x WHERE score > 0) WHERE rank <= 20""",
     "op12_interval_tree_sessions": """
 WITH byte AS (SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
 k AS (SELECT client_id, epoch_us(ts) AS us, coalesce(kind = 'error', false) AS error FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL),
