@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.functions import text as X
 from lodestone.operators import retrieval as R
+from lodestone.sources.segments import SearchIndex
 
 
 def read_inbox(spark: SparkSession, inbox: str, archive: str | None = None) -> DataFrame:
@@ -26,3 +27,13 @@ def sync(spark: SparkSession, inbox: str, out: str, checkpoint: str, archive: st
         R.annotate(R.passages(docs)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return read_inbox(spark, inbox, archive).writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def sync_index(spark: SparkSession, inbox: str, index: SearchIndex, checkpoint: str, archive: str | None = None) -> StreamingQuery:
+    """Add what has arrived to a search index and end. The index remembers the last batch of a checkpoint, so one that runs again after a failure is not added twice."""
+
+    def ingest(batch: DataFrame, number: int) -> None:
+        if index.log.latest()[1].get("marks", {}).get(checkpoint, -1) < number:
+            index.add(batch.select(F.element_at(F.split("source_path", "/"), -1).alias("doc_id"), "text"), mark={checkpoint: number})
+
+    return read_inbox(spark, inbox, archive).writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
