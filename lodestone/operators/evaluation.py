@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
+from lodestone.functions import values as V
 
 
 def latency(rows: DataFrame, group: str, value: str, cells: int = 1000) -> DataFrame:
@@ -123,3 +124,23 @@ def abbreviations(tokens: DataFrame, least: int = 2) -> DataFrame:
     out = per.groupBy("token").agg(F.sum("n").alias("frequency"), F.count("*").alias("docs"), F.max("n").alias("most")).where(F.col("frequency") >= least)
     dominant = F.col("most") / F.col("frequency")
     return out.select("token", "frequency", "docs", F.round(dominant, 6).alias("dominant"), F.round(F.least(F.lit(1.0), 0.3 + 0.5 * dominant + 0.02 * F.least(F.col("frequency"), F.lit(25))), 3).alias("confidence"))
+
+
+def abbreviation_details(passages: DataFrame, least: int = 2, top: int = 10, contexts: int = 5) -> DataFrame:
+    """One row a short token: frequency, its ``top`` documents with counts, counts by mode, the first ``contexts`` passages, confidence and whether it should be reviewed.
+
+    ``passages``: (doc_id, chunk_id, mode, context, short_tokens). Counts are summed before they are ranked, and ranks are
+    limited before the shuffle, so a token that a third of all passages holds brings no more rows to its task than others.
+    """
+    each = passages.select("doc_id", "chunk_id", "mode", F.left(X.strip(F.coalesce("context", F.lit(""))), F.lit(200)).alias("context"), F.posexplode("short_tokens").alias("pos", "token"))
+    modes = each.groupBy("token", "mode").agg(F.count("*").alias("n")).groupBy("token")
+    modes = modes.agg(F.sum("n").alias("frequency"), F.max("n").alias("most"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("mode", "n")))).alias("modes"))
+    nth = lambda *order: F.row_number().over(Window.partitionBy("token").orderBy(*order))
+    docs = each.groupBy("token", "doc_id").agg(F.count("*").alias("n")).withColumn("rank", nth(F.col("n").desc(), "doc_id")).where(F.col("rank") <= top)
+    docs = docs.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "n"))).alias("x")).select("token", F.transform("x", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["n"].alias("n"))).alias("documents"))
+    first = each.withColumn("rank", nth("doc_id", "chunk_id", "pos")).where(F.col("rank") <= contexts)
+    first = first.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "chunk_id", "context"))).alias("x")).select("token", F.transform("x", lambda x: F.struct(x["doc_id"].alias("doc_id"), x["chunk_id"].alias("chunk_id"), x["context"].alias("context"))).alias("contexts"))
+    confidence = F.round(F.least(F.lit(1.0), 0.3 + 0.5 * F.col("most") / F.col("frequency") + 0.02 * F.least(F.col("frequency"), F.lit(25))), 3)
+    review = ~F.col("token").isin(*V.SHORT_TOKENS) & (F.col("frequency") >= 3)
+    own = modes.where(F.col("frequency") >= least).join(docs, "token").join(first, "token")
+    return own.select("token", "frequency", "documents", "modes", "contexts", X.long_form(F.col("token")).alias("long_form"), confidence.alias("confidence"), review.alias("review"))
