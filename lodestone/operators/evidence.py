@@ -74,16 +74,16 @@ def variant_fields(p: DataFrame) -> DataFrame:
     first = lambda *ps: F.coalesce(*(F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for p in ps))
     named = lambda pairs: F.coalesce(*(F.when(F.contains(low, F.lit(k)), F.lit(v)) for k, v in pairs), F.lit("Unknown"))
     number = lambda p: F.nullif(F.regexp_extract(low, p, 1), F.lit("")).cast("int")
-    ident = first(r"(?i)(c\.[0-9]+[+-]?[0-9]*[ACGT]>[ACGT])", r"(p\.[A-Za-z]{3}[0-9]+[A-Za-z]{3})", r"(?i)(rs[0-9]+)")
-    protein = first(r"(?i)(p\.\(?[A-Za-z]{3}[0-9]+[A-Za-z]{3}\)?)", r"(?i)(p\.[A-Za-z][0-9]+[A-Za-z])")
-    gene = F.coalesce(first(r"\b([A-Z0-9]{2,10})\b(?=\s+c\.)", r"\b([A-Z0-9]{2,10})\b(?=\s+(?:variant|mutation))"), F.upper(first(r"(?i)gene\s+([A-Z0-9-]{2,10})")), F.lit("Unknown"))
+    ident = first(*V.VARIANT_IDS)
+    protein = first(*V.PROTEINS)
+    gene = F.coalesce(first(*V.GENES_BEFORE), F.upper(first(V.GENE_NAMED)), F.lit("Unknown"))
     phenotype = F.coalesce(*(F.when(X.has_any(low, ws), F.lit(k)) for k, ws in V.PHENOTYPES.items()), F.lit("Unknown"))
     ancestry = sorted(V.ANCESTRIES.items(), key=lambda kv: -len(kv[0]))
     clinvar = F.when(X.has_any(low, ["clinvar", "classification"]), named(V.CLINVAR.items())).otherwise("Unknown")
     return p.select(
         "*", X.canonical_hgvs(ident).alias("variant_id"), X.canonical_hgvs(protein).alias("hgvs"), gene.alias("gene"), phenotype.alias("phenotype"), named(V.COHORTS.items()).alias("cohort"),
-        named(ancestry).alias("ancestry"), number(r"(?:n\s*=\s*)?(\d+)\s*(?:cases?|patients|probands)").alias("case_count"), number(r"(?:n\s*=\s*)?(\d+)\s*(?:controls?|healthy controls?)").alias("control_count"),
-        clinvar.alias("clinvar"), F.coalesce(F.nullif(F.regexp_extract(low, r"gnomad[^0-9]*(\d+(?:\.\d+)?(?:e-?\d+)?%?)", 1), F.lit("")), F.lit("Unknown")).alias("gnomad"),
+        named(ancestry).alias("ancestry"), number(V.CASES).alias("case_count"), number(V.CONTROLS).alias("control_count"),
+        clinvar.alias("clinvar"), F.coalesce(F.nullif(F.regexp_extract(low, V.GNOMAD, 1), F.lit("")), F.lit("Unknown")).alias("gnomad"),
     )
 
 
