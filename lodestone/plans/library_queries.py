@@ -102,13 +102,13 @@ def _stored_library(spark, sf_dir) -> repair.LibraryStore:
 d AS (SELECT doc_id, length(coalesce(text, '')) % 10 AS m, coalesce(passages, 0) AS passages, coalesce(tokens, 0) AS tokens FROM documents LEFT JOIN s USING (doc_id))
 SELECT CASE WHEN m > 1 THEN CAST(doc_id AS VARCHAR) END AS doc_id, CASE m WHEN 0 THEN 'not a document record' WHEN 1 THEN 'missing: source_path' END AS warning,
   CASE WHEN m > 1 THEN CASE WHEN m = 2 THEN 'term counts' WHEN m = 3 AND passages > 0 THEN 'chunk types' WHEN m = 4 THEN 'vectors' WHEN m = 5 THEN 'document type' ELSE '' END END AS repairs,
-  CASE WHEN m > 1 THEN passages END AS passages, CASE WHEN m > 1 THEN tokens END AS tokens, CASE WHEN m > 1 THEN tokens END AS counted, CASE WHEN m > 1 THEN tokens END AS weight FROM d""")
+  CASE WHEN m > 1 THEN passages ELSE 0 END AS passages, CASE WHEN m > 1 THEN tokens ELSE 0 END AS tokens, CASE WHEN m > 1 THEN tokens ELSE 0 END AS counted, CASE WHEN m > 1 THEN tokens ELSE 0 END AS weight FROM d""")
 def library_reload(spark, sf_dir):
-    """What loading says of each line: sound, repaired in what, or a warning; and sums of the repaired fields."""
+    """What loading says of each line: sound, repaired in what, or a warning; and sums of the repaired fields (0 for a line with a warning)."""
     own = _stored_library(spark, sf_dir).load()
-    total = lambda c: F.when(F.col("warning").isNull(), F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x))
+    total = lambda c: F.when(F.col("warning").isNull(), F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)).otherwise(F.lit(0).cast("long"))
     of = lambda c: F.flatten(F.transform(c, lambda m: F.transform(F.map_values(m), lambda v: v.cast("long"))))
-    return own.select("doc_id", "warning", F.array_join("repairs", ",").alias("repairs"), F.when(F.col("warning").isNull(), F.size("passages").cast("long")).alias("passages"), total(F.col("doc_lengths")).alias("tokens"), total(of(F.col("term_counts"))).alias("counted"), total(of(F.col("vectors"))).alias("weight"))
+    return own.select("doc_id", "warning", F.array_join("repairs", ",").alias("repairs"), F.when(F.col("warning").isNull(), F.size("passages").cast("long")).otherwise(F.lit(0).cast("long")).alias("passages"), total(F.col("doc_lengths")).alias("tokens"), total(of(F.col("term_counts"))).alias("counted"), total(of(F.col("vectors"))).alias("weight"))
 
 
 @query(r"""SELECT CASE WHEN m = 0 THEN 'not a document record' WHEN m = 1 THEN 'missing: source_path' ELSE 'sound' END AS state, count(*) AS n FROM (SELECT length(coalesce(text, '')) % 10 AS m FROM documents) GROUP BY 1""")
