@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from lodestone.plans import library_queries  # noqa: F401 (adds its queries)
+from lodestone.plans import library_queries, review_queries  # noqa: F401 (add their queries)
 from lodestone.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
