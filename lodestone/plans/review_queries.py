@@ -49,13 +49,13 @@ def dense_rows(spark, sf_dir):
 
 
 @query(f"""WITH {_ROWS}, h AS (SELECT doc_id * 3 - 50 AS row_id, doc_id AS hit FROM labels), g AS (SELECT * FROM p WHERE length(text) % 7 > 0)
-SELECT hit, h.row_id, ids.doc_id, ids.chunk_id, CASE WHEN ids.row_id IS NULL THEN 'out of range' WHEN g.doc_id IS NULL THEN 'no passage' ELSE 'found' END AS state, md5(g.text) AS digest FROM h LEFT JOIN ids USING (row_id) LEFT JOIN g ON g.doc_id = ids.doc_id AND g.chunk_id = ids.chunk_id""")
+SELECT hit, h.row_id, coalesce(ids.doc_id, -1) AS doc_id, coalesce(ids.chunk_id, -1) AS chunk_id, CASE WHEN ids.row_id IS NULL THEN 'out of range' WHEN g.doc_id IS NULL THEN 'no passage' ELSE 'found' END AS state, md5(g.text) AS digest FROM h LEFT JOIN ids USING (row_id) LEFT JOIN g ON g.doc_id = ids.doc_id AND g.chunk_id = ids.chunk_id""")
 def row_access(spark, sf_dir):
     """Numbers made of the ids of labels, some out of range, among passages of which some were withdrawn."""
     p = _library(spark, sf_dir).passages
     hits = read(spark, sf_dir, "labels").select((F.col("doc_id") * 3 - 50).alias("row_id"), F.col("doc_id").alias("hit"))
     left = p.where(F.length("text") % 7 > 0)
-    return D.access(hits, _numbered(spark, sf_dir).drop("text"), left).select("hit", "row_id", "doc_id", "chunk_id", "state", F.md5("text").alias("digest"))
+    return D.access(hits, _numbered(spark, sf_dir).drop("text"), left).select("hit", "row_id", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.coalesce("chunk_id", F.lit(-1)).alias("chunk_id"), "state", F.md5("text").alias("digest"))
 
 
 @query("""WITH k AS (SELECT role, lower(trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')) AS key FROM conversations), known AS (SELECT DISTINCT key FROM k WHERE role = 'assistant' AND key <> ''),
