@@ -9,17 +9,19 @@ from lodestone.functions import text as X
 from lodestone.functions import values as V
 
 
-def latency(rows: DataFrame, group: str, value: str, cells: int = 1000) -> DataFrame:
+def latency(rows: DataFrame, group: str, value: str, cells: int = 256) -> DataFrame:
     """(group, p50, p95, mean): the median, the value at place floor(0.95 (n - 1)) and the mean; nulls don't count.
 
-    A histogram of ``cells`` equal ranges of each group says in which range each place lies; only the distinct values
-    of those ranges are then put in order, so a group that holds most rows is no single task's sort.
+    Approximate quantiles of each group cut its values into ``cells`` of about as many rows each, whatever their
+    distribution; counts say in which cell each place lies, and only the distinct values of those cells are then put in
+    order, so a group that holds most rows is no single task's sort.
     """
     own = rows.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
-    whole = own.groupBy("g").agg(F.count("*").alias("all"), F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("mean"))
+    cuts = F.percentile_approx("v", [i / cells for i in range(1, cells)])
+    whole = own.groupBy("g").agg(F.count("*").alias("all"), cuts.alias("cuts"), F.avg("v").alias("mean"))
     place = F.array(F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2), F.floor(0.95 * (F.col("all") - 1)))
-    width = F.greatest((F.col("high") - F.col("low")) / cells, F.lit(1e-300))
-    counted = own.groupBy("g", "v").agg(F.count("*").alias("n")).join(whole, "g").withColumn("cell", F.least(F.floor((F.col("v") - F.col("low")) / width), F.lit(cells - 1)))
+    cell = F.size(F.filter("cuts", lambda c: c < F.col("v")))
+    counted = own.groupBy("g", "v").agg(F.count("*").alias("n")).join(whole.select("g", "all", "cuts"), "g").select("g", "all", "v", "n", cell.alias("cell"))
     upto = Window.partitionBy("g").orderBy("cell")
     line = counted.groupBy("g", "all", "cell").agg(F.sum("n").alias("n")).withColumn("before", F.sum("n").over(upto) - F.col("n"))
     asked = line.select("g", "cell", "before", "n", F.posexplode(place).alias("which", "place")).where((F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("n")))
@@ -27,7 +29,7 @@ def latency(rows: DataFrame, group: str, value: str, cells: int = 1000) -> DataF
     rank = F.sum("times").over(Window.partitionBy("g", "which").orderBy("v")) + F.col("before")
     found = near.withColumn("upto", rank).where(F.col("upto") > F.col("place")).groupBy("g", "which").agg(F.min("v").alias("v"))
     at = lambda i: F.max(F.when(F.col("which") == i, F.col("v")))
-    out = found.groupBy("g").agg(((at(0) + at(1)) / 2).alias("p50"), at(2).alias("p95")).join(whole, "g")
+    out = found.groupBy("g").agg(((at(0) + at(1)) / 2).alias("p50"), at(2).alias("p95")).join(whole.select("g", "mean"), "g")
     return out.select(F.col("g").alias(group), F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), F.round("mean", 6).alias("mean"))
 
 

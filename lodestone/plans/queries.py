@@ -351,7 +351,7 @@ def hybrid_stages(spark, sf_dir):
 
 @query()
 def hybrid_collect(spark, sf_dir):
-    """Every stage, seeds and the filter's final choice included, where each query names a document."""
+    """Every stage where each query names a document. Its targets are the documents that the dense run asks with, so no seed is needed; ``review_stages`` has those."""
     return H.by_stage(_collected(spark, sf_dir, True)[2])
 
 

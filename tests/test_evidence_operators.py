@@ -180,3 +180,12 @@ def test_sources_and_stream(spark, tmp_path):
     assert [r.path.rsplit("/", 1)[1] for r in L.list_files(spark, str(box)).orderBy("path").collect()] == ["one.txt", "three.md"]
     L.write_manifest(spark, f"{tmp_path}/idx", {"dim": "64"})
     assert L.same_manifest(spark, f"{tmp_path}/idx", {"dim": "64"}) and not L.same_manifest(spark, f"{tmp_path}/idx", {"dim": "3"}) and not L.same_manifest(spark, f"{tmp_path}/none", {})
+
+
+def test_latency_of_a_heavy_tail(spark):
+    values = [1.0 + i / 1000 for i in range(2000)] + [10.0 ** i for i in range(3, 12)] + [float(-i) for i in range(50)]
+    rows = spark.createDataFrame([("a", v) for v in values] + [("a", None), ("b", 7.0), ("c", None)], "g string, v double")
+    got = {r.g: (r.p50, r.p95) for r in E.latency(rows, "g", "v").collect()}
+    line = sorted(values)
+    n = len(line)
+    assert got == {"a": (round((line[(n - 1) // 2] + line[n // 2]) / 2, 6), round(line[int(0.95 * (n - 1))], 6)), "b": (7.0, 7.0)}
