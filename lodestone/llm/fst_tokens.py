@@ -7,13 +7,18 @@ Two deterministic machines replace the tokenizer library on the hot path:
   end to end and cut into chunks of fixed length; each chunk's map from entry state to exit state is
   found for all states at once, the maps compose by a parallel prefix scan, and a second pass from the
   known entry states marks the boundaries.
-* ``TokenFst`` reads the bytes of a pre-token. A state holds the suffix that may still grow into a token
-  and, for each place where such a token could begin, the token that ends there; a transition carries
-  the change of the number of tokens. States and transitions are compiled when first met.
+* ``TokenFst`` reads the bytes of the texts and starts anew at each pre-token. A state holds the suffix that may
+  still grow into a token and, for each place where such a token could begin, the token that ends there; a
+  transition carries the change of the number of tokens. States and transitions are compiled when first met, into
+  a table that is asked for a whole column of bytes at a time.
 
-The count of a pre-token is the sum over its path; equal pre-tokens are counted once a task and remembered
-in a cache of bounded size. Results equal the library's for every text: special strings inside a text are
-one token each, as by default.
+Bytes are cut into chunks of fixed length. A chunk's map takes a state of entry to the state of exit and the tokens
+emitted on the way. Where a pre-token begins in the chunk, what follows is the same for all entries and is read at once
+for all chunks; only the bytes before it wait for the entry. A chunk inside one long pre-token has a map over the states
+that can be met there: those that the bytes before it lead to, closed under the maps of the chunks that follow each
+other. Such maps compose by a parallel prefix scan, equal chunks share one map, and the counts add up along the chunks.
+
+Results equal the library's for every text: special strings inside a text are one token each, as by default.
 
 Edge cases: a null or empty text has 0 bytes and 0 tokens; repeated rows each get their row; other columns
 of the input are ignored, so their names can't clash; empty tables give an empty result.
@@ -36,7 +41,9 @@ from lodestone.llm.common import mix64, ship, span_hashes, text_slices, tidied
 #: Texts of so many characters are scanned at a time.
 SCAN_CHARS = 1 << 19
 CHUNK = 256
-#: Remembered pre-tokens and compiled transitions of a worker; beyond, they are forgotten and built again.
+#: Bytes of a chunk of the second machine, and the bytes before a chunk from which its states of entry are guessed.
+BYTES, WARM = 128, 16
+#: Remembered pre-tokens (of the packing) and compiled transitions of a worker; beyond, they are forgotten and built again.
 CACHE_WORDS, CACHE_STATES = 700_000, 300_000
 
 # States: 0 nothing open, 1 letters, 2 numbers, 3 other signs, 4 a space that joins what follows, 5 white space,
@@ -209,7 +216,10 @@ class Vocabulary:
 
 
 class TokenFst:
-    """The transducer of a vocabulary: reads bytes, adds up the change of the number of tokens."""
+    """The transducer of a vocabulary: reads bytes, adds up the change of the number of tokens. State 0 is the start.
+
+    Transitions lie in a hash table with open addressing: by state and byte, the next state and the change.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -218,18 +228,18 @@ class TokenFst:
     def clear(self) -> None:
         self.known: dict[tuple, int] = {}
         self.meaning: list[tuple] = []
-        self.arcs: list[dict[int, tuple[int, int]]] = []
         self.size = 0
-        self.start = self.state((b"", ((0, -1, 0),)))
+        self.state((b"", ((0, -1, 0),)))
+        self._room(16)
 
     def state(self, meaning: tuple) -> int:
         if (at := self.known.get(meaning)) is None:
             at = self.known[meaning] = len(self.meaning)
             self.meaning.append(meaning)
-            self.arcs.append({})
         return at
 
     def arc(self, state: int, byte: int) -> tuple[int, int]:
+        """The next state and the change of the number of tokens, worked out from what the state means."""
         suffix, open_at = self.meaning[state]
         suffix += bytes([byte])
         last = change = None
@@ -242,18 +252,132 @@ class TokenFst:
                 grown.append((length + 1, before, count))
         kept = tuple((a, b, c - change) for a, b, c in grown)
         suffix = suffix[len(suffix) - kept[0][0] :] if kept else b""
-        out = self.arcs[state][byte] = (self.state((suffix, (*kept, (0, last, 0)))), change)
-        self.size += 1
-        return out
-
-    def count(self, word: bytes) -> int:
-        if self.size > CACHE_STATES:
-            self.clear()
-        at, total = self.start, 0
-        for b in word:
-            at, change = self.arcs[at].get(b) or self.arc(at, b)
+        return self.state((suffix, (*kept, (0, last, 0)))), change
+
+    def _room(self, bits: int) -> None:
+        self.bits = bits
+        self.keys, self.next, self.change = np.full(1 << bits, -1), np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _insert(self, keys: np.ndarray, nexts: np.ndarray, changes: np.ndarray) -> None:
+        """Put distinct new keys into the table."""
+        at, left = self._home(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[at[left]] < 0]
+            self.keys[at[free]] = keys[free]
+            won = self.keys[at[left]] == keys[left]
+            self.next[at[left[won]]], self.change[at[left[won]]] = nexts[left[won]], changes[left[won]]
+            left = left[~won]
+            at[left] = at[left] + 1 & (1 << self.bits) - 1
+
+    def _compile(self, keys: np.ndarray) -> None:
+        made = np.array([self.arc(k >> 8, k & 255) for k in keys.tolist()], np.int64)
+        self.size += len(keys)
+        if 4 * self.size > len(self.keys):
+            used = self.keys >= 0
+            old = self.keys[used], self.next[used], self.change[used]
+            self._room((4 * self.size).bit_length() + 1)
+            self._insert(*old)
+        self._insert(keys, made[:, 0], made[:, 1])
+
+    def step(self, states: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states and changes of many states, each with its byte."""
+        keys = states << 8 | symbols
+        at = self._home(keys)
+        off = np.flatnonzero(self.keys[at] != keys)
+        while len(off):
+            there = self.keys[at[off]]
+            if (new := there < 0).any():
+                self._compile(np.unique(keys[off[new]]))
+                return self.step(states, symbols)
+            off = off[there != keys[off]]
+            at[off] = at[off] + 1 & (1 << self.bits) - 1
+        return self.next[at], self.change[at]
+
+
+def _entries(fst: TokenFst, grid: np.ndarray, free: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exit state, number of tokens) of the chunks ``free`` in which no pre-token begins. ``out`` has the exits of the others.
+
+    Their maps are kept as (content, entry) pairs, sorted: chunks of the same bytes share them.
+    """
+    texts, content = np.unique(grid[free], axis=0, return_inverse=True)
+    content = content.reshape(-1)
+    begins = np.diff(free, prepend=-2) != 1
+    given = out[free[begins] - 1]
+    links = np.unique(np.stack([content[:-1], content[1:]], axis=1)[~begins[1:]], axis=0).reshape(-1, 2)
+    # Guesses: the states that are reached when a token begins at one of the last places before the chunk.
+    warm = np.zeros((len(links), WARM), np.int64)
+    for back in range(WARM, 0, -1):
+        live = warm[:, back - 1 :]
+        symbols = np.repeat(texts[links[:, 0], BYTES - back], live.shape[1])
+        warm[:, back - 1 :] = fst.step(live.reshape(-1), symbols)[0].reshape(live.shape)
+    pairs = exits = emitted = np.zeros(0, np.int64)
+    new = np.unique(np.concatenate([content[begins] << 32 | given, (links[:, 1:] << 32 | warm).reshape(-1)]))
+    while len(new):
+        state, total = new & 0xFFFFFFFF, np.zeros(len(new), np.int64)
+        for j in range(BYTES):
+            state, change = fst.step(state, texts[new >> 32, j])
             total += change
-        return total
+        pairs, exits, emitted = (np.concatenate(x) for x in ((pairs, new), (exits, state), (emitted, total)))
+        order = np.argsort(pairs)
+        pairs, exits, emitted = pairs[order], exits[order], emitted[order]
+        low = np.searchsorted(pairs, np.arange(len(texts) + 1) << 32)
+        size = np.diff(low)[links[:, 0]]
+        from_ = np.repeat(low[links[:, 0]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        new = np.setdiff1d(np.repeat(links[:, 1] << 32, size) | exits[from_], pairs)
+    # Prefix scan: at each chunk, for each entry of the first chunk of its window, the pair that is met there.
+    # After the round of a given stride, a window covers twice that many chunks, but begins no earlier than its pre-token.
+    n, widest = len(free), int(np.diff(low).max())
+    met = low[content][:, None] + np.minimum(np.arange(widest), np.diff(low)[content][:, None] - 1)
+    since = np.arange(n) - np.maximum.accumulate(np.where(begins, np.arange(n), 0))
+    stride = 1
+    while stride <= since.max():
+        late = np.flatnonzero(since >= stride)
+        enter = content[late - stride + 1]
+        slot = np.searchsorted(pairs, (enter << 32)[:, None] | exits[met[late - stride]]) - low[enter][:, None]
+        met[late] = np.take_along_axis(met[late], slot, axis=1)
+        stride *= 2
+    first = np.flatnonzero(begins)
+    slot = np.searchsorted(pairs, content[first] << 32 | given) - low[content[first]]
+    at = met[np.arange(n), np.repeat(slot, np.diff(first, append=n))]
+    return exits[at], emitted[at]
+
+
+def tokens_before(fst: TokenFst, data: np.ndarray, fresh: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Number of tokens before each place; a place is the end or one at which a pre-token begins (``fresh``), as the first byte is."""
+    n, rows = len(data), len(data) // BYTES + 1
+    grid, reset = np.full(rows * BYTES, 32, np.uint8), np.ones(rows * BYTES, bool)
+    grid[:n], reset[:n] = data, fresh
+    grid, reset = grid.reshape(rows, BYTES), reset.reshape(rows, BYTES)
+    first = np.where(reset.any(axis=1), reset.argmax(axis=1), BYTES)
+    # What follows the first beginning of a pre-token in each chunk.
+    order = np.argsort(first, kind="stable")
+    columns, resets = np.ascontiguousarray(grid[order].T), np.ascontiguousarray(reset[order].T)
+    state, total = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+    before = np.zeros((BYTES, rows), np.int16)
+    for j, live in enumerate(np.searchsorted(first[order], np.arange(BYTES), side="right").tolist()):
+        before[j, :live] = total[:live]
+        state[:live], change = fst.step(np.where(resets[j, :live], 0, state[:live]), columns[j, :live])
+        total[:live] += change
+    out, tail, head = np.empty(rows, np.int64), np.empty(rows, np.int64), np.zeros(rows, np.int64)
+    out[order], tail[order] = state, total
+    if len(free := np.flatnonzero(first == BYTES)):
+        out[free], head[free] = _entries(fst, grid, free, out)
+    # What precedes it, from the exit of the chunk before.
+    late = np.flatnonzero((first > 0) & (first < BYTES))
+    late = late[np.argsort(-first[late], kind="stable")]
+    state, columns = out[late - 1], np.ascontiguousarray(grid[late].T)
+    for j in range(int(first[late].max(initial=0))):
+        live = np.searchsorted(-first[late], -j)
+        state[:live], change = fst.step(state[:live], columns[j, :live])
+        head[late[:live]] += change
+    total = head + tail
+    row, column = np.divmod(places, BYTES)
+    seat = np.empty(rows, np.int64)
+    seat[order] = np.arange(rows)
+    return (np.cumsum(total) - total + head)[row] + before[column, seat[row]]
 
 
 class WordTable:
@@ -292,8 +416,8 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 @lru_cache(maxsize=4)
-def machine(path: str) -> tuple[TokenFst, WordTable]:
-    return TokenFst(vocabulary(path)), WordTable()
+def machine(path: str) -> TokenFst:
+    return TokenFst(vocabulary(path))
 
 
 def distinct_spans(points: np.ndarray, starts: np.ndarray, ends: np.ndarray):
@@ -304,20 +428,23 @@ def distinct_spans(points: np.ndarray, starts: np.ndarray, ends: np.ndarray):
 
 def counts(texts: list[str], path: str) -> np.ndarray:
     """Number of tokens of each text."""
-    v, (fst, table) = vocabulary(path), machine(path)
+    v, fst = vocabulary(path), machine(path)
     pieces, owner, special = v.parts(texts)
     ordinary = np.flatnonzero(special < 0)
     total = np.bincount(owner[special >= 0], minlength=len(texts)).astype(np.int64)
-    joined, starts, ends, piece, points = v.scan([pieces[i] for i in ordinary])
+    whole = [pieces[i] for i in ordinary]
+    joined, starts, _, _, points = v.scan(whole)
     if len(starts):
-        keys, at, which = distinct_spans(points, starts, ends)
-        if len(table) > CACHE_WORDS:
-            table.__init__()
-        values = table.find(keys)
-        if len(new := np.flatnonzero(values < 0)):
-            values[new] = [fst.count(joined[a:b].encode()) for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist())]
-            table.add(keys[new], values[new])
-        total += np.bincount(owner[ordinary[piece]], weights=values[which], minlength=len(texts)).astype(np.int64)
+        if fst.size > CACHE_STATES:
+            fst.clear()
+        place = np.zeros(len(points) + 1, np.int64)
+        np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF), out=place[1:])
+        close = np.cumsum(np.fromiter(map(len, whole), np.int64, len(whole)) + 1) - 1
+        fresh = np.zeros(place[-1], bool)
+        fresh[place[starts]] = fresh[place[close]] = True
+        edges = np.concatenate([place[close], [0], place[close[:-1] + 1]])
+        upto, since = tokens_before(fst, np.frombuffer(joined.encode(), np.uint8), fresh, edges).reshape(2, -1)
+        total += np.bincount(owner[ordinary], weights=upto - since, minlength=len(texts)).astype(np.int64)
     return total
 
 

@@ -45,6 +45,25 @@ def test_counts_match_the_library():
     assert fst_tokens.counts(texts, TOKENIZER).tolist() == [len(library_ids(t)) for t in texts]
 
 
+def test_counts_of_long_pretokens_do_not_depend_on_chunks(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(s) for _ in range(n)) for s, n in (("abcdefghij", 9000), ("中文字的是不了人", 3000), ("ACGT", 7000), ("0123456789", 500))]
+    texts += ["-" * 4099 + "a", " " * 3000, "ab" * 4000, "qwertyzxcv7" * 10 + "abcdefghi" * 400 + "b", "", "\U0010ffff" * 300, "a"]
+    want = [len(library_ids(t)) for t in texts]
+    for size in (7, 64, 128, 5000):
+        monkeypatch.setattr(fst_tokens, "BYTES", size)
+        monkeypatch.setattr(fst_tokens, "WARM", min(16, size))
+        assert fst_tokens.counts(texts, TOKENIZER).tolist() == want
+        assert fst_tokens.counts(texts[::-1], TOKENIZER).tolist() == want[::-1]
+
+
+def test_transitions_forgotten_between_texts_change_nothing(monkeypatch):
+    texts = [t or "" for t in HARD]
+    want = fst_tokens.counts(texts, TOKENIZER).tolist()
+    monkeypatch.setattr(fst_tokens, "CACHE_STATES", 0)
+    assert [int(fst_tokens.counts([t], TOKENIZER)[0]) for t in texts] == want
+
+
 def test_boundaries_do_not_depend_on_chunks(monkeypatch):
     rng = np.random.default_rng(2)
     symbols = rng.integers(0, 9, 5000).astype(np.uint8)
