@@ -100,24 +100,9 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def _int_hash(k: np.ndarray) -> np.ndarray:
-    """Spark's hash of 32-bit integers (Murmur3, seed 42), signed."""
-    rotl = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
-    with np.errstate(over="ignore"):
-        k = rotl(k.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
-        h = (rotl(np.uint32(42) ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)) ^ np.uint32(4)
-        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
-        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
-        return (h ^ (h >> np.uint32(16))).view(np.int32)
-
-
 def dealt(df: DataFrame, n: int, index) -> DataFrame:
     """Rows with index i (0 to n - 1) go to partition i: a hash would put several heavy shards into one task."""
-    tries = np.arange(max(1000, 60 * n), dtype=np.int32)
-    places, first = np.unique(np.mod(_int_hash(tries).astype(np.int64), n), return_index=True)
-    keys = dict(zip(places.tolist(), tries[first].tolist()))
-    table = F.array(*(F.lit(keys.get(i, i)) for i in range(n)))
-    return df.repartition(n, F.element_at(table, index.cast("int") + 1))
+    return df.repartitionById(n, index.cast("int"))
 
 
 def held(column: str, mod: int, rest: int):

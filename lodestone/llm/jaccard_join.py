@@ -27,6 +27,7 @@ Sets are told apart by 64-bit fingerprints and their size.
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ from lodestone.llm.components import components
 SCAN_BYTES = 1 << 19
 #: Shingles of a chunk that a task sends at once, and of a block of a family.
 CHUNK, MOST = 1_000_000, 500_000
+#: Bytes of text whose shingles are counted in one shard.
+SHARD_BYTES = 32 << 20
 #: Places among which the sets of one key are dealt.
 SALTS = 16
 
@@ -87,15 +90,18 @@ def _rises(a: np.ndarray) -> np.ndarray:
     return np.diff(a, prepend=np.zeros(1, a.dtype))
 
 
+@lru_cache(maxsize=4)
+def _edges(bits: int, shards: int) -> np.ndarray:
+    return np.array([(s << bits) // shards for s in range(1, shards)], np.uint64)
+
+
 def _routed(keys: np.ndarray, owner: np.ndarray, bits: int, shards: int):
     """(shard, sorted keys, their owners) of each shard that has some; shards are ranges of keys of so many bits."""
     order = np.argsort(keys, kind="stable")
     keys, owner = keys[order], owner[order]
-    edges = (np.arange(1, shards, dtype=object) * (1 << bits) // shards).astype(np.uint64) if shards > 1 else np.zeros(0, np.uint64)
-    cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-    for s in range(shards):
-        if cuts[s] < cuts[s + 1]:
-            yield s, keys[cuts[s] : cuts[s + 1]], owner[cuts[s] : cuts[s + 1]]
+    cuts = np.concatenate([[0], np.searchsorted(keys, _edges(bits, shards)), [len(keys)]])
+    for s in np.flatnonzero(np.diff(cuts)).tolist():
+        yield s, keys[cuts[s] : cuts[s + 1]], owner[cuts[s] : cuts[s + 1]]
 
 
 def _chunk_rows(names: list[np.ndarray], keys: list[np.ndarray], sizes: list[np.ndarray], bits: int, shards: int):
@@ -429,7 +435,7 @@ def _read_sets(rows, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return np.array(list(seen), np.int64), keys, sizes, np.array([c for c, _ in seen.values()], np.int64)
 
 
-def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, links: bool = False) -> DataFrame:
+def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, links: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(id, n_shingles, component_id): components of links between rows whose sets of k-word shingles have a Jaccard similarity of at least ``percent``.
 
     With ``links`` also n_links: the number of other rows that each row is linked to. Every set that may have a partner
@@ -437,7 +443,8 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     ship(spark)
-    shards = partitions(spark)
+    size = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    shards = max(partitions(spark), -(-size // shard_bytes))
     rows, active = _sets(docs, k, percent, id_col, text_col, shards)
     # One row of the input stands for each set that may have a partner; its text is read again.
     firsts = stored(rows.groupBy("set_id").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.count("*").alias("copies")), "sets")

@@ -4,8 +4,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import jaccard_join
+from lodestone.llm.common import dealt
 
 
 def shingle_set(text, k):
@@ -33,3 +35,19 @@ def test_links_within_large_families_are_counted(spark, k, percent, most):
     assert {r.doc_id: r.n_links for r in out.collect()} == want
     plain = jaccard_join.join(docs, k=k, percent=percent, most=most)
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, out.drop("n_links").collect()))
+
+
+def test_more_shards_than_partitions_change_nothing(spark):
+    rng = random.Random(9)
+    base = [" ".join(rng.choice("abcdefghij") for _ in range(60)) for _ in range(12)]
+    rows = [(i, " ".join([*base[i % 12].split()[: 60 - i // 40], "z"])) for i in range(120)] + [(200, None), (201, ""), (None, base[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    few = jaccard_join.join(docs, k=3, percent=90).collect()
+    many = jaccard_join.join(docs, k=3, percent=90, shard_bytes=500).collect()
+    assert sorted(map(str, few)) == sorted(map(str, many)) and len({r.component_id for r in few}) < len(rows)
+
+
+def test_rows_are_dealt_to_the_partition_of_their_number(spark):
+    rows = dealt(spark.range(1000).withColumn("shard", F.col("id") % 37), 37, F.col("shard"))
+    assert rows.rdd.getNumPartitions() == 37
+    assert rows.where(F.spark_partition_id() != F.col("shard")).count() == 0
