@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import dealt, held, mix64, partitions, scan_words, ship, squeeze, stored, text_slices, tidied, unsqueeze, utf8
+from lodestone.llm.common import dealt, held, mix64, partitions, release, scan_words, ship, squeeze, stored, text_slices, tidied, unsqueeze, utf8
 
 #: Tokens of a chunk; bytes of text for each shard; the discount of a count.
 CHUNK, SHARD_BYTES, DISCOUNT = 1_500_000, 6_000_000, 0.75
@@ -512,6 +512,7 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2, id_col: str = "doc_id",
     home = F.when(F.col("shard") >= 0, F.col("shard")).otherwise(F.pmod(F.xxhash64("chunk"), F.lit(shards)))
     sent = dealt(own.mapInArrow(tidied(read), base), shards, home)
     back = stored(sent.mapInArrow(tidied(answer), answered), "answers")
+    release(spark)  # the questions, before the answers are shuffled
     sums = back.agg(F.sum("tokens"), F.sum("words"), F.sum("once")).first()
     n, v, once = (int(x or 0) for x in sums)
     unseen = (once if once else 1) / (n + 1) if n else 1.0
