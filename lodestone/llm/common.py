@@ -75,11 +75,6 @@ def stored(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the files of shuffles that nothing refers to any more, as after ``stored``: its cleaner follows the driver's garbage collector."""
-    spark._jvm.System.gc()
-
-
 def remove(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a table made by ``stored``."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
