@@ -90,3 +90,13 @@ def test_vectors_of_hashed_words(spark):
 def test_the_index_keeps_lists_with_their_passages(spark):
     lib = plans._library(spark, "/root/testdata/sf0.001")
     assert lib.weighed is not None and "Exchange" not in re.sub("BroadcastExchange", "", plan(lib.weighed)) and lib.weighed.count() == lib.passages.count()
+
+
+def test_titles_that_begin_alike_meet_their_own_queries_only(spark):
+    docs = spark.createDataFrame([(i, f"Report x{i} of the series", [f"ab{i:02d}"]) for i in range(10, 60)], "doc_id long, title string, aliases array<string>")
+    asked = [(i, f"What says Report x{i} of the series? {'See ab%d.' % (i + 1) if i % 2 else ''}") for i in range(10, 30)] + [(90, "ab12"), (91, "ab"), (92, None)]
+    q = spark.createDataFrame(asked, "query_id long, query string")
+    got = {(r.query_id, r.doc_id, r.strength) for r in R.infer_targets(q, docs).collect()}
+    assert got == {(i, i, "strong") for i in range(10, 30)} | {(90, 12, "weak")}
+    names = docs.select("doc_id", X.key(F.col("title")).alias("alias"), F.lit(2).alias("s"))
+    assert R._meet(q.select("query_id", X.key(F.col("query")).alias("text")), names).count() == 20  # 20 * 50 on four letters
