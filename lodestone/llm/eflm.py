@@ -472,8 +472,10 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2, id_col: str = "doc_id",
 
         def chunk_rows():
             ids, held_out, prints, sizes = parts
-            held_out = np.concatenate(held_out)
-            asked, own = _questions(np.concatenate(prints), np.concatenate(sizes), ~held_out, shards, common, split)
+            held_out, whole = np.concatenate(held_out), np.concatenate(prints)
+            prints.clear()
+            asked, own = _questions(whole, np.concatenate(sizes), ~held_out, shards, common, split)
+            del whole
             chunk = task << 24 | n
             for s, b in asked:
                 yield rows([(s, chunk, None, None, b)], base)
@@ -501,10 +503,11 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2, id_col: str = "doc_id",
                 else:
                     asked.setdefault(r["shard"], []).append((r["chunk"], r["b"]))
         for s in list(asked):
-            questions = asked.pop(s)
-            found = serve([_read(b, common) for _, b in questions])
+            chunks, blobs = zip(*asked.pop(s))
+            read_, blobs = [_read(b, common) for b in blobs], None
+            found = serve(read_)
             sums = next(found)
-            for chunk, _ in questions:
+            for chunk in chunks:
                 yield rows([(s, chunk, None, None, bundle([squeeze(a) for a in next(found)]), *sums)], answered)
                 sums = (0, 0, 0)
 
@@ -517,6 +520,29 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2, id_col: str = "doc_id",
     unseen = (once if once else 1) / (n + 1) if n else 1.0
     schema = T.StructType([docs.schema[id_col], *(T.StructField(c, t) for c, t in (("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())))])
 
+    def scored(row: tuple, parts: list) -> pa.RecordBatch:
+        """One chunk's rows; its arrays are gone when the next one is unpacked."""
+        ids, flags, blob = row
+        stream, sizes, apart, group, ranks = unbundle(blob)
+        stream, sizes, group, ranks = unsqueeze(stream, np.uint32).astype(np.int64), unsqueeze(sizes, np.int64), np.frombuffer(group, np.uint8), unsqueeze(ranks, np.uint32).astype(np.int64)
+        split_ = np.zeros(len(group), bool)
+        split_[unsqueeze(apart, np.uint32)] = True
+        x = layout(stream, sizes, len(group) - 1, split_, group, lambda word, part: ranks)
+        got = [unbundle(b) for _, b in sorted(parts)]
+        counts, back2, codes2, back3, codes3 = (np.concatenate([unsqueeze(g[i], k) for g in got]) for i, k in enumerate((np.int64, np.uint16, np.uint8, np.uint8, np.uint8)))
+        place = x["place"]
+        token = counts[place[stream]]
+        p = np.where(token > 0, (1 - unseen) * token / max(n, 1), unseen)
+        p = restore(codes2[x["two"]].astype(np.float64), STEP, 255) + 10.0 ** (back2[place[x["prev"]]] * -FINE) * p
+        third = x["third"]
+        p[third] = restore(codes3[x["three"]].astype(np.float64), STEP, 255) + 10.0 ** (back3[x["one"]] * -FINE3) * p[third]
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        add = lambda y: np.bincount(doc, weights=y, minlength=len(sizes))
+        known = add(token > 0).astype(np.int64)
+        plain = add(np.log10((token + 1) / (n + v + 1)))
+        out = [pa.array(ids, schema_ids), pa.array(np.frombuffer(flags, bool)), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), n, np.int64)), pa.array(plain), pa.array(add(np.log10(p)))]
+        return pa.RecordBatch.from_arrays(out, names=schema.names)
+
     def finish(batches):
         answers: dict[int, list] = {}
         streams: dict[int, tuple] = {}
@@ -527,26 +553,7 @@ def score(docs: DataFrame, mod: int = 7, rest: int = 2, id_col: str = "doc_id",
                 else:
                     answers.setdefault(r["chunk"], []).append((r["shard"], r["b"]))
         for chunk in list(streams):
-            ids, flags, blob = streams.pop(chunk)
-            stream, sizes, apart, group, ranks = unbundle(blob)
-            stream, sizes, group, ranks = unsqueeze(stream, np.uint32).astype(np.int64), unsqueeze(sizes, np.int64), np.frombuffer(group, np.uint8), unsqueeze(ranks, np.uint32).astype(np.int64)
-            split_ = np.zeros(len(group), bool)
-            split_[unsqueeze(apart, np.uint32)] = True
-            x = layout(stream, sizes, len(group) - 1, split_, group, lambda word, part: ranks)
-            got = [unbundle(b) for _, b in sorted(answers.pop(chunk))]
-            counts, back2, codes2, back3, codes3 = (np.concatenate([unsqueeze(g[i], k) for g in got]) for i, k in enumerate((np.int64, np.uint16, np.uint8, np.uint8, np.uint8)))
-            place = x["place"]
-            token = counts[place[stream]]
-            p = np.where(token > 0, (1 - unseen) * token / max(n, 1), unseen)
-            p = restore(codes2[x["two"]].astype(np.float64), STEP, 255) + 10.0 ** (back2[place[x["prev"]]] * -FINE) * p
-            third = x["third"]
-            p[third] = restore(codes3[x["three"]].astype(np.float64), STEP, 255) + 10.0 ** (back3[x["one"]] * -FINE3) * p[third]
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            add = lambda y: np.bincount(doc, weights=y, minlength=len(sizes))
-            known = add(token > 0).astype(np.int64)
-            plain = add(np.log10((token + 1) / (n + v + 1)))
-            out = [pa.array(ids, schema_ids), pa.array(np.frombuffer(flags, bool)), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), n, np.int64)), pa.array(plain), pa.array(add(np.log10(p)))]
-            yield pa.RecordBatch.from_arrays(out, names=schema.names)
+            yield scored(streams.pop(chunk), answers.pop(chunk))
 
     from pyspark.sql.pandas.types import to_arrow_type
 
