@@ -33,7 +33,8 @@ def parse(lines: DataFrame) -> DataFrame:
     """The fields of each line's record and ``warning``, null where it is sound. ``lines``: (value) and any others."""
     own = [c for c in lines.columns if c != "value"]
     schema = RECORD + ", _corrupt string"
-    said = lines.withColumn("r", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    # Parsed once: what is read isn't parsed again for each field, nor where a filter is moved down.
+    said = lines.withColumn("r", F.explode(F.array(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))))
     raw = F.from_json("value", "passages array<string>")["passages"]
     keys = F.transform(raw, lambda p: F.coalesce(F.json_object_keys(p), F.array().cast("array<string>")))
     known = F.array(*(F.lit(f.split(":")[0]) for f in PASSAGE.split(",")))

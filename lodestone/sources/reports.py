@@ -29,7 +29,7 @@ _LISTS = [*_ITEMS, "retrieval_candidates"]
 def read_reports(texts: DataFrame, text: str = "value") -> DataFrame:
     """The other columns, a report's fields (lists are never null), and ``warning``, null where the report is sound."""
     r = F.from_json(text, REPORT + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    df = texts.withColumn("_r", r)
+    df = texts.withColumn("_r", F.explode(F.array(r)))  # parsed once: a filter on what was read isn't moved below it, with all of the parsing within
     missing = F.array_compact(F.array(*(F.when(F.col(f"_r.{c}").isNull(), c) for c in ("title", "coverage", "audit"))))
     nameless = F.array_compact(F.array(*(F.when(F.exists(F.col(f"_r.{c}"), lambda x: x["id"].isNull()), c) for c in _ITEMS)))
     warning = (
