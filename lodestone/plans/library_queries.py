@@ -75,21 +75,31 @@ def page_types(spark, sf_dir):
 # ---------------------------------------------------------------- reload and repair
 
 
+def _with_passages(docs):
+    """The rows of ``docs`` with their counted passages; rows of one id, if there are any, share those of all of them."""
+    again = R.repeated(docs.where("doc_id is not null"))
+    if again is None:
+        return R.counted_documents(docs)
+    rows = docs.join(again, "doc_id", "left_semi")
+    shared = R.counted_documents(rows).groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("p"))).alias("p"))
+    return R.counted_documents(docs.join(again, "doc_id", "left_anti")).unionByName(rows.drop("text").join(shared, "doc_id"))
+
+
 def _stored_library(spark, sf_dir) -> repair.LibraryStore:
     """A record of every document, its passages without overlap; by the length of the text some are cut off, lack a field, have a field too many, or are stale."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("whole"))
-    cut = R.passages(docs.select("doc_id", F.col("whole").alias("text")))
-    passage = F.struct(
-        "chunk_id", F.col("doc_id").cast("string").alias("doc_id"), F.lit("a/b.txt").alias("source_path"), F.lit(None).cast("int").alias("page"), "text", F.startswith("text", F.lit("[TABLE/FIGURE]")).alias("is_table_or_figure"),
-        F.lit(0.0).alias("noise_level"), F.lit("body").alias("chunk_type"), F.lit("paper").alias("doc_type"), R._bound(X.tokenize(F.col("text")), F.size).cast("long").alias("n"), R.counted(X.tokenize(F.col("text"))).alias("c"),
-    )
-    own = cut.groupBy("doc_id").agg(F.array_sort(F.collect_list(passage)).alias("p"))
-    d = docs.join(own, "doc_id", "left").withColumn("p", F.coalesce("p", F.array().cast(own.schema["p"].dataType))).withColumn("m", F.length("whole") % 10)
-    counts = F.transform("p", lambda p: F.map_from_entries(p["c"]))
-    plain = F.transform("p", lambda p: p.dropFields("n", "c").withField("chunk_type", F.when(F.col("m") == 3, "unknown").otherwise(p["chunk_type"])))
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    d = _with_passages(docs.withColumn("m", F.length("text") % 10)).withColumn("counts", F.transform("p", lambda p: F.map_from_entries(p["c"])))
+    counts = F.col("counts")
+
+    def plain(p):
+        return F.struct(
+            p["chunk_id"].alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), F.lit("a/b.txt").alias("source_path"), F.lit(None).cast("int").alias("page"), p["text"].alias("text"), F.startswith(p["text"], F.lit("[TABLE/FIGURE]")).alias("is_table_or_figure"),
+            F.lit(0.0).alias("noise_level"), F.when(F.col("m") == 3, "unknown").otherwise("body").alias("chunk_type"), F.lit("paper").alias("doc_type"),
+        )
+
     record = F.struct(
         F.col("doc_id").cast("string").alias("doc_id"), F.when(F.col("m") != 1, F.lit("a/b.txt")).alias("source_path"), F.lit("txt").alias("ext"), F.lit("Title").alias("title"), F.when(F.col("m") == 5, "variant").otherwise("paper").alias("doc_type"),
-        plain.alias("passages"), F.when(F.col("m") != 4, F.transform(counts, lambda c: F.transform_values(c, lambda _, v: v.cast("double")))).alias("vectors"),
+        F.transform("p", plain).alias("passages"), F.when(F.col("m") != 4, F.transform(counts, lambda c: F.transform_values(c, lambda _, v: v.cast("double")))).alias("vectors"),
         F.when(F.col("m") != 2, counts).alias("term_counts"), F.when(F.col("m") != 2, F.transform("p", lambda p: p["n"])).alias("doc_lengths"),
     )
     line = F.to_json(record, {"ignoreNullFields": "false"})
@@ -116,6 +126,7 @@ def library_repaired(spark, sf_dir):
     """The same after a repair: nothing is stale any more, and the lines with a warning are still there."""
     store = _stored_library(spark, sf_dir)
     store.repair()
+    store.vacuum(1)
     return store.load().select(F.coalesce("warning", F.when(F.size("repairs") > 0, "stale"), F.lit("sound")).alias("state")).groupBy("state").agg(F.count("*").alias("n"))
 
 

@@ -24,6 +24,9 @@ PASSAGE = "doc_id:string,source_path:string,page:int,chunk_id:int,text:string,is
 RECORD = f"doc_id string, source_path string, ext string, title string, doc_type string, passages array<struct<{PASSAGE}>>, vectors array<map<string,double>>, term_counts array<map<string,bigint>>, doc_lengths array<bigint>"
 NEEDED, PASSAGE_NEEDED = ["doc_id", "source_path", "ext", "passages"], ["doc_id", "source_path", "page", "chunk_id", "text"]
 
+#: Lines of a stored file.
+MOST_LINES = 1 << 14
+
 
 def _counts(text: Column) -> Column:
     return F.map_from_entries(R.counted(X.tokenize(F.coalesce(text, F.lit("")))))
@@ -40,13 +43,17 @@ def parse(lines: DataFrame) -> DataFrame:
     known = F.array(*(F.lit(f.split(":")[0]) for f in PASSAGE.split(",")))
     needed = F.array(*map(F.lit, PASSAGE_NEEDED))
     missing = F.array_compact(F.array(*(F.when(F.col(f"r.{c}").isNull(), c) for c in NEEDED)))
-    odd = F.array_distinct(F.flatten(F.transform(keys, lambda k: F.array_except(k, known))))
-    absent = F.array_distinct(F.flatten(F.transform(keys, lambda k: F.array_except(needed, k))))
+
+    def shape(keys: Column) -> Column:
+        odd = F.array_distinct(F.flatten(F.transform(keys, lambda k: F.array_except(k, known))))
+        absent = F.array_distinct(F.flatten(F.transform(keys, lambda k: F.array_except(needed, k))))
+        named = lambda words, names: X.bound(names, lambda n: F.when(F.size(n) > 0, F.concat(F.lit(words), F.array_join(F.array_sort(n), ", "))))
+        return F.coalesce(named("unknown passage fields: ", odd), named("missing passage fields: ", absent))
+
     warning = (
         F.when(F.col("r").isNull() | F.col("r._corrupt").isNotNull(), F.lit("not a document record"))
         .when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ", ")))
-        .when(F.size(odd) > 0, F.concat(F.lit("unknown passage fields: "), F.array_join(F.array_sort(odd), ", ")))
-        .when(F.size(absent) > 0, F.concat(F.lit("missing passage fields: "), F.array_join(F.array_sort(absent), ", ")))
+        .otherwise(X.bound(keys, shape))
     )
     fields = [f.split(" ")[0] for f in RECORD.split(", ")]
     return said.withColumn("warning", warning).select(*own, *(F.when(F.col("warning").isNull(), F.col(f"r.{f}")).alias(f) for f in fields), "warning")
@@ -90,14 +97,15 @@ def to_lines(records: DataFrame) -> DataFrame:
 
 
 class LibraryStore:
-    """Records in versions. ``repair`` commits one with repaired records if there are any; lines with a warning are kept as they are."""
+    """Records in versions. ``repair`` commits one with repaired records if there are any; all other lines are kept as they are."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.log = spark, Log(spark, path)
 
     def save(self, lines: DataFrame) -> int:
         name = f"lines-{uuid.uuid4().hex}"
-        lines.select("value").write.text(f"{self.log.path}/{name}")
+        # Compressed files are read whole by one task each, so none holds more than so many lines.
+        lines.select("value").write.option("compression", "gzip").option("maxRecordsPerFile", MOST_LINES).text(f"{self.log.path}/{name}")
         return self.log.commit(self.log.latest()[0], {"lines": name})
 
     def load(self) -> DataFrame:
@@ -107,13 +115,20 @@ class LibraryStore:
             lines = self.spark.createDataFrame([], "value string, file string")
         else:
             lines = self.spark.read.text(f"{self.log.path}/{said['lines']}").select("value", F.col("_metadata.file_name").alias("file"))
-        return repaired(parse(lines.where(X.strip(F.col("value")) != "").withColumn("line", F.col("value"))).withColumnRenamed("line", "value"))
+        return repaired(parse(lines.where(F.col("value").rlike(r"(?U)\S")).withColumn("line", F.col("value"))).withColumnRenamed("line", "value"))
 
     def repair(self) -> bool:
         """Whether a version with repaired records was committed; statistics made from older ones are then out of date."""
         all_ = self.load()
-        # A filter would be moved below the repair, with all of it within.
-        if not (all_.agg(F.max(F.size("repairs"))).first()[0] or 0) > 0:
+        # Any stale record will do. A plain filter would be moved below the repair, with all of it within.
+        if all_.select(F.explode(F.array(F.size("repairs"))).alias("n")).where("n > 0").isEmpty():
             return False
-        self.save(all_.select(F.when(F.col("warning").isNull(), _line()).otherwise(F.col("value")).alias("value")))
+        self.save(all_.select(F.when(F.size("repairs") > 0, _line()).otherwise(F.col("value")).alias("value")))
         return True
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Delete the lines and versions older than the newest ``keep``."""
+        for n in self.log.numbers()[keep:]:
+            if (said := self.log.read(n)) and said.get("lines"):
+                self.log.remove(said["lines"])
+            self.log.remove(f"_log/{n:012d}.json")
